@@ -13,7 +13,7 @@ END, ADD, CANCEL, MODIFY, FILL, SNAP = 0, 1, 2, 3, 4, 5
 OPEN_END = 9223372036854775807
 
 # flag bits
-UNKNOWN_REF, DESYNC_ADD, DESYNC_CANCEL, DESYNC_MODIFY, DESYNC_FILL, OFF_DISPLAY = 1, 2, 4, 8, 16, 32
+UNKNOWN_REF, DESYNC_ADD, DESYNC_CANCEL, DESYNC_MODIFY, DESYNC_FILL, OFF_DISPLAY, DEPLETES = 1, 2, 4, 8, 16, 32, 64
 
 # violation codes, by position
 VIOLATIONS = ["", "add_without_side", "add_size_zero", "duplicate_add", "cancel_mismatch", "cancel_size_zero",
@@ -175,9 +175,11 @@ def step(o: Order, code, ordinal, ts, side, tick, size, epoch, clear_no, now_bef
             o.fill_epoch = epoch
         o.fill_qty += size
         o.fill_seen = epoch
+        flags = 0 if tick == o.tick else OFF_DISPLAY
         if o.fill_done < 0 and o.fill_qty >= o.size:
             o.fill_done = ts
-        return changed, 0, 0, 0, o.side, tick, 0, size, -1, 0 if tick == o.tick else OFF_DISPLAY, 0
+            flags |= DEPLETES
+        return changed, 0, 0, 0, o.side, tick, 0, size, -1, flags, 0
 
     if code == SNAP:
         if side == NONE or size <= 0:

@@ -109,7 +109,8 @@ def order_log(events: DataFrame, ticks: DataFrame | int, window_ns: int = REFRES
         F.col("code") == fold.MODIFY, "Modify").when(F.col("code") == fold.FILL, "Fill").when(
         F.col("code") == fold.SNAP, "Snapshot").otherwise("End")
     bits = {"unknown_ref": fold.UNKNOWN_REF, "desync_add": fold.DESYNC_ADD, "desync_cancel": fold.DESYNC_CANCEL,
-            "desync_modify": fold.DESYNC_MODIFY, "desync_fill": fold.DESYNC_FILL, "off_display": fold.OFF_DISPLAY}
+            "desync_modify": fold.DESYNC_MODIFY, "desync_fill": fold.DESYNC_FILL, "off_display": fold.OFF_DISPLAY,
+            "depletes": fold.DEPLETES}
     return out.select(
         "instrument_id", F.date_from_unix_date(F.col("day").cast("int")).alias("trade_date"), "order_id", "ordinal",
         "ts_ns", kind.alias("kind"), "epoch", "clear_no", "now_ns",

@@ -15,15 +15,15 @@ ROWS_PER_FILE_BITS = 22
 
 def read_raw(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", **options) -> DataFrame:
     """Vendor exports in stitch order.  The list order is the file rank; rows
-    keep their place through the split offset and the position in the split.
-    ``row_index`` is filled with that position when the export has none."""
+    keep their place in the file: parquet's own row index, or for text formats
+    the split offset and the position in the split."""
     data = [f for f in RAW_SCHEMA.fields if f.name not in ("source_file", "file_rank", "row_index")]
     df = spark.read.schema(type(RAW_SCHEMA)(data)).options(**options).format(fmt).load(list(paths))
     ranks = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1], i) for i, p in enumerate(paths)],
                                   "source_file string, file_rank int")
     df = df.withColumns({
         "source_file": F.col("_metadata.file_name"), "_split": F.col("_metadata.file_block_start"),
-        "_pos": F.monotonically_increasing_id()})
+        "_pos": F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()})
     # the list of paths is the caller's argument, so its size is known
     df = df.join(F.broadcast(ranks), "source_file")
     if fmt == "parquet":
