@@ -7,10 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import calendar as cal
 from ..functions.schema import KEY, MAX_LONG, SNAPSHOT_CADENCE_NS
 from .prefix import Scan, prefix_scan
-from .small import sized
+from .small import clocked, sized
 
 
 def cut_ordinals(events: DataFrame, at_ns: Column) -> DataFrame:
@@ -77,7 +76,7 @@ def snapshot_cuts(events: DataFrame, cadence_ns: int = SNAPSHOT_CADENCE_NS) -> D
     latter is a chain through the whole session, the former is one aggregate.
     Where snapshots lie does not change any state read through them."""
     live = ~F.col("is_snapshot")
-    ev = cal.with_clock(events, "session_open_ns")
+    ev = clocked(events, "session_open_ns")
     ev = prefix_scan(ev, KEY, {
         "now_ns": Scan("max", F.when(live, F.col("ts_ns")), inclusive=True),
         "clear_no": Scan("sum", (live & (F.col("kind") == "Clear")).cast("long"), inclusive=True),
@@ -94,7 +93,7 @@ def state_snapshots(intervals: DataFrame, points: DataFrame, cadence_ns: int = S
 
     Each interval lists the cadence steps it spans and meets the points on
     (session, step): an equality join, never intervals x points."""
-    iv = cal.with_clock(intervals, "session_open_ns")
+    iv = clocked(intervals, "session_open_ns")
     first = cadence_bucket(F.col("from_now"), F.col("session_open_ns"), cadence_ns)
     last_step = F.lit(86_400_000_000_000 * 2 // cadence_ns)
     end = F.when(F.col("to_ord") == MAX_LONG, last_step).otherwise(

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import calendar as cal
 from ..functions.schema import FLOW_BUCKET_NS, FLOW_BUCKETS, KEY, MAX_LONG, SNAPSHOT_CADENCE_NS
 from . import asof
 from .prefix import Scan, prefix_scan
 from .profile import touch_counters
-from .small import sized
+from .small import clocked, sized
 
 
 def depth(live: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def bbo_series(intervals: DataFrame, points: DataFrame, cadence_ns: int = SNAPSH
     Interval ends become +size/-size per (level, step); those sums, not orders,
     are accumulated over the steps, so the work after the first aggregate is
     bounded by price levels x steps."""
-    iv = cal.with_clock(intervals, "session_open_ns")
+    iv = clocked(intervals, "session_open_ns")
 
     def at(now: str) -> Column:
         return asof.cadence_bucket(F.col(now), F.col("session_open_ns"), cadence_ns)

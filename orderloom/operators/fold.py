@@ -73,7 +73,7 @@ class Order:
 
 
 def step(o: Order, code, ordinal, ts, side, tick, size, epoch, clear_no, now_before, window):
-    """Apply one event.  Returns ``(changed, old_side, old_tick, cancelled, side,
+    """Apply one event (``now_before`` is -1 when nothing came before).  Returns ``(changed, old_side, old_tick, cancelled, side,
     tick, added, traded, refreshed, flags, violation)``; ``changed`` says the
     visible resting state is different now."""
     changed = 0
@@ -82,7 +82,7 @@ def step(o: Order, code, ordinal, ts, side, tick, size, epoch, clear_no, now_bef
         o.__init__(clear_no)
     if o.fill_qty and o.fill_done < 0 and o.fill_seen != epoch:
         o.forget_fills()
-    if o.t_ts >= 0 and now_before is not None and now_before - o.t_ts > window:
+    if o.t_ts >= 0 and now_before - o.t_ts > window:
         o.t_ts = -1
     stale = o.live and o.epoch < epoch
     old_side, old_tick = o.side, o.tick
@@ -155,6 +155,8 @@ def step(o: Order, code, ordinal, ts, side, tick, size, epoch, clear_no, now_bef
         o.forget_fills()
         o.size = size
         if tick == old_tick and size <= gone:
+            if size == gone:
+                return 1, 0, 0, 0, 0, 0, 0, 0, -1, 0, 0
             return 1, old_side, old_tick, gone - size, 0, 0, 0, 0, -1, 0, 0
         o.tick, o.origin, o.prio = tick, 1, ordinal
         if tick == old_tick:
@@ -206,43 +208,73 @@ def fold_batches(batches, window):
     """Stream Arrow batches sorted by (order, ordinal) into effect rows.
 
     State is one ``Order`` plus at most one row held back until the resting
-    state it opened is superseded, so a hot order id costs time but no memory."""
+    state it opened is superseded, so a hot order id costs time but no memory.
+    A row's end is patched in place while its batch is still open."""
+    from array import array
+
+    import numpy as np
     import pyarrow as pa
 
-    key, o, pending = None, None, None
-    names = OUT_NAMES
-    schema = pa.schema([(n, pa.int64()) for n in names])
+    n_in, width = len(HEAD), len(BODY)
+    key, o, held, open_at = None, None, None, -1  # held: open row of an earlier batch; open_at: its place in this one
+    schema = pa.schema([(n, pa.int64()) for n in OUT_NAMES])
+    closed, rest = (0,) * 12, (OPEN_END, OPEN_END)
+
+    def emit(head, body, extra):
+        cols = [np.concatenate([c, np.array([x[i] for x in extra], np.int64)]) if extra else c for i, c in enumerate([*head, *body])]
+        return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], schema=schema)
+
     for batch in batches:
-        out = []
-        push = out.append
-        cols = [batch.column(n).to_pylist() for n in IN_NAMES]
+        head = [batch.column(n).to_numpy() for n in HEAD]
+        now = np.where((batch.column("code").to_numpy() == SNAP) & (head[-1] >= 0), head[-1], np.maximum(head[-1], head[4]))
+        head[-1] = now
+        now = now.tolist()
+        out, extra = array("q"), []
+        put = out.extend
+        cols = [batch.column(n).to_numpy().tolist() for n in IN_NAMES]
+        row = -1
         for inst, day, oid, seg, ordinal, ts, code, side, tick, size, epoch, clear_no, before in zip(*cols):
-            k = (inst, day, oid, seg)
+            row += 1
+            k = (oid, inst, day, seg)
             if k != key:
-                if pending is not None:
-                    push(pending)
-                    pending = None
-                key, o = k, Order(clear_no)
+                if held is not None:
+                    extra.append(held)
+                    held = None
+                key, o, open_at = k, Order(clear_no), -1
             changed, *fx = step(o, code, ordinal, ts, side, tick, size, epoch, clear_no, before, window)
-            now = ts if before is None or (ts > before and code != SNAP) else before
-            head = (inst, day, oid, ordinal, ts, code, epoch, clear_no, now)
-            if changed and pending is not None:
-                push(pending[:-2] + (ordinal, now))
-                pending = None
-            if changed and o.live:
-                pending = (*head, *fx, 1, o.side, o.tick, o.size, o.origin, o.prio, o.epoch, o.reloads, o.hidden,
-                           o.unavail, OPEN_END, OPEN_END)
+            put(fx)
+            if not changed:
+                put(closed)
+                continue
+            if open_at >= 0:
+                out[open_at + width - 2], out[open_at + width - 1] = ordinal, now[row]
+                open_at = -1
+            elif held is not None:
+                held[-2:] = ordinal, now[row]
+                extra.append(held)
+                held = None
+            if o.live:
+                open_at = row * width
+                put((1, o.side, o.tick, o.size, o.origin, o.prio, o.epoch, o.reloads, o.hidden, o.unavail))
+                put(rest)
             else:
-                push((*head, *fx, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0))
-        if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
-    if pending is not None:
-        yield pa.record_batch([pa.array([v], pa.int64()) for v in pending], schema=schema)
+                put(closed)
+        body = np.frombuffer(out, np.int64).reshape(-1, width).T
+        if open_at >= 0:  # its end may come with the next batch
+            at = open_at // width
+            held, open_at = [int(c[at]) for c in head] + [int(c[at]) for c in body], -1
+            head, body = [np.delete(c, at) for c in head], np.delete(body, at, axis=1)
+        yield emit(head, body, extra)
+    if held is not None:
+        yield emit([np.empty(0, np.int64)] * n_in, [np.empty(0, np.int64)] * width, [held])
 
 
 IN_NAMES = ["instrument_id", "day", "order_id", "seg", "ordinal", "ts_ns", "code", "side_no", "tick", "size",
             "epoch", "clear_no", "now_before"]
-OUT_NAMES = ["instrument_id", "day", "order_id", "ordinal", "ts_ns", "code", "epoch", "clear_no", "now_ns",
-             "old_side", "old_tick", "cancelled", "fx_side", "fx_tick", "added", "traded", "refreshed", "flags",
-             "violation", "opens", "side_no", "tick", "size", "prio_origin", "prio_ord", "order_epoch", "reloads",
-             "hidden", "unavailable", "to_ord", "to_now"]
+# carried over from the input (``now_before``, -1 for none, becomes the time after the event) ...
+HEAD = ["instrument_id", "day", "order_id", "ordinal", "ts_ns", "code", "epoch", "clear_no", "now_before"]
+# ... and computed
+BODY = ["old_side", "old_tick", "cancelled", "fx_side", "fx_tick", "added", "traded", "refreshed", "flags", "violation",
+        "opens", "side_no", "tick", "size", "prio_origin", "prio_ord", "order_epoch", "reloads", "hidden", "unavailable",
+        "to_ord", "to_now"]
+OUT_NAMES = [*HEAD[:-1], "now_ns", *BODY]

@@ -53,7 +53,7 @@ def fold_input(events: DataFrame, ticks: DataFrame | int) -> DataFrame:
     rows = with_ticks(rows, ticks).filter(F.col("tick").isNotNull())
     return rows.select("instrument_id", F.unix_date("trade_date").cast("long").alias("day"), "order_id", "ordinal",
                        "ts_ns", "code", side_no(F.col("side")).alias("side_no"), "tick", "size", "epoch", "clear_no",
-                       "now_before")
+                       F.coalesce("now_before", F.lit(-1).cast("long")).alias("now_before"))
 
 
 def hot_orders(events: DataFrame, hot_rows: int) -> DataFrame:

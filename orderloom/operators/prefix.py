@@ -51,8 +51,9 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], scans: dict[str, Scan],
                           *[_AGG[s.how](f"_t_{n}").over(earlier_blocks).alias(f"_c_{n}") for n, s in scans.items()])
 
     earlier_rows = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = base.join(carry, [*keys, "_blk"])
-    out = out.withColumns({f"_w_{n}": _AGG[s.how](vals[n]).over(earlier_rows) for n, s in scans.items()})
+    # window before join: the window's sort order already serves a merge join on (key, block)
+    out = base.withColumns({f"_w_{n}": _AGG[s.how](vals[n]).over(earlier_rows) for n, s in scans.items()})
+    out = out.join(carry, [*keys, "_blk"])
     result = {}
     for n, s in scans.items():
         v = _merge(s.how, F.col(f"_c_{n}"), F.col(f"_w_{n}"))

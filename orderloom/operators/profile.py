@@ -13,51 +13,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import calendar as cal
-from ..functions.schema import KEY, PERIOD_NS, RTH_PERIODS, VALUE_AREA_PERCENT
+from ..functions.schema import KEY, MAX_LONG, RTH_PERIODS, VALUE_AREA_PERCENT
 from .orders import with_ticks
 from .prefix import Scan, prefix_scan
-from .small import sized
+from .small import calendar_of, clocked, sized
 
 
-def session_events(events: DataFrame) -> DataFrame:
+def session_events(events: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Non-snapshot events inside admission, with clock columns and the lettering flag."""
-    ev = cal.with_clock(events.filter(~F.col("is_snapshot")),
-                        "session_open_ns", "rth_open_ns", "eth_end_ns", "session_end_ns", "rth_offset")
+    ev = clocked(events.filter(~F.col("is_snapshot")), "session_open_ns", "eth_end_ns", "session_end_ns", "rth_offset",
+                 calendar=calendar)
     ev = ev.filter((F.col("ts_ns") >= F.col("session_open_ns")) & (F.col("ts_ns") < F.col("session_end_ns")))
     return ev.withColumns({
         "in_lettering": F.col("ts_ns") < F.col("eth_end_ns"),
         "eth_period": cal.eth_period(F.col("ts_ns"), F.col("session_open_ns"), F.col("eth_end_ns"))})
 
 
-def period_starts(events: DataFrame) -> DataFrame:
-    """Per session: half-hours seen, each with the first ordinal that reached it."""
-    first = session_events(events).filter("in_lettering").groupBy(*KEY, "eth_period").agg(
-        F.min("ordinal").alias("first_ord"))
-    return first.groupBy(*KEY).agg(
-        F.collect_list(F.struct("eth_period", "first_ord")).alias("starts"),
-        F.max("eth_period").alias("current_period"))
+def period_starts(session: DataFrame) -> DataFrame:
+    """Per session: the first ordinal of each half-hour (``starts``), the latest
+    half-hour, and ``later_ord``: per half-hour number, the first ordinal at
+    which any later half-hour was reached."""
+    first = session.filter("in_lettering").groupBy(*KEY, "eth_period").agg(F.min("ordinal").alias("first_ord"))
+    out = first.groupBy(*KEY).agg(
+        F.collect_list(F.struct("eth_period", "first_ord")).alias("starts"), F.max("eth_period").alias("current_period"))
+    never = F.lit(MAX_LONG)
+    later = F.transform(F.sequence(F.lit(0), F.col("current_period")), lambda p: F.aggregate(
+        "starts", never, lambda acc, s: F.when(s["eth_period"] > p, F.least(acc, s["first_ord"])).otherwise(acc)))
+    return out.withColumn("later_ord", later)
 
 
-def developing_period(starts: Column, ordinal: Column) -> Column:
-    """Running maximum half-hour at ``ordinal`` (0 before anything happened)."""
+def developing_period(starts: Column, later_ord: Column, period: Column, ordinal: Column) -> Column:
+    """Running maximum half-hour at ``ordinal``: the row's own unless a later one
+    was reached before it; only such late rows search the list."""
     seen = F.filter(starts, lambda s: s["first_ord"] <= ordinal)
-    return F.aggregate(seen, F.lit(0), lambda acc, s: F.greatest(acc, s["eth_period"]))
+    highest = F.aggregate(seen, F.lit(0), lambda acc, s: F.greatest(acc, s["eth_period"]))
+    return F.when(F.get(later_ord, period) > ordinal, period).otherwise(highest)
 
 
 def with_period(events: DataFrame) -> DataFrame:
     """Session events with ``dev_period``, ``rth_period`` and ``backward``."""
-    ev = session_events(events).join(sized(period_starts(events)), KEY, "left")
-    dev = F.when(F.col("in_lettering"), developing_period(F.col("starts"), F.col("ordinal")))
-    ev = ev.withColumn("dev_period", dev)
+    calendar = None if events.isStreaming else calendar_of(events)
+    session = session_events(events, calendar)
+    ev = session.join(sized(period_starts(session)), KEY, "left")
+    dev = developing_period(F.col("starts"), F.col("later_ord"), F.col("eth_period"), F.col("ordinal"))
+    ev = ev.withColumn("dev_period", F.when(F.col("in_lettering"), dev))
     r = F.col("dev_period") - F.col("rth_offset")
     return ev.withColumns({
         "rth_period": F.when((r >= 0) & (r < RTH_PERIODS), r),
-        "backward": F.coalesce(F.col("eth_period") < F.col("dev_period"), F.lit(False))}).drop("starts")
+        "backward": F.coalesce(F.col("eth_period") < F.col("dev_period"), F.lit(False))}).drop("starts", "later_ord")
 
 
 def trades(events: DataFrame, ticks: DataFrame | int) -> DataFrame:
     """On-grid trades of positive size with their session columns."""
-    t = with_period(events).filter((F.col("kind") == "Trade") & (F.col("size") > 0))
+    return _trades(with_period(events), ticks)
+
+
+def _trades(periods: DataFrame, ticks: DataFrame | int) -> DataFrame:
+    t = periods.filter((F.col("kind") == "Trade") & (F.col("size") > 0))
     return with_ticks(t, ticks).filter(F.col("tick").isNotNull())
 
 
@@ -71,15 +83,18 @@ def _vol(cond: Column) -> Column:
 
 def profile_rows(tr: DataFrame) -> DataFrame:
     """One row per traded price: volumes, spectrum, developing-period volume,
-    TPO bitsets.  ``last_ord`` orders ties for the point of control."""
+    TPO bitsets, and what the session figures need (first and last ordinal,
+    lettered spectrum, traded in the initial balance)."""
     lettered = F.col("in_lettering")
+    buy, sell = F.col("side") == "B", F.col("side") == "A"
     out = tr.groupBy(*KEY, "tick").agg(
-        F.sum("size").alias("volume"),
-        _vol(F.col("side") == "B").alias("buy_volume"), _vol(F.col("side") == "A").alias("sell_volume"),
+        F.sum("size").alias("volume"), _vol(buy).alias("buy_volume"), _vol(sell).alias("sell_volume"),
         _vol(lettered & (F.col("dev_period") == F.col("current_period"))).alias("period_volume"),
         F.coalesce(F.bit_or(F.when(lettered, _bit(F.col("dev_period")))), F.lit(0)).alias("eth_bits"),
         F.coalesce(F.bit_or(F.when(F.col("rth_period").isNotNull(), _bit(F.col("rth_period")))), F.lit(0)).alias("rth_bits"),
-        F.max("ordinal").alias("last_ord"))
+        F.min("ordinal").alias("first_ord"), F.max("ordinal").alias("last_ord"),
+        (_vol(lettered & buy) - _vol(lettered & sell)).alias("delta"),
+        F.coalesce(F.max(F.col("rth_period").isin(0, 1)), F.lit(False)).alias("in_ib"))
     n = F.bit_count("eth_bits").cast("int")
     return out.withColumns({"tpo_count": n, "single_print": n == 1})
 
@@ -96,63 +111,80 @@ def vpoc(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(best.alias("vpoc"), F.max("volume").alias("vpoc_volume"))
 
 
+ROW_NUMBERS = ["volume", "buy_volume", "sell_volume", "period_volume", "eth_bits", "rth_bits", "tpo_count"]
+
+
 def dense_rows(rows: DataFrame) -> DataFrame:
     """Every tick between session low and high; untraded ones are zero rows."""
     span = rows.groupBy(*KEY).agg(F.min("tick").alias("_lo"), F.max("tick").alias("_hi"))
     grid = span.select(*KEY, F.explode(F.sequence("_lo", "_hi")).alias("tick"))
-    out = grid.join(rows.drop("last_ord"), [*KEY, "tick"], "left")
-    nums = ["volume", "buy_volume", "sell_volume", "period_volume", "eth_bits", "rth_bits", "tpo_count"]
-    return out.withColumns({**{c: F.coalesce(F.col(c), F.lit(0)) for c in nums},
+    out = grid.join(rows.select(*KEY, "tick", *ROW_NUMBERS, "single_print"), [*KEY, "tick"], "left")
+    return out.withColumns({**{c: F.coalesce(F.col(c), F.lit(0)) for c in ROW_NUMBERS},
                             "single_print": F.coalesce("single_print", F.lit(False))})
 
 
-def value_area(rows: DataFrame) -> DataFrame:
-    """70 % area grown from the point of control, two rows at a time towards the
-    heavier pair (ties up; a missing side loses; whole pairs are added).
-
-    Works on one volume array per session, whose length is the traded price
-    span - it does not grow with the number of trades."""
-    dense = dense_rows(rows).groupBy(*KEY).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("tick", "volume"))), lambda s: s["volume"]).alias("v"),
-        F.min("tick").alias("lo"), F.sum("volume").alias("total"))
-    p = dense.join(vpoc(rows), KEY).withColumns({
-        "n": F.size("v"), "poc": (F.col("vpoc") - F.col("lo")).cast("int"),
-        "target": F.call_function("div", F.col("total") * VALUE_AREA_PERCENT + 99, F.lit(100))})
-    v, n = F.col("v"), F.col("n")
+def session_figures(rows: DataFrame) -> DataFrame:
+    """Range, open, balance, delta, point of control and 70 % value area of each
+    session, from its price rows in one aggregate.
+
+    The area grows from the point of control two rows at a time towards the
+    heavier pair (ties up; a missing side loses; whole pairs are added), over one
+    volume array per session.  That array is as long as the traded price span -
+    it does not grow with the number of trades."""
+    ib = F.when(F.col("in_ib"), F.col("tick"))
+    p = rows.groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("tick", "volume"))).alias("_r"),
+        F.max_by("tick", F.struct(F.col("volume"), -F.col("last_ord"))).alias("vpoc"), F.max("volume").alias("vpoc_volume"),
+        F.min(ib).alias("ib_low"), F.max(ib).alias("ib_high"), F.min("tick").alias("low"), F.max("tick").alias("high"),
+        F.min_by("tick", "first_ord").alias("open"), F.sum("volume").alias("total_volume"), F.sum("delta").alias("delta"))
+
+    # spread the rows over the span: each volume followed by a zero per untraded tick up to the next row
+    def spread(r: Column, i: Column) -> Column:
+        skipped = F.coalesce(F.get(F.col("_r"), i + 1)["tick"] - r["tick"] - 1, F.lit(0)).cast("int")
+        return F.concat(F.array(r["volume"]), F.array_repeat(F.lit(0).cast("long"), skipped))
+
+    p = p.withColumn("_v", F.flatten(F.transform("_r", spread))).drop("_r")
+    p = p.withColumns({"_n": F.size("_v"), "_poc": (F.col("vpoc") - F.col("low")).cast("int"),
+                       "_target": F.call_function("div", F.col("total_volume") * VALUE_AREA_PERCENT + 99, F.lit(100))})
+    n = F.col("_n")
 
     def at(i: Column) -> Column:
-        return F.when((i >= 0) & (i < n), F.get(v, i)).otherwise(F.lit(0).cast("long"))
+        return F.when((i >= 0) & (i < n), F.get(F.col("_v"), i)).otherwise(F.lit(0).cast("long"))
 
-    start = F.struct(F.col("poc").alias("lo"), F.col("poc").alias("hi"), at(F.col("poc")).alias("acc"))
+    start = F.struct(F.col("_poc").alias("lo"), F.col("_poc").alias("hi"), F.col("vpoc_volume").alias("acc"))
 
     def grow(s: Column, _: Column) -> Column:
         up = at(s["hi"] + 1) + at(s["hi"] + 2)
         down = at(s["lo"] - 1) + at(s["lo"] - 2)
         take_up = (s["hi"] < n - 1) & ((s["lo"] == 0) | (up >= down))
-        done = (s["acc"] >= F.col("target")) | ((s["lo"] == 0) & (s["hi"] == n - 1))
+        done = (s["acc"] >= F.col("_target")) | ((s["lo"] == 0) & (s["hi"] == n - 1))
         return F.when(done, s).when(
             take_up, F.struct(s["lo"].alias("lo"), F.least(s["hi"] + 2, n - 1).alias("hi"), (s["acc"] + up).alias("acc"))
         ).otherwise(F.struct(F.greatest(s["lo"] - 2, F.lit(0)).alias("lo"), s["hi"].alias("hi"), (s["acc"] + down).alias("acc")))
 
-    area = F.aggregate(F.sequence(F.lit(1), n), start, grow)
-    return p.withColumn("a", area).select(
-        *KEY, "vpoc", (F.col("lo") + F.col("a.lo")).alias("val"), (F.col("lo") + F.col("a.hi")).alias("vah"),
-        F.col("a.acc").alias("area_volume"), "total")
+    p = p.withColumn("_a", F.aggregate(F.sequence(F.lit(1), n), start, grow))
+    return p.withColumns({"val": F.col("low") + F.col("_a.lo"), "vah": F.col("low") + F.col("_a.hi"),
+                          "area_volume": F.col("_a.acc")}).drop("_v", "_n", "_poc", "_target", "_a")
 
 
-def session_stats(tr: DataFrame) -> DataFrame:
-    """Initial balance, range, open, total volume and session delta."""
-    ib = F.when(F.col("rth_period").isin(0, 1), F.col("tick"))
-    lettered = F.col("in_lettering")
-    return tr.groupBy(*KEY).agg(
+def value_area(rows: DataFrame) -> DataFrame:
+    return session_figures(rows).select(*KEY, "vpoc", "val", "vah", "area_volume", F.col("total_volume").alias("total"))
+
+
+def session_stats(rows: DataFrame) -> DataFrame:
+    """Initial balance, range, open (first print), total volume and session delta."""
+    ib = F.when(F.col("in_ib"), F.col("tick"))
+    return rows.groupBy(*KEY).agg(
         F.min(ib).alias("ib_low"), F.max(ib).alias("ib_high"), F.min("tick").alias("low"), F.max("tick").alias("high"),
-        F.min_by("tick", "ordinal").alias("open"), F.sum("size").alias("total_volume"),
-        (_vol(lettered & (F.col("side") == "B")) - _vol(lettered & (F.col("side") == "A"))).alias("delta"))
+        F.min_by("tick", "first_ord").alias("open"), F.sum("volume").alias("total_volume"), F.sum("delta").alias("delta"))
 
 
 def session_counters(events: DataFrame) -> DataFrame:
     """Developing half-hour, gap-in-half-hour flag and the profile's counters."""
-    ev = with_period(events)
+    return _counters(with_period(events))
+
+
+def _counters(ev: DataFrame) -> DataFrame:
     zero_trade = (F.col("kind") == "Trade") & (F.col("size") == 0)
     current = F.coalesce(F.col("current_period"), F.lit(0))
     gap_now = (F.col("kind") == "Gap") & F.col("in_lettering") & (F.col("dev_period") == current)
@@ -238,12 +270,16 @@ def touch_islands(tr: DataFrame) -> DataFrame:
 
 def session_summary(events: DataFrame, ticks: DataFrame | int) -> DataFrame:
     """One record per session: open, POC, value area, balance, half-hour, gap, CVD, candles."""
-    tr = trades(events, ticks)
-    rows = profile_rows(tr)
+    ev = with_period(events)
+    tr = _trades(ev, ticks)
     path = cvd_path(tr)
     bars = cvd_candles(path).groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("period", "open", "high", "low", "close"))).alias("candles"))
-    out = session_stats(tr).join(value_area(rows).drop("total", "area_volume"), KEY)
-    out = out.join(session_counters(events), KEY).join(cvd_range(path).drop("cvd"), KEY, "left").join(bars, KEY, "left")
-    newest = Window.partitionBy("instrument_id")
+    # the CVD range is in the candles: their highs and lows cover every value and the opening zero
+    bars = bars.withColumns({
+        "cvd_low": F.array_min(F.transform("candles", lambda b: b["low"])),
+        "cvd_high": F.array_max(F.transform("candles", lambda b: b["high"]))})
+    out = session_figures(profile_rows(tr)).drop("vpoc_volume", "area_volume")
+    out = out.join(_counters(ev), KEY).join(bars, KEY, "left")
+    newest = Window.partitionBy("instrument_id")  # one row per session
     return out.withColumn("is_current", F.col("trade_date") == F.max("trade_date").over(newest))

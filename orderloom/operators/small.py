@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import calendar as cal
+
 MAX_ROWS = 50_000
 MAX_BYTES = 64 << 20
 
@@ -21,3 +23,17 @@ def sized(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -
     if got.num_rows > max_rows or got.nbytes > max_bytes:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(got, df.schema))
+
+
+def calendar_of(events: DataFrame) -> DataFrame:
+    """Session clocks of the trade dates present (reads the partition column only)."""
+    return sized(cal.session_calendar(events.select("trade_date")))
+
+
+def clocked(events: DataFrame, *names: str, calendar: DataFrame | None = None) -> DataFrame:
+    """Attach clock columns.  Zone arithmetic runs once per trade date and is
+    joined on, instead of once per row; streams compute it per row."""
+    if events.isStreaming:
+        return cal.with_clock(events, *names)
+    dim = calendar if calendar is not None else calendar_of(events)
+    return events.join(dim.select("trade_date", *names), "trade_date")

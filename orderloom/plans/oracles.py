@@ -306,7 +306,7 @@ FROM (SELECT f.*, (SELECT min(g.ordinal) FROM fo g WHERE g.instrument_id = f.ins
 
 CTES["st0"] = """
 SELECT *, CASE WHEN opens THEN o_side ELSE 'N' END AS s_side, CASE WHEN opens THEN o_tick ELSE 0 END AS s_tick, CASE WHEN opens THEN o_size ELSE 0 END AS s_size,
-       CASE WHEN opens THEN o_origin ELSE 0 END AS s_origin, CASE WHEN opens THEN o_prio ELSE 0 END AS s_prio FROM lg"""
+       CAST(CASE WHEN opens THEN o_origin ELSE 0 END AS BIGINT) AS s_origin, CASE WHEN opens THEN o_prio ELSE 0 END AS s_prio FROM lg"""
 
 CTES["cut0"] = f"""
 SELECT {K}, coalesce(min(ordinal) FILTER (ts_ns > rth_close_ns) - 1, max(ordinal)) AS cut_ord FROM ev JOIN cal USING (trade_date) GROUP BY ALL"""
@@ -533,7 +533,7 @@ LEFT JOIN (SELECT {K}, string_agg(concat_ws(':', period, open, high, low, close)
     "e13_gap_epochs": f"SELECT {_EF}, o_epoch AS order_epoch, epoch - o_epoch AS gaps_survived FROM lg WHERE opens",
     "e14_desync": f"SELECT {K}, count(*) FILTER (act = 'place_desync') AS desync_add, count(*) FILTER (act = 'desync_cancel') AS desync_cancel, count(*) FILTER (act IN ('desync_remove', 'desync_replace')) AS desync_modify, count(*) FILTER (act = 'fill_desync') AS desync_fill FROM fo GROUP BY ALL",
     "e15_depth": f"SELECT {K}, side, tick, total_size, order_count FROM dp",
-    "e16_best_first": f"SELECT {K}, side, tick, total_size, order_count, row_number() OVER w AS level FROM dp QUALIFY level <= 5 WINDOW w AS (PARTITION BY {K}, side ORDER BY CASE WHEN side = 'B' THEN -tick ELSE tick END)",
+    "e16_best_first": f"SELECT {K}, side, tick, total_size, order_count, row_number() OVER w AS level FROM dp WINDOW w AS (PARTITION BY {K}, side ORDER BY CASE WHEN side = 'B' THEN -tick ELSE tick END) QUALIFY level <= 5",
     "e17_bbo": f"SELECT {K}, best_bid, best_ask FROM bb",
     "e17_bbo_series": f"""SELECT p.instrument_id, p.trade_date, p.bucket, p.cut_ord, max(o_tick) FILTER (o_side = 'B') AS best_bid, min(o_tick) FILTER (o_side = 'A') AS best_ask
 FROM pt p LEFT JOIN lg l ON l.instrument_id = p.instrument_id AND l.trade_date = p.trade_date AND l.opens AND l.ordinal <= p.cut_ord AND l.to_ord > p.cut_ord AND l.clear_no = p.clear_no GROUP BY ALL""",
@@ -569,8 +569,8 @@ SELECT {K}, """ + ", ".join(f"coalesce({x}, 0) AS {x}" for x in ["refreshes", "h
  g AS (SELECT {K}, unnest(range(c - 24, c + 24, 2)) AS tick FROM (SELECT {K}, ((min(tick) + max(tick)) // 2) - ((min(tick) + max(tick)) // 2) % 2 AS c FROM s GROUP BY {K}))
 SELECT {K}, tick, """ + ", ".join(f"coalesce({x}, 0) AS {x}" for x in ["eth_bits", "rth_bits", "volume", "period_volume", "buy_volume", "sell_volume"]) + " FROM g LEFT JOIN s USING (instrument_id, trade_date, tick)",
     "f07_centered_window": f"""WITH c AS (SELECT {K}, coalesce(min(tick) FILTER (tick * 2 >= follow_x2), max(tick)) AS ce FROM lad2 JOIN fp USING (instrument_id, trade_date) GROUP BY ALL),
- i AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY tick) - 1 AS i, count(*) OVER (PARTITION BY {K}) AS n FROM lad2), a AS (SELECT {K}, i AS at FROM i JOIN c USING (instrument_id, trade_date) WHERE tick = ce)
-SELECT {K}, tick, bid_size, ask_size, session_volume FROM (SELECT *, least(greatest(at - 4, 0), n - 9) AS s FROM i JOIN a USING (instrument_id, trade_date)) WHERE i >= s AND i < s + 9""",
+ i AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY tick) - 1 AS i, count(*) OVER (PARTITION BY {K}) AS n FROM lad2), a AS (SELECT {K}, i AS mid FROM i JOIN c USING (instrument_id, trade_date) WHERE tick = ce)
+SELECT {K}, tick, bid_size, ask_size, session_volume FROM (SELECT *, least(greatest(mid - 4, 0), n - 9) AS s FROM i JOIN a USING (instrument_id, trade_date)) WHERE i >= s AND i < s + 9""",
     "f07_anchored_window": f"""SELECT g.instrument_id, g.trade_date, g.tick, l.tick IS NOT NULL AS source_present, coalesce(bid_size, 0) AS bid_size, coalesce(ask_size, 0) AS ask_size, coalesce(session_volume, 0) AS session_volume
 FROM (SELECT {K}, unnest(range(20030 - 20, 20030 + 22, 2)) AS tick FROM cut) g LEFT JOIN lad2 l ON l.instrument_id = g.instrument_id AND l.trade_date = g.trade_date AND l.tick = g.tick""",
     "f08_row_lookup": f"""WITH t AS (SELECT {K}, coalesce(last_tick, 0) * 2 + 1 AS x FROM ins)
@@ -590,8 +590,8 @@ SELECT {K}, count(*) AS compared, count(*) FILTER (volume <> fv) AS mismatched,
     "h04_sliding_flow": "SELECT instrument_id, price, (ts_ns // 500000000 + 1 + n) * 500000 AS end_us, sum(size)::BIGINT AS traded FROM ev, (SELECT unnest(range(0, 10)) AS n) WHERE kind = 'Fill' GROUP BY ALL",
     "h05_session_volume": f"SELECT {K}, price, sum(size)::BIGINT AS volume FROM ev WHERE kind = 'Trade' GROUP BY ALL",
     "h06_stateful_orders": """SELECT instrument_id, order_id, ordinal, cancelled, added, traded, coalesce(refreshed, -1) AS refreshed,
- CASE WHEN act IN ('unknown', 'fill_unknown') THEN 1 ELSE 0 END + CASE WHEN act = 'place_desync' THEN 2 WHEN act = 'desync_cancel' THEN 4 WHEN act IN ('desync_remove', 'desync_replace') THEN 8 WHEN act = 'fill_desync' THEN 16 ELSE 0 END
- + CASE WHEN off_display THEN 32 ELSE 0 END + CASE WHEN depletes THEN 64 ELSE 0 END AS flags, CASE WHEN opens THEN 1 ELSE 0 END AS opens, s_size AS size,
+ 0::BIGINT + CASE WHEN act IN ('unknown', 'fill_unknown') THEN 1 ELSE 0 END + CASE WHEN act = 'place_desync' THEN 2 WHEN act = 'desync_cancel' THEN 4 WHEN act IN ('desync_remove', 'desync_replace') THEN 8 WHEN act = 'fill_desync' THEN 16 ELSE 0 END
+ + CASE WHEN off_display THEN 32 ELSE 0 END + CASE WHEN depletes THEN 64 ELSE 0 END AS flags, CAST(CASE WHEN opens THEN 1 ELSE 0 END AS BIGINT) AS opens, s_size AS size,
  CASE WHEN changed THEN coalesce((SELECT max(g.ordinal) FROM lg g WHERE g.instrument_id = l.instrument_id AND g.trade_date = l.trade_date AND g.order_id = l.order_id AND g.ordinal < l.ordinal AND g.to_ord = l.ordinal), -1) ELSE -1 END AS closes_ord FROM st0 l""",
     "h07_profile_publication": f"SELECT {K}, tick, volume, eth_bits, period_volume FROM pr",
     "h09_head_lag": "SELECT instrument_id, max(ts_ns) AS head_ns, 1706745600000000000 - max(ts_ns) AS lag_ns FROM ev WHERE NOT is_snapshot GROUP BY 1",

@@ -13,6 +13,7 @@ from ..functions.schema import KEY, tick_value
 from ..operators import asof, audit, book, ingest, orders, priors, profile, views
 from ..sources import events_feed as feed, mbo
 from ..streaming import live as streaming
+from .store import stored, stored_path
 from .workdir import work_dir
 
 TICK = feed.TICK_SIZE
@@ -31,7 +32,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def ev(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.canonical_events(spark, sf)
+    """The stored event table."""
+    return stored(spark, sf, "events", lambda: feed.canonical_events(spark, sf))
 
 
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +45,8 @@ def canon(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_of(spark: SparkSession, sf: str) -> DataFrame:
-    return orders.order_log(ev(spark, sf), TICK)
+    """The stored order log."""
+    return stored(spark, sf, "order_log", lambda: orders.order_log(ev(spark, sf), TICK))
 
 
 def at() -> F.Column:
@@ -136,7 +139,7 @@ def a08_stitched_files(spark, sf):
 @query
 def a09_partitioned_write(spark, sf):
     path = work_dir(spark, "events")
-    mbo.write_events(ev(spark, sf), path)
+    mbo.write_events(feed.canonical_events(spark, sf), path)
     return mbo.read_events(spark, path).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first_ord"), F.max("ordinal").alias("last_ord"),
         F.sum("size").alias("size_sum"))
@@ -219,17 +222,10 @@ def a16_missing_dates(spark, sf):
     return priors.missing_dates(_candidate_dates(spark, sf), have)
 
 
-def _stored_events(spark, sf) -> str:
-    """The event table on storage, as the source of a stream."""
-    path = work_dir(spark, "feed")
-    e = ev(spark, sf)
-    e.withColumn("_f", F.shiftright("ordinal", 16)).repartition("_f").sortWithinPartitions("ordinal").drop("_f").write.parquet(path)
-    return path
-
-
 def _stream(spark, sf):
     from ..functions.schema import EVENT_SCHEMA
-    return spark.readStream.schema(EVENT_SCHEMA).parquet(_stored_events(spark, sf))
+    path = stored_path(spark, sf, "events", lambda: feed.canonical_events(spark, sf))
+    return spark.readStream.schema(EVENT_SCHEMA).parquet(path)
 
 
 def _drain(spark, rows: DataFrame) -> DataFrame:
@@ -437,7 +433,7 @@ def c12_watermarks(spark, sf):
 @query
 def c13_book_counters(spark, sf):
     e = ev(spark, sf)
-    return audit.book_counters(orders.order_log(e, TICK), asof.cuts(e), e)
+    return audit.book_counters(log_of(spark, sf), asof.cuts(e), e)
 
 
 @query
@@ -502,17 +498,17 @@ def d09_value_area(spark, sf):
 
 @query
 def d10_initial_balance(spark, sf):
-    return profile.session_stats(tr_of(spark, sf)).select(*KEY, "ib_low", "ib_high")
+    return profile.session_stats(rows_of(spark, sf)).select(*KEY, "ib_low", "ib_high")
 
 
 @query
 def d11_range_open_total(spark, sf):
-    return profile.session_stats(tr_of(spark, sf)).select(*KEY, "low", "high", "open", "total_volume")
+    return profile.session_stats(rows_of(spark, sf)).select(*KEY, "low", "high", "open", "total_volume")
 
 
 @query
 def d12_session_delta(spark, sf):
-    return profile.session_stats(tr_of(spark, sf)).select(*KEY, "delta")
+    return profile.session_stats(rows_of(spark, sf)).select(*KEY, "delta")
 
 
 @query
@@ -576,7 +572,7 @@ def d22_letter_strings(spark, sf):
 
 @query
 def d23_sessions(spark, sf):
-    s = profile.session_stats(tr_of(spark, sf))
+    s = profile.session_stats(rows_of(spark, sf))
     newest = F.max("trade_date").over(Window.partitionBy("instrument_id"))
     return s.select(*KEY, "total_volume", (c("trade_date") == newest).alias("is_current"))
 
@@ -714,7 +710,7 @@ def e17_bbo(spark, sf):
 @query
 def e17_bbo_series(spark, sf):
     e = ev(spark, sf)
-    return book.bbo_series(orders.order_intervals(orders.order_log(e, TICK)), asof.snapshot_cuts(e))
+    return book.bbo_series(orders.order_intervals(log_of(spark, sf)), asof.snapshot_cuts(e))
 
 
 @query
@@ -750,7 +746,7 @@ def e23_flow_series(spark, sf):
 @query
 def e23_flow_window(spark, sf):
     e = ev(spark, sf)
-    return book.flow_at(e, orders.flow_deltas(orders.order_log(e, TICK)), cut_of(e))
+    return book.flow_at(e, orders.flow_deltas(log_of(spark, sf)), cut_of(e))
 
 
 @query
@@ -783,13 +779,13 @@ def e28_refresh_totals(spark, sf):
 def e29_book_counts(spark, sf):
     e = ev(spark, sf)
     cut = cut_of(e)
-    return book.book_counts(asof.live_orders(orders.order_intervals(orders.order_log(e, TICK)), cut), cut)
+    return book.book_counts(asof.live_orders(orders.order_intervals(log_of(spark, sf)), cut), cut)
 
 
 @query
 def e30_iceberg_census(spark, sf):
     e = ev(spark, sf)
-    log = orders.order_log(e, TICK)
+    log = log_of(spark, sf)
     from ..operators.small import sized
     live = asof.live_orders(orders.order_intervals(log), sized(asof.cuts(e)))
     return book.census(log, orders.refreshes(log), live)
@@ -808,7 +804,7 @@ def f01_state_at(spark, sf):
 @query
 def f02_state_snapshots(spark, sf):
     e = ev(spark, sf)
-    snaps = asof.state_snapshots(orders.order_intervals(orders.order_log(e, TICK)), asof.snapshot_cuts(e, 600_000_000_000), 600_000_000_000)
+    snaps = asof.state_snapshots(orders.order_intervals(log_of(spark, sf)), asof.snapshot_cuts(e, 600_000_000_000), 600_000_000_000)
     return snaps.select(*KEY, "bucket", "cut_ord", "order_id", "side", "tick", "size")
 
 
@@ -822,14 +818,14 @@ def f03_nearest_snapshot(spark, sf):
 def f03_state_from_snapshot(spark, sf):
     e = ev(spark, sf)
     step = 600_000_000_000
-    iv = orders.order_intervals(orders.order_log(e, TICK))
+    iv = orders.order_intervals(log_of(spark, sf))
     points = asof.snapshot_cuts(e, step)
     return asof.live_from_snapshot(asof.state_snapshots(iv, points, step), iv, points, cut_of(e)).select(*LIVE)
 
 
 def _ladder(spark, sf):
     e = ev(spark, sf)
-    log = orders.order_log(e, TICK)
+    log = log_of(spark, sf)
     cut = cut_of(e)
     ins = views.inside(e, log, cut)
     return views.ladder(views.ladder_measures(e, log, TICK, cut), ins, 40), ins
@@ -900,7 +896,7 @@ def f12_badges(spark, sf):
 def f13_volume_agreement(spark, sf):
     e = ev(spark, sf)
     traded = profile.trades(e, TICK).groupBy(*KEY, "tick").agg(F.sum("size").alias("trade_volume"))
-    filled = orders.fills(orders.order_log(e, TICK)).groupBy(*KEY, "tick").agg(F.sum("size").alias("fill_volume"))
+    filled = orders.fills(log_of(spark, sf)).groupBy(*KEY, "tick").agg(F.sum("size").alias("fill_volume"))
     return audit.volume_agreement(traded, filled)
 
 
@@ -922,7 +918,7 @@ def f14_ladder_breaks(spark, sf):
 
 @query
 def f15_open_marker(spark, sf):
-    return views.open_marker(profile.session_stats(tr_of(spark, sf)), 4)
+    return views.open_marker(profile.session_stats(rows_of(spark, sf)), 4)
 
 
 # ---- H: streaming ---------------------------------------------------------

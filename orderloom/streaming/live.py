@@ -116,7 +116,8 @@ def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WI
     e = orders.with_ticks(e.withColumn("code", code).filter(F.col("code").isNotNull()), tick_size)
     e = e.filter(F.col("tick").isNotNull()).withWatermark("ts", "2 hours").select(
         "instrument_id", F.unix_date("trade_date").cast("long").alias("day"), "order_id", "ordinal", "ts_ns", "code",
-        orders.side_no(F.col("side")).alias("side_no"), "tick", "size", "epoch", "clear_no", "now_before", "ts")
+        orders.side_no(F.col("side")).alias("side_no"), "tick", "size", "epoch", "clear_no",
+        F.coalesce("now_before", F.lit(-1).cast("long")).alias("now_before"), "ts")
 
     def run(key, frames, state):
         import pandas as pd
@@ -132,10 +133,9 @@ def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WI
         rows, late = [], 0
         events = pd.concat(list(frames)).sort_values("ordinal")
         for r in events.itertuples(index=False):
-            before = None if pd.isna(r.now_before) else int(r.now_before)
             if fresh:
                 o.clear_no, fresh = int(r.clear_no), False
-            changed, *fx = fold.step(o, r.code, r.ordinal, r.ts_ns, r.side_no, r.tick, r.size, r.epoch, r.clear_no, before, window_ns)
+            changed, *fx = fold.step(o, r.code, r.ordinal, r.ts_ns, r.side_no, r.tick, r.size, r.epoch, r.clear_no, r.now_before, window_ns)
             closes = open_ord if changed else -1
             if changed:
                 open_ord = r.ordinal if o.live else -1
