@@ -81,7 +81,7 @@ def split_hot(rows: DataFrame, hot: DataFrame, window_ns: int) -> DataFrame:
     many = prefix_scan(many, okey, {"seg": Scan("sum", F.col("_fresh").cast("long"), inclusive=True)})
     head = F.struct("code", "seg")
     tail = F.struct(F.lit(fold.END).cast("long").alias("code"), (F.col("seg") - 1).alias("seg"))
-    both = F.when(F.col("_fresh") & (F.col("seg") > 1), F.array(head, tail)).otherwise(F.array(head))
+    both = F.when(F.col("_fresh"), F.array(head, tail)).otherwise(F.array(head))
     many = many.withColumn("_p", F.explode(both)).withColumns({"code": F.col("_p.code"), "seg": F.col("_p.seg")})
     return cold.unionByName(many.select(*cold.columns))
 
@@ -103,11 +103,13 @@ def order_log(events: DataFrame, ticks: DataFrame | int, window_ns: int = REFRES
     okey = ["instrument_id", "day", "order_id", "seg"]
     rows = rows.select(*fold.IN_NAMES).repartition(*okey).sortWithinPartitions(*okey, "ordinal")
     out = rows.mapInArrow(lambda b: fold.fold_batches(b, window_ns), ", ".join(f"{n} long" for n in fold.OUT_NAMES))
+    # an END mark stays only where it found something to report; it then speaks for its add
+    out = out.filter((F.col("code") != fold.END) | (F.col("flags") != 0) | (F.col("violation") != 0))
     names = F.array(*[F.lit(v) for v in fold.VIOLATIONS])
     flag = F.col("flags")
-    kind = F.when(F.col("code") == fold.ADD, "Add").when(F.col("code") == fold.CANCEL, "Cancel").when(
+    kind = F.when(F.col("code").isin(fold.ADD, fold.END), "Add").when(F.col("code") == fold.CANCEL, "Cancel").when(
         F.col("code") == fold.MODIFY, "Modify").when(F.col("code") == fold.FILL, "Fill").when(
-        F.col("code") == fold.SNAP, "Snapshot").otherwise("End")
+        F.col("code") == fold.SNAP, "Snapshot")
     bits = {"unknown_ref": fold.UNKNOWN_REF, "desync_add": fold.DESYNC_ADD, "desync_cancel": fold.DESYNC_CANCEL,
             "desync_modify": fold.DESYNC_MODIFY, "desync_fill": fold.DESYNC_FILL, "off_display": fold.OFF_DISPLAY,
             "depletes": fold.DEPLETES}

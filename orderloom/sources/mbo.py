@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.schema import EVENT_SCHEMA, KEY, RAW_SCHEMA
 from ..operators.prefix import Scan, prefix_scan
@@ -47,7 +47,7 @@ def with_ordinal(raw: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENT_SCHEMA).parquet(path)
+    return spark.read.schema(EVENT_SCHEMA).parquet(path).select(*EVENT_SCHEMA.names)  # partition columns read last otherwise
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -57,25 +57,21 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
-def write_sessions(rows: DataFrame, path: str, mode: str = "overwrite") -> int:
-    """Session-partitioned parquet of an ordinal-keyed table; returns the row count.
+def write_sessions(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Session-partitioned parquet of an ordinal-keyed table.
 
     A hot session is written by many tasks, each holding a contiguous run of
     ordinals, so ordinal and time statistics prune."""
-    seen = Observation()
-    run = F.shiftright("ordinal", ROWS_PER_FILE_BITS)
-    out = rows.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_run", run)
+    out = rows.withColumn("_run", F.shiftright("ordinal", ROWS_PER_FILE_BITS))
     out = out.repartition(*KEY, "_run").sortWithinPartitions(*KEY, "ordinal").drop("_run")
     out.write.mode(mode).partitionBy("trade_date", "instrument_id").option("compression", "zstd").parquet(path)
-    return seen.get["n"]
 
 
-def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> int:
+def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write the event table; an empty result is an error, not an empty log."""
-    n = write_sessions(events.select(*EVENT_SCHEMA.names), path, mode)
-    if n == 0:
+    write_sessions(events.select(*EVENT_SCHEMA.names), path, mode)
+    if read_events(events.sparkSession, path).isEmpty():
         raise ValueError("no events to write")
-    return n
 
 
 def scan_range(events: DataFrame, ordinals: tuple[int, int] | None = None, times_ns: tuple[int, int] | None = None) -> DataFrame:
