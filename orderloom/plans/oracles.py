@@ -594,6 +594,8 @@ SELECT {K}, count(*) AS compared, count(*) FILTER (volume <> fv) AS mismatched,
  + CASE WHEN off_display THEN 32 ELSE 0 END + CASE WHEN depletes THEN 64 ELSE 0 END AS flags, CAST(CASE WHEN opens THEN 1 ELSE 0 END AS BIGINT) AS opens, s_size AS size,
  CASE WHEN changed THEN coalesce((SELECT max(g.ordinal) FROM lg g WHERE g.instrument_id = l.instrument_id AND g.trade_date = l.trade_date AND g.order_id = l.order_id AND g.ordinal < l.ordinal AND g.to_ord = l.ordinal), -1) ELSE -1 END AS closes_ord FROM st0 l""",
     "h07_profile_publication": f"SELECT {K}, tick, volume, eth_bits, period_volume FROM pr",
+    "h08_restarted_append": f"SELECT {K}, count(*) AS n, count(DISTINCT ordinal) AS distinct_ord, max(ordinal) AS frontier FROM ev GROUP BY ALL",
+    "h10_chunked_replay": f"SELECT {K}, price, sum(size)::BIGINT AS volume FROM ev WHERE kind = 'Trade' GROUP BY ALL",
     "h09_head_lag": "SELECT instrument_id, max(ts_ns) AS head_ns, 1706745600000000000 - max(ts_ns) AS lag_ns FROM ev WHERE NOT is_snapshot GROUP BY 1",
 }
 

@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import calendar as cal, letters
-from ..functions.schema import KEY, tick_value
+from ..functions.schema import EVENT_SCHEMA, KEY, tick_value
 from ..operators import asof, audit, book, ingest, orders, priors, profile, views
+from ..operators.small import sized
 from ..sources import events_feed as feed, mbo
 from ..streaming import live as streaming
 from .store import stored, stored_path
@@ -54,7 +55,6 @@ def at() -> F.Column:
 
 
 def cut_of(events: DataFrame) -> DataFrame:
-    from ..operators.small import sized
     return sized(asof.cuts(events, at()))
 
 
@@ -222,10 +222,10 @@ def a16_missing_dates(spark, sf):
     return priors.missing_dates(_candidate_dates(spark, sf), have)
 
 
-def _stream(spark, sf):
-    from ..functions.schema import EVENT_SCHEMA
+def _stream(spark, sf, files_per_batch: int | None = None):
     path = stored_path(spark, sf, "events", lambda: feed.canonical_events(spark, sf))
-    return spark.readStream.schema(EVENT_SCHEMA).parquet(path)
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def _drain(spark, rows: DataFrame) -> DataFrame:
@@ -786,7 +786,6 @@ def e29_book_counts(spark, sf):
 def e30_iceberg_census(spark, sf):
     e = ev(spark, sf)
     log = log_of(spark, sf)
-    from ..operators.small import sized
     live = asof.live_orders(orders.order_intervals(log), sized(asof.cuts(e)))
     return book.census(log, orders.refreshes(log), live)
 
@@ -991,6 +990,23 @@ def h07_profile_publication(spark, sf):
     return spark.read.parquet(out).select(c("instrument_id").cast("long"), c("trade_date").cast("date"), "tick", "volume", "eth_bits", "period_volume")
 
 
+@query
+def h08_restarted_append(spark, sf):
+    """The append sink started twice on the same checkpoint: nothing is written again."""
+    path, ckpt = work_dir(spark, "live"), work_dir(spark, "ckpt")
+    for _ in range(2):
+        streaming.append_events(_stream(spark, sf, 64), path, ckpt).awaitTermination()
+    return mbo.read_events(spark, path).groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("ordinal").alias("distinct_ord"), F.max("ordinal").alias("frontier"))
+
+
+@query
+def h10_chunked_replay(spark, sf):
+    """The same volumes as one pass, taken over several micro-batches."""
+    rows = _drain_updates(spark, streaming.session_volume(_stream(spark, sf, 40)))
+    return _latest(rows, [*KEY, "price"], "volume")
+
+
 @query
 def h09_head_lag(spark, sf):
     e = ev(spark, sf)

@@ -15,6 +15,7 @@ from ..sources import mbo
 from .workdir import work_dir
 
 _PATHS: dict[tuple[str, str, str], str] = {}
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> str:
@@ -27,4 +28,8 @@ def stored_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[],
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    return mbo.read_sessions(spark, stored_path(spark, sf_dir, name, build))
+    """The stored table; its files are listed once per session, not per use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = mbo.read_sessions(spark, stored_path(spark, sf_dir, name, build))
+    return _TABLES[key]
