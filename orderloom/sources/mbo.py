@@ -62,8 +62,9 @@ def write_sessions(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
     A hot session is written by many tasks, each holding a contiguous run of
     ordinals, so ordinal and time statistics prune."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: not merged into few writers
     out = rows.withColumn("_run", F.shiftright("ordinal", ROWS_PER_FILE_BITS))
-    out = out.repartition(*KEY, "_run").sortWithinPartitions(*KEY, "ordinal").drop("_run")
+    out = out.repartition(tasks, *KEY, "_run").sortWithinPartitions(*KEY, "ordinal").drop("_run")
     out.write.mode(mode).partitionBy("trade_date", "instrument_id").option("compression", "zstd").parquet(path)
 
 
