@@ -90,17 +90,3 @@ def eth_period(ts_ns: Column, open_ns: Column, end_ns: Column) -> Column:
 
 def rth_period(ts_ns: Column, rth_open: Column, rth_close: Column) -> Column:
     return F.when((ts_ns >= rth_open) & (ts_ns < rth_close), _idiv(ts_ns - rth_open, PERIOD_NS).cast("int"))
-
-
-def bucket_by_calendar(events: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Trade date by looking the time up in the calendar.  The range predicate
-    is narrowed to an equality on the UTC day, so it is a hash join: a session
-    touches two UTC days, hence two candidate rows per calendar entry."""
-    day_ns = DAY_US * 1000
-    spans = calendar.select(
-        F.col("trade_date").alias("bucket_date"), "session_open_ns", "session_end_ns",
-        F.explode(F.sequence(_idiv(F.col("session_open_ns"), day_ns),
-                             _idiv(F.col("session_end_ns") - 1, day_ns))).alias("_utc_day"))
-    ev = events.withColumn("_utc_day", _idiv(F.col("ts_ns"), day_ns))
-    hit = (F.col("ts_ns") >= F.col("session_open_ns")) & (F.col("ts_ns") < F.col("session_end_ns"))
-    return ev.join(spans, (ev["_utc_day"] == spans["_utc_day"]) & hit).drop("_utc_day", "session_open_ns", "session_end_ns")

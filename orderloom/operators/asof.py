@@ -23,7 +23,8 @@ def cuts(events: DataFrame, at_ns: Column | None = None) -> DataFrame:
     """Book scalars of every session at its cut (``None`` = end of session).
 
     ``epoch`` gaps so far, ``clear_no`` clears so far, ``now_ns`` latest event
-    time, sequence and gap accounting - one map-side-combined pass."""
+    time, sequence and gap accounting - one map-side-combined pass, evaluated
+    once because every as-of read joins it."""
     at = at_ns if at_ns is not None else F.lit(MAX_LONG)
     points = sized(cut_ordinals(events, at))
     ev = events.join(points, KEY).filter(F.col("ordinal") <= F.col("cut_ord"))
@@ -39,10 +40,10 @@ def cuts(events: DataFrame, at_ns: Column | None = None) -> DataFrame:
     out = points.join(got, KEY, "left")
     pending = F.col("_gap").isNotNull() & (F.col("_seq").isNull() | (F.col("_seq.ordinal") < F.col("_gap.ordinal")))
     zero = F.lit(0).cast("long")
-    return out.select(
+    return sized(out.select(
         *KEY, "cut_ord", "at_ns", *[F.coalesce(F.col(c), zero).alias(c) for c in ("epoch", "clear_no", "snapshot_clears", "events")],
         "now_ns", F.col("_gap.gap_expected").alias("gap_expected"), F.col("_gap.gap_observed").alias("gap_observed"),
-        pending.alias("gap_pending"), F.when(~pending, F.col("_seq.seq")).alias("last_seq"))
+        pending.alias("gap_pending"), F.when(~pending, F.col("_seq.seq")).alias("last_seq")))
 
 
 def upto(rows: DataFrame, cut: DataFrame) -> DataFrame:

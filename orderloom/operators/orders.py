@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.schema import KEY, REFRESH_WINDOW_NS, tick_of
 from . import fold
 from .prefix import Scan, prefix_scan
+from .small import sized
 
 cloudpickle.register_pickle_by_value(fold)  # workers need not have this package installed
 
@@ -20,7 +21,7 @@ def with_ticks(events: DataFrame, ticks: DataFrame | int) -> DataFrame:
     missing instrument keeps a null tick and is reported by the grid audit)."""
     if isinstance(ticks, int):
         return events.withColumn("tick", tick_of(F.col("price"), F.lit(ticks).cast("long")))
-    dim = ticks.select("instrument_id", F.col("tick_size").alias("_ts"))
+    dim = sized(ticks.select("instrument_id", F.col("tick_size").alias("_ts")))
     return events.join(dim, "instrument_id", "left").withColumn("tick", tick_of(F.col("price"), F.col("_ts"))).drop("_ts")
 
 

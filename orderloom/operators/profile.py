@@ -233,15 +233,14 @@ def touch_counters(prints: DataFrame, gaps: DataFrame | None, counter: Column) -
     ``prints`` has KEY, ordinal, tick, size; ``counter`` names cB or cA (null = neither)."""
     p = prints.select(*KEY, "ordinal", "tick", "size", counter.alias("counter")).filter(F.col("counter").isNotNull())
     k = [*KEY, "counter"]
-    p = prefix_scan(p, k, {"_prev": Scan("max", F.struct("ordinal", "tick"))})
+    p = prefix_scan(p, k, {"_prev": Scan("max", F.struct("ordinal", "tick")), "_run": Scan("sum", F.col("size"))})
     changed = F.col("_prev").isNull() | (F.col("_prev.tick") != F.col("tick"))
-    p = p.withColumn("_start", F.when(changed, F.col("ordinal")))
-    island = p.groupBy(*k).agg(F.max("_start").alias("since"), F.max_by("tick", "ordinal").alias("tick"))
-    vol = p.join(island.select(*k, "since"), k).filter(F.col("ordinal") >= F.col("since")).groupBy(*k).agg(
-        F.sum("size").alias("volume"))
-    out = island.join(vol, k)
+    # all volume less what had run before the last restart (running volume never falls)
+    out = p.groupBy(*k).agg(
+        F.max_by("tick", "ordinal").alias("tick"), (F.sum("size") - F.max(F.when(changed, F.col("_run")))).alias("volume"),
+        F.max(F.when(changed, F.col("ordinal"))).alias("since"))
     if gaps is None:
-        return out.select(*k, "tick", "volume", "since")
+        return out
     last_gap = gaps.groupBy(*KEY).agg(F.max("ordinal").alias("_gap"))
     out = out.join(last_gap, KEY, "left")
     return out.select(*k, "tick", "volume", "since", F.coalesce(F.col("_gap") > F.col("since"), F.lit(False)).alias("gap_marked"))

@@ -37,3 +37,17 @@ def clocked(events: DataFrame, *names: str, calendar: DataFrame | None = None) -
         return cal.with_clock(events, *names)
     dim = calendar if calendar is not None else calendar_of(events)
     return events.join(dim.select("trade_date", *names), "trade_date")
+
+
+def bucket_by_calendar(events: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Trade date by looking the time up in the calendar.  The range predicate is
+    narrowed to an equality on the UTC day: a session touches two UTC days, so a
+    calendar entry is two rows of the (size-checked) broadcast side."""
+    day_ns = F.lit(86_400_000_000_000)
+    spans = sized(calendar.select(
+        F.col("trade_date").alias("bucket_date"), "session_open_ns", "session_end_ns",
+        F.explode(F.sequence(F.call_function("div", F.col("session_open_ns"), day_ns),
+                             F.call_function("div", F.col("session_end_ns") - 1, day_ns))).alias("_utc_day")))
+    ev = events.withColumn("_utc_day", F.call_function("div", F.col("ts_ns"), day_ns))
+    hit = (F.col("ts_ns") >= F.col("session_open_ns")) & (F.col("ts_ns") < F.col("session_end_ns"))
+    return ev.join(spans, "_utc_day").filter(hit).drop("_utc_day", "session_open_ns", "session_end_ns")

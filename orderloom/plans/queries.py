@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from ..functions import calendar as cal, letters
 from ..functions.schema import EVENT_SCHEMA, KEY, tick_value
 from ..operators import asof, audit, book, ingest, orders, priors, profile, views
-from ..operators.small import sized
+from ..operators.small import bucket_by_calendar
 from ..sources import events_feed as feed, mbo
 from ..streaming import live as streaming
 from .store import stored, stored_path
@@ -55,7 +55,7 @@ def at() -> F.Column:
 
 
 def cut_of(events: DataFrame) -> DataFrame:
-    return sized(asof.cuts(events, at()))
+    return asof.cuts(events, at())
 
 
 def live_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,7 +273,7 @@ def b03_epoch_days(spark, sf):
 def b04_calendar_bucket(spark, sf):
     w = _when(spark, sf)
     calendar = cal.session_calendar(w.select(cal.trade_date(c("ts_ns")).alias("trade_date")))
-    return cal.bucket_by_calendar(w, calendar).select("event_id", "bucket_date")
+    return bucket_by_calendar(w, calendar).select("event_id", "bucket_date")
 
 
 @query
@@ -786,7 +786,7 @@ def e29_book_counts(spark, sf):
 def e30_iceberg_census(spark, sf):
     e = ev(spark, sf)
     log = log_of(spark, sf)
-    live = asof.live_orders(orders.order_intervals(log), sized(asof.cuts(e)))
+    live = asof.live_orders(orders.order_intervals(log), asof.cuts(e))
     return book.census(log, orders.refreshes(log), live)
 
 
