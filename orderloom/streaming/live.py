@@ -12,10 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions import calendar as cal
 from ..functions.schema import EVENT_SCHEMA, FLOW_BUCKET_NS, FLOW_BUCKETS, KEY, REFRESH_WINDOW_NS
 from ..operators import fold, orders, profile
-from ..operators.prefix import Scan, prefix_scan
 
 
 def event_time(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import Window, functions as F
 
-from feed import HALF_HOUR, OPEN, T, TICK, G, e, frame
+from feed import HALF_HOUR, OPEN, T, TICK, G, frame
 from orderloom.functions import calendar as cal, letters
 from orderloom.functions.schema import tick_value
 from orderloom.operators import ingest, priors, profile, views
