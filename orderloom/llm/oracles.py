@@ -65,5 +65,28 @@ SELECT *, n_words - removed_words AS left_words, (n_words - removed_words < 20 O
    NOT base_failed AND NOT (n_words - removed_words < 20 OR n_words - removed_words < 0.3 * n_words) AS kept FROM o"""
 
 
+NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN length(w) = 0 THEN [] WHEN length(w) < 3 THEN [array_to_string(w, ' ')]
+   ELSE list_transform(range(1, length(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT s.doc_id, g, n FROM s JOIN n ON s.doc_id = n.doc_id),
+l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM k x JOIN k y ON x.g = y.g
+   AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY x.doc_id, y.doc_id) WHERE 100 * c >= 90 * (na + nb - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n, 0)::bigint AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id FROM w LEFT JOIN n ON w.doc_id = n.doc_id
+LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = w.doc_id"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes, sha1(h) AS x FROM p),
+o AS (SELECT x, min(page_id) AS o FROM d GROUP BY x)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+   ((('0x' || substr(d.x, (i // 4 * 5 + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> o THEN o END AS refers_to, true AS intact
+FROM d JOIN o ON d.x = o.x"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_pii": _pii(), "op4_line_rules": LINE_RULES}
+    return {"op2_pii": _pii(), "op4_line_rules": LINE_RULES, "op7_ngram_join": NGRAM_JOIN, "op8_warc": WARC}

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, pii
+from ..plans.workdir import work_dir
+from . import decontaminate, line_rules, ngram_join, pii, sentence_spans, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they hold, with distance and place."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_fp")
+
+
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
@@ -25,3 +32,18 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), ngram_join.Rule(width=3, percent=90)).drop("_fp", "first", "class_links")
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.rewrite(table(spark, sf_dir, "pages"), work_dir(spark, "warc"), min_bytes=0).drop("url", "record_id")
