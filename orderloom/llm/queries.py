@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.workdir import work_dir
-from . import decontaminate, line_rules, ngram_join, pii, sentence_spans, warc
+from . import bpe_chunks, decontaminate, line_rules, ngram_join, pii, quality_fm, sentence_spans, token_files, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.rewrite(table(spark, sf_dir, "documents"), work_dir(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 @query
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply(table(spark, sf_dir, "documents"))
@@ -39,6 +45,11 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1, threshold=0.7)
+
+
 @query
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), ngram_join.Rule(width=3, percent=90)).drop("_fp", "first", "class_links")
@@ -47,3 +58,13 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rewrite(table(spark, sf_dir, "pages"), work_dir(spark, "warc"), min_bytes=0).drop("url", "record_id")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.7)
+
+
+@query
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
