@@ -119,12 +119,12 @@ def _listing(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["ord"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def find(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Every column of ``documents`` and ``pii_spans``: array of start, ord (place in
-    KINDS), end, score, by start and kind."""
+def find(documents: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
+    """Every column of ``documents`` and ``out``: array of start, ord (place in KINDS),
+    end, score, by start and kind."""
     d = documents.withColumn("_pii_text", text_of(text))
     d = d.withColumns({f"_pii_{k.name}": _proposals(k, F.col("_pii_text")) for k in KINDS})
-    d = d.withColumn("pii_spans", F.array_sort(F.concat(*[_spans(i, F.col(f"_pii_{k.name}")) for i, k in enumerate(KINDS)])))
+    d = d.withColumn(out, F.array_sort(F.concat(*[_spans(i, F.col(f"_pii_{k.name}")) for i, k in enumerate(KINDS)])))
     return d.drop("_pii_text", *[f"_pii_{k.name}" for k in KINDS])
 
 
@@ -145,7 +145,7 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     rebuilt chunk by chunk, so no substring walks the whole text.  A null text
     stays null."""
     merged = F.aggregate(
-        "pii_spans", F.array().cast("array<struct<start:int,ord:int,end:int>>"),
+        "_pii_spans", F.array().cast("array<struct<start:int,ord:int,end:int>>"),
         lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.get(a, F.size(a) - 1)["end"]),
                             F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
                                 F.get(a, F.size(a) - 1)["start"].alias("start"), F.get(a, F.size(a) - 1)["ord"].alias("ord"),
@@ -164,7 +164,7 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
                          F.when(s["start"] >= lo, F.get(names, s["ord"])).otherwise("")).alias("out")))
         return F.concat(done["out"], F.substr(chunk, done["at"] + 1, F.lit(CHUNK)))
 
-    d = find(documents, text).withColumn("_pii_cut", merged)
+    d = find(documents, text, "_pii_spans").withColumn("_pii_cut", merged)
     whole = F.concat_ws("", F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), rebuilt))
     d = d.withColumn(text, F.when(F.size("_pii_cut") > 0, whole).otherwise(F.col(text)))
     return d.select(*documents.columns)

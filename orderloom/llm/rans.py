@@ -18,7 +18,8 @@ CHECKPOINT = 256
 SCALE = 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"RBLK"
-HEAD = struct.Struct("<4sHHIIQIIII")
+HEAD = "<4sHHIIQIIII"
+HEAD_BYTES = struct.calcsize(HEAD)
 
 
 class Table:
@@ -101,7 +102,7 @@ def pack(table: Table, docs: list[tuple[int | None, np.ndarray]]) -> bytes:
         np.array([d or 0 for d, _ in docs], "<i8").tobytes(), np.array([d is None for d, _ in docs], "u1").tobytes(),
         np.array([t.size for _, t in docs], "<i8").tobytes(), x.astype("<u8").tobytes(),
         *[struct.pack("<II", s, at) + y.astype("<u8").tobytes() for s, at, y in marks], words.astype("<u4").tobytes()])
-    head = HEAD.pack(MAGIC, 1, LANES, table.crc, len(docs), tokens.size, words.size, len(marks), zlib.crc32(tokens.astype("<u4").tobytes()), zlib.crc32(body))
+    head = struct.pack(HEAD, MAGIC, 1, LANES, table.crc, len(docs), tokens.size, words.size, len(marks), zlib.crc32(tokens.astype("<u4").tobytes()), zlib.crc32(body))
     return head + body
 
 
@@ -125,12 +126,12 @@ def unpack(table: Table, data: bytes) -> Iterator[list[tuple[int | None, np.ndar
     check-points, and both checksums must hold."""
     at = 0
     while at < len(data):
-        head = HEAD.unpack_from(data, at)
+        head = struct.unpack_from(HEAD, data, at)
         if head[0] != MAGIC or head[2] != LANES or head[3] != table.crc:
             raise ValueError("not a block of this table")
         n_docs, n, n_words, n_marks = head[4:8]
         size = 17 * n_docs + 8 * LANES + n_marks * (8 + 8 * LANES) + 4 * n_words
-        body = memoryview(data)[at + HEAD.size:at + HEAD.size + size]
+        body = memoryview(data)[at + HEAD_BYTES:at + HEAD_BYTES + size]
         if zlib.crc32(body) != head[9]:
             raise ValueError("block body is damaged")
         ids, null, sizes, x, marks, words = _parts(head, body)
@@ -141,4 +142,4 @@ def unpack(table: Table, data: bytes) -> Iterator[list[tuple[int | None, np.ndar
             raise ValueError("block tokens are damaged")
         ends = np.cumsum(sizes)
         yield [(None if z else int(i), tokens[e - k:e]) for i, z, k, e in zip(ids, null, sizes, ends)]
-        at += HEAD.size + size + 1  # the writer's row separator
+        at += HEAD_BYTES + size + 1  # the writer's row separator
