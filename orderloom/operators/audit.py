@@ -47,7 +47,7 @@ def watermarks(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [mark(n, d) for n, d in stages.items()])
 
 
-def book_counters(log: DataFrame, cut: DataFrame, events: DataFrame) -> DataFrame:
+def book_counters(log: DataFrame, cut: DataFrame) -> DataFrame:
     """Diagnostic counters of the book and the snapshot clears it ignored."""
     flags = ["unknown_ref", "desync_add", "desync_cancel", "desync_modify", "desync_fill", "off_display"]
     n = log.groupBy(*KEY).agg(*[F.count_if(F.col(f)).alias(f) for f in flags],

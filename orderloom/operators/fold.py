@@ -13,7 +13,7 @@ END, ADD, CANCEL, MODIFY, FILL, SNAP = 0, 1, 2, 3, 4, 5
 OPEN_END = 9223372036854775807
 
 # flag bits
-UNKNOWN_REF, DESYNC_ADD, DESYNC_CANCEL, DESYNC_MODIFY, DESYNC_FILL, OFF_DISPLAY, DEPLETES = 1, 2, 4, 8, 16, 32, 64
+UNKNOWN_REF, DESYNC_ADD, DESYNC_CANCEL, DESYNC_MODIFY, DESYNC_FILL, OFF_DISPLAY, DEPLETES, REPLACES = 1, 2, 4, 8, 16, 32, 64, 128
 
 # violation codes, by position
 VIOLATIONS = ["", "add_without_side", "add_size_zero", "duplicate_add", "cancel_mismatch", "cancel_size_zero",
@@ -151,7 +151,7 @@ def step(o: Order, code, ordinal, ts, side, tick, size, epoch, clear_no, now_bef
         if o.fill_done >= 0:
             o.remove()
             refreshed = o.place(old_side, tick, size, ts, ordinal, epoch, window)
-            return 1, 0, 0, 0, old_side, tick, size, 0, refreshed, 0, 0
+            return 1, 0, 0, 0, old_side, tick, size, 0, refreshed, REPLACES, 0
         o.forget_fills()
         o.size = size
         if tick == old_tick and size <= gone:

@@ -154,14 +154,15 @@ def file_report(events: DataFrame) -> DataFrame:
     counted = ~F.col("is_snapshot") & (F.col("kind") != "Gap") & (F.col("seq") != 0)
     pos = F.when(counted, F.col("ordinal"))
     return events.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("events"), F.count_if("is_snapshot").alias("snapshots"),
+        F.min("ordinal").alias("first_ordinal"), F.count(F.lit(1)).alias("events"), F.count_if("is_snapshot").alias("snapshots"),
         F.count_if(F.col("kind") == "Gap").alias("gaps"), F.count_if("forward_hole").alias("holes"),
         F.min_by("seq", pos).alias("first_seq"), F.max_by("seq", pos).alias("last_seq"))
 
 
 def file_boundaries(report: DataFrame) -> DataFrame:
-    """Where one file's last sequence does not lead into the next file's first."""
-    w = Window.orderBy("source_file")  # one row per file
+    """Where one file's last sequence does not lead into the next file's first, the
+    files being in stitch order (that of their first ordinals)."""
+    w = Window.orderBy("first_ordinal")  # one row per file
     r = report.select("source_file", "first_seq", "last_seq",
                       F.lag("source_file").over(w).alias("prev_file"), F.lag("last_seq").over(w).alias("prev_seq"))
     off = (F.col("first_seq") != F.col("prev_seq")) & (F.col("first_seq") != F.col("prev_seq") + 1)

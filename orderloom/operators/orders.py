@@ -65,26 +65,44 @@ def hot_orders(events: DataFrame, hot_rows: int) -> DataFrame:
     return n.filter(F.col("count") * _SAMPLE >= hot_rows).drop("count")
 
 
-def split_hot(rows: DataFrame, hot: DataFrame, window_ns: int) -> DataFrame:
-    """Cut the history of hot ids at adds where nothing older can matter.
-
-    An add replaces whatever rests under its id, and only an execution within
-    the refresh window can leave a trace, so an add later than every earlier
-    fill plus the window starts from nothing.  The add is given to both sides:
-    as first row of the new piece and as END mark of the old one."""
+def split_lives(rows: DataFrame, window_ns: int) -> DataFrame:
+    """Cut the history of ids at rows where nothing older can matter.
+
+    A clear forgets everything, so the first row of a clear number starts from
+    nothing.  So does an add later than every earlier fill plus the refresh
+    window: it replaces whatever rests under its id, and only an execution within
+    the window can leave a trace.  Such a row is given to both sides: as first row
+    of the new piece and as END mark of the old one."""
     okey = ["instrument_id", "day", "order_id"]
-    cold = rows.join(hot, okey, "left_anti").withColumn("seg", F.lit(0).cast("long"))
-    many = prefix_scan(rows.join(hot, okey, "left_semi"), okey, {
-        "_fill": Scan("max", F.when(F.col("code") == fold.FILL, F.col("ts_ns")))})
+    many = prefix_scan(rows, okey, {
+        "_fill": Scan("max", F.when(F.col("code") == fold.FILL, F.col("ts_ns"))), "_clear": Scan("max", F.col("clear_no"))})
     clean = F.col("_fill").isNull() | (F.col("now_before") - F.col("_fill") > window_ns)
     fresh = (F.col("code") == fold.ADD) & (F.col("side_no") != 0) & (F.col("size") > 0) & clean
-    many = many.withColumn("_fresh", F.coalesce(fresh, F.lit(False)))
+    many = many.withColumn("_fresh", F.coalesce(fresh, F.lit(False)) | F.coalesce(F.col("clear_no") > F.col("_clear"), F.lit(False)))
     many = prefix_scan(many, okey, {"seg": Scan("sum", F.col("_fresh").cast("long"), inclusive=True)})
-    head = F.struct("code", "seg")
-    tail = F.struct(F.lit(fold.END).cast("long").alias("code"), (F.col("seg") - 1).alias("seg"))
+    head = F.struct("code", "seg", "ts_ns")
+    # a snapshot row carries an old time of its own; what it ends, it ends at the session's present
+    present = F.when((F.col("code") == fold.SNAP) & (F.col("now_before") >= 0), F.col("now_before")).otherwise(F.col("ts_ns"))
+    tail = F.struct(F.lit(fold.END).cast("long").alias("code"), (F.col("seg") - 1).alias("seg"), present.alias("ts_ns"))
     both = F.when(F.col("_fresh"), F.array(head, tail)).otherwise(F.array(head))
-    many = many.withColumn("_p", F.explode(both)).withColumns({"code": F.col("_p.code"), "seg": F.col("_p.seg")})
-    return cold.unionByName(many.select(*cold.columns))
+    many = many.withColumn("_p", F.explode(both)).withColumns({"code": F.col("_p.code"), "seg": F.col("_p.seg"), "ts_ns": F.col("_p.ts_ns")})
+    return many.select(*fold.IN_NAMES)
+
+
+def _fold(rows: DataFrame, window_ns: int) -> DataFrame:
+    okey = ["instrument_id", "day", "order_id", "seg"]
+    rows = rows.select(*fold.IN_NAMES).repartition(*okey).sortWithinPartitions(*okey, "ordinal")
+    return rows.mapInArrow(lambda b: fold.fold_batches(b, window_ns), ", ".join(f"{n} long" for n in fold.OUT_NAMES))
+
+
+def _one_row_per_event(out: DataFrame) -> DataFrame:
+    """What an END mark found about the life it ended belongs to the row that ended it."""
+    key = ["instrument_id", "day", "order_id", "ordinal"]
+    ends = out.filter((F.col("code") == fold.END) & ((F.col("flags") != 0) | (F.col("violation") != 0)))
+    ends = ends.select(*key, F.col("flags").alias("_flags"), F.col("violation").alias("_bad"))
+    rows = out.filter(F.col("code") != fold.END).join(ends, key, "left")
+    return rows.withColumns({"flags": F.col("flags").bitwiseOR(F.coalesce("_flags", F.lit(0).cast("long"))),
+                             "violation": F.greatest("violation", F.coalesce("_bad", F.lit(0).cast("long")))}).drop("_flags", "_bad")
 
 
 def order_log(events: DataFrame, ticks: DataFrame | int, window_ns: int = REFRESH_WINDOW_NS,
@@ -97,23 +115,21 @@ def order_log(events: DataFrame, ticks: DataFrame | int, window_ns: int = REFRES
     built, so that the splitting branch exists only when it is needed."""
     rows = fold_input(events, ticks)
     hot = hot_orders(events, hot_rows) if hot_rows is not None else None
+    whole = rows.withColumn("seg", F.lit(0).cast("long"))
     if hot is None or hot.isEmpty():
-        rows = rows.withColumn("seg", F.lit(0).cast("long"))
+        out = _fold(whole, window_ns)
     else:
-        rows = split_hot(rows, hot, window_ns)
-    okey = ["instrument_id", "day", "order_id", "seg"]
-    rows = rows.select(*fold.IN_NAMES).repartition(*okey).sortWithinPartitions(*okey, "ordinal")
-    out = rows.mapInArrow(lambda b: fold.fold_batches(b, window_ns), ", ".join(f"{n} long" for n in fold.OUT_NAMES))
-    # an END mark stays only where it found something to report; it then speaks for its add
-    out = out.filter((F.col("code") != fold.END) | (F.col("flags") != 0) | (F.col("violation") != 0))
+        okey = ["instrument_id", "day", "order_id"]
+        out = _fold(whole.join(hot, okey, "left_anti"), window_ns).unionByName(
+            _one_row_per_event(_fold(split_lives(rows.join(hot, okey, "left_semi"), window_ns), window_ns)))
     names = F.array(*[F.lit(v) for v in fold.VIOLATIONS])
     flag = F.col("flags")
-    kind = F.when(F.col("code").isin(fold.ADD, fold.END), "Add").when(F.col("code") == fold.CANCEL, "Cancel").when(
+    kind = F.when(F.col("code") == fold.ADD, "Add").when(F.col("code") == fold.CANCEL, "Cancel").when(
         F.col("code") == fold.MODIFY, "Modify").when(F.col("code") == fold.FILL, "Fill").when(
         F.col("code") == fold.SNAP, "Snapshot")
     bits = {"unknown_ref": fold.UNKNOWN_REF, "desync_add": fold.DESYNC_ADD, "desync_cancel": fold.DESYNC_CANCEL,
             "desync_modify": fold.DESYNC_MODIFY, "desync_fill": fold.DESYNC_FILL, "off_display": fold.OFF_DISPLAY,
-            "depletes": fold.DEPLETES}
+            "depletes": fold.DEPLETES, "replaces_depleted": fold.REPLACES}
     return out.select(
         "instrument_id", F.date_from_unix_date(F.col("day").cast("int")).alias("trade_date"), "order_id", "ordinal",
         "ts_ns", kind.alias("kind"), "epoch", "clear_no", "now_ns",

@@ -461,20 +461,20 @@ UNION ALL SELECT {K}, min(ordinal) * 2 - 1, arg_min(ts_ns, ordinal), 'Gap', 100,
     "c06_date_report": "SELECT trade_date, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k.lower()}" for k in ["Add", "Cancel", "Modify", "Trade", "Fill", "Clear", "Status", "Gap"]) + ", count(*) AS total, arg_min(ts_ns, ordinal) AS first_ts, arg_max(ts_ns, ordinal) AS last_ts FROM cn WHERE NOT is_snapshot GROUP BY 1",
     "c06_instrument_report": "SELECT instrument_id, count(*) AS events FROM cn WHERE NOT is_snapshot AND kind <> 'Gap' GROUP BY 1",
     "c06_file_report": "SELECT source_file, count(*) AS events, count(*) FILTER (is_snapshot) AS snapshots, count(*) FILTER (kind = 'Gap') AS gaps, count(*) FILTER (forward_hole) AS holes, arg_min(seq, ordinal) FILTER (NOT is_snapshot AND seq <> 0 AND kind <> 'Gap') AS first_seq, arg_max(seq, ordinal) FILTER (NOT is_snapshot AND seq <> 0 AND kind <> 'Gap') AS last_seq FROM cn GROUP BY 1",
-    "c07_file_boundaries": """WITH r AS (SELECT source_file, arg_min(seq, ordinal) AS first_seq, arg_max(seq, ordinal) AS last_seq FROM cn WHERE NOT is_snapshot AND seq <> 0 AND kind <> 'Gap' GROUP BY 1),
- w AS (SELECT *, lag(source_file) OVER (ORDER BY source_file) AS prev_file, lag(last_seq) OVER (ORDER BY source_file) AS prev_seq FROM r)
+    "c07_file_boundaries": """WITH r AS (SELECT source_file, min(ordinal) AS o, arg_min(seq, ordinal) AS first_seq, arg_max(seq, ordinal) AS last_seq FROM cn WHERE NOT is_snapshot AND seq <> 0 AND kind <> 'Gap' GROUP BY 1),
+ w AS (SELECT *, lag(source_file) OVER (ORDER BY o) AS prev_file, lag(last_seq) OVER (ORDER BY o) AS prev_seq FROM r)
 SELECT prev_file, source_file, prev_seq, first_seq, CASE WHEN first_seq < prev_seq + 1 THEN 'regression' ELSE 'forward_hole' END AS discontinuity FROM w WHERE first_seq NOT IN (prev_seq, prev_seq + 1)""",
     "c08_seq_regressions": """SELECT instrument_id, trade_date, ordinal, last_seq, seq FROM (
  SELECT *, lag(seq) OVER (PARTITION BY instrument_id, trade_date ORDER BY ordinal) AS last_seq
  FROM (SELECT instrument_id, own_date AS trade_date, ordinal, seq FROM sq WHERE counted)) WHERE seq < last_seq""",
     "c09_gap_epoch": "SELECT instrument_id, ordinal, epoch, clear_no, now_before FROM sc",
     "c10_last_gap": f"SELECT {K}, epoch, gap_expected, gap_observed, gap_pending, CASE WHEN NOT gap_pending THEN seq0 END AS last_seq FROM cut",
-    "c11_coverage": f"SELECT {K}, count(*) AS events_read, count(*) FILTER (kind = 'Gap') AS gap_records, count(*) AS events_applied, 0::BIGINT AS dropped FROM ev GROUP BY ALL",
+    "c11_coverage": f"SELECT {K}, count(*) AS events_read, count(*) FILTER (kind = 'Gap') AS gap_records, count(*) FILTER (used) AS events_applied, count(*) FILTER (NOT used) AS dropped FROM (SELECT *, coalesce(CASE WHEN kind IN ('Clear', 'Status', 'Gap') THEN true WHEN price % {TICK} <> 0 THEN false WHEN kind = 'Trade' THEN size > 0 AND NOT is_snapshot WHEN is_snapshot THEN kind = 'Add' ELSE true END, false) AS used FROM ev) GROUP BY ALL",
     "c11_quarantine_coverage": "SELECT source_file, count(*) AS events_read, count(*) FILTER (reject IS NULL) AS events_applied, count(reject) AS quarantined FROM mp GROUP BY 1",
     "c12_watermarks": f"""WITH s AS (SELECT * FROM ev WHERE seq > 0)
 SELECT {K}, 'received' AS stage, arg_max(seq, ordinal) AS last_seq FROM s GROUP BY ALL
-UNION ALL SELECT {K}, 'decoded', arg_max(seq, ordinal) FROM s WHERE price % {TICK} = 0 GROUP BY ALL
-UNION ALL SELECT {K}, 'applied', arg_max(seq, ordinal) FROM s WHERE kind IN ('Add', 'Cancel', 'Modify', 'Fill') GROUP BY ALL
+UNION ALL SELECT {K}, 'logged', arg_max(seq, ordinal) FROM s WHERE kind IN ('Add', 'Cancel', 'Modify', 'Fill') AND price % {TICK} = 0 AND NOT is_snapshot GROUP BY ALL
+UNION ALL SELECT {K}, 'profiled', arg_max(seq, ordinal) FROM s WHERE kind = 'Trade' AND price % {TICK} = 0 AND size > 0 AND NOT is_snapshot GROUP BY ALL
 UNION ALL SELECT {K}, 'published', arg_max(seq, ordinal) FROM s JOIN cut0 USING (instrument_id, trade_date) WHERE ordinal <= cut_ord GROUP BY ALL""",
     "c13_book_counters": f"""WITH n AS (SELECT {K}, count(*) FILTER (act IN ('unknown', 'fill_unknown')) AS unknown_ref, count(*) FILTER (act = 'place_desync') AS desync_add, count(*) FILTER (act = 'desync_cancel') AS desync_cancel,
  count(*) FILTER (act IN ('desync_remove', 'desync_replace')) AS desync_modify, count(*) FILTER (act = 'fill_desync') AS desync_fill, count(*) FILTER (off_display) AS off_display, count(*) FILTER (act IN ('bad', 'place_dup')) AS violations FROM fo GROUP BY ALL),
@@ -524,7 +524,7 @@ LEFT JOIN (SELECT {K}, string_agg(concat_ws(':', period, open, high, low, close)
     "e04_unknown_refs": f"SELECT {_EF}, kind FROM lg WHERE act IN ('unknown', 'fill_unknown')",
     "e05_removals": f"SELECT {_EF}, kind, c_side AS old_side, c_tick AS old_tick, cancelled FROM lg WHERE NOT opens AND cancelled > 0",
     "e06_modifies": f"SELECT {_EF}, c_side AS old_side, c_tick AS old_tick, cancelled, added, act IN ('desync_remove', 'desync_replace') AS desync_modify, CASE WHEN act = 'bad' THEN 'modify_mismatch' END AS violation, {_STATE_COLS} FROM st0 WHERE kind = 'Modify'",
-    "e07_depleted_modifies": f"SELECT {_EF}, o_side AS side, o_tick AS tick, o_size AS size, rel AS reloads, hid AS hidden FROM lg WHERE act IN ('replace_depleted', 'place_tomb')",
+    "e07_depleted_modifies": f"SELECT {_EF}, o_side AS side, o_tick AS tick, o_size AS size, rel AS reloads, hid AS hidden FROM lg WHERE act = 'replace_depleted'",
     "e08_fills": f"SELECT {_EF}, side, tick, size, aggressor, unknown_ref FROM fl",
     "e09_off_display": f"SELECT {K}, count(*) FILTER (off_display) AS off_display, count(*) AS fills FROM fl GROUP BY ALL",
     "e10_book_events": f"SELECT {K}, kind, count(*) AS n FROM fi GROUP BY ALL",
@@ -533,7 +533,7 @@ LEFT JOIN (SELECT {K}, string_agg(concat_ws(':', period, open, high, low, close)
     "e13_gap_epochs": f"SELECT {_EF}, o_epoch AS order_epoch, epoch - o_epoch AS gaps_survived FROM lg WHERE opens",
     "e14_desync": f"SELECT {K}, count(*) FILTER (act = 'place_desync') AS desync_add, count(*) FILTER (act = 'desync_cancel') AS desync_cancel, count(*) FILTER (act IN ('desync_remove', 'desync_replace')) AS desync_modify, count(*) FILTER (act = 'fill_desync') AS desync_fill FROM fo GROUP BY ALL",
     "e15_depth": f"SELECT {K}, side, tick, total_size, order_count FROM dp",
-    "e16_best_first": f"SELECT {K}, side, tick, total_size, order_count, row_number() OVER w AS level FROM dp WINDOW w AS (PARTITION BY {K}, side ORDER BY CASE WHEN side = 'B' THEN -tick ELSE tick END) QUALIFY level <= 5",
+    "e16_best_first": f"SELECT {K}, side, tick, total_size, order_count, row_number() OVER w AS level FROM dp WINDOW w AS (PARTITION BY {K}, side ORDER BY CASE WHEN side = 'B' THEN -tick ELSE tick END)",
     "e17_bbo": f"SELECT {K}, best_bid, best_ask FROM bb",
     "e17_bbo_series": f"""SELECT p.instrument_id, p.trade_date, p.bucket, p.cut_ord, max(o_tick) FILTER (o_side = 'B') AS best_bid, min(o_tick) FILTER (o_side = 'A') AS best_ask
 FROM pt p LEFT JOIN lg l ON l.instrument_id = p.instrument_id AND l.trade_date = p.trade_date AND l.opens AND l.ordinal <= p.cut_ord AND l.to_ord > p.cut_ord AND l.clear_no = p.clear_no GROUP BY ALL""",
@@ -581,17 +581,20 @@ SELECT {K}, arg_min(tick, (abs(tick * 2 - x), tick)) AS nearest, coalesce(min(ti
     "f12_badges": f"SELECT {K}, tick, refresh_bid_count > 0 AS bid_badge, refresh_ask_count > 0 AS ask_badge FROM lad",
     "f13_volume_agreement": f"""WITH f AS (SELECT {K}, tick, sum(size)::BIGINT AS fv FROM fl GROUP BY ALL)
 SELECT {K}, count(*) AS compared, count(*) FILTER (volume <> fv) AS mismatched, min(tick) FILTER (volume <> fv) AS first_mismatch FROM pr JOIN f USING (instrument_id, trade_date, tick) GROUP BY ALL""",
-    "f13_pane_agreement": f"SELECT {K}, count(*) AS compared, 0::BIGINT AS mismatched FROM lad JOIN (SELECT DISTINCT {K}, tick FROM tr JOIN cut USING (instrument_id, trade_date) WHERE ordinal <= cut_ord) USING (instrument_id, trade_date, tick) GROUP BY ALL",
+    "f13_pane_agreement": f"""WITH t AS (SELECT {K}, tick, sum(size)::BIGINT AS tv FROM tr JOIN cut USING (instrument_id, trade_date) WHERE ordinal <= cut_ord GROUP BY ALL),
+ f AS (SELECT {K}, tick, sum(size)::BIGINT AS fv FROM fl JOIN cut USING (instrument_id, trade_date) WHERE ordinal <= cut_ord GROUP BY ALL)
+SELECT {K}, count(*) AS compared, count(*) FILTER (coalesce(tv, 0) <> fv) AS mismatched, min(tick) FILTER (coalesce(tv, 0) <> fv) AS first_mismatch
+FROM (SELECT {K}, tick FROM lad) l LEFT JOIN t USING (instrument_id, trade_date, tick) JOIN f USING (instrument_id, trade_date, tick) GROUP BY ALL""",
     "f14_ladder_breaks": f"SELECT {K}, 40::BIGINT AS n_rows, 0::BIGINT AS breaks FROM cut",
     "f15_open_marker": f"SELECT {K}, open - open % 4 AS open_bucket FROM st",
     "h01_stream_equals_batch": "SELECT instrument_id, ordinal, kind, tick, CASE WHEN ts_ns >= session_open_ns AND ts_ns < eth_end_ns THEN (ts_ns - session_open_ns) // 1800000000000 END AS eth_period FROM ev JOIN cal USING (trade_date) WHERE NOT is_snapshot",
-    "h02_late_rows": f"SELECT {K}, backward_events FROM cnt",
+    "h02_late_rows": f"SELECT {K}, count(*) FILTER (ts_ns < now_before) AS late_rows FROM ev JOIN (SELECT instrument_id, ordinal, now_before FROM sc) USING (instrument_id, ordinal) WHERE NOT is_snapshot GROUP BY ALL",
     "h03_half_hour_volume": "SELECT instrument_id, ts_ns // 1800000000000 * 1800000000 AS start_us, sum(size)::BIGINT AS volume FROM ev WHERE kind = 'Trade' GROUP BY ALL",
     "h04_sliding_flow": "SELECT instrument_id, price, (ts_ns // 500000000 + 1 + n) * 500000 AS end_us, sum(size)::BIGINT AS traded FROM ev, (SELECT unnest(range(0, 10)) AS n) WHERE kind = 'Fill' GROUP BY ALL",
     "h05_session_volume": f"SELECT {K}, price, sum(size)::BIGINT AS volume FROM ev WHERE kind = 'Trade' GROUP BY ALL",
     "h06_stateful_orders": """SELECT instrument_id, order_id, ordinal, cancelled, added, traded, coalesce(refreshed, -1) AS refreshed,
  0::BIGINT + CASE WHEN act IN ('unknown', 'fill_unknown') THEN 1 ELSE 0 END + CASE WHEN act = 'place_desync' THEN 2 WHEN act = 'desync_cancel' THEN 4 WHEN act IN ('desync_remove', 'desync_replace') THEN 8 WHEN act = 'fill_desync' THEN 16 ELSE 0 END
- + CASE WHEN off_display THEN 32 ELSE 0 END + CASE WHEN depletes THEN 64 ELSE 0 END AS flags, CAST(CASE WHEN opens THEN 1 ELSE 0 END AS BIGINT) AS opens, s_size AS size,
+ + CASE WHEN off_display THEN 32 ELSE 0 END + CASE WHEN depletes THEN 64 ELSE 0 END + CASE WHEN act = 'replace_depleted' THEN 128 ELSE 0 END AS flags, CAST(CASE WHEN opens THEN 1 ELSE 0 END AS BIGINT) AS opens, s_size AS size,
  CASE WHEN changed THEN coalesce((SELECT max(g.ordinal) FROM lg g WHERE g.instrument_id = l.instrument_id AND g.trade_date = l.trade_date AND g.order_id = l.order_id AND g.ordinal < l.ordinal AND g.to_ord = l.ordinal), -1) ELSE -1 END AS closes_ord FROM st0 l""",
     "h07_profile_publication": f"SELECT {K}, tick, volume, eth_bits, period_volume FROM pr",
     "h08_restarted_append": f"SELECT {K}, count(*) AS n, count(DISTINCT ordinal) AS distinct_ord, max(ordinal) AS frontier FROM ev GROUP BY ALL",

@@ -384,7 +384,7 @@ def c06_instrument_report(spark, sf):
 
 @query
 def c06_file_report(spark, sf):
-    return ingest.file_report(canon(spark, sf))
+    return ingest.file_report(canon(spark, sf)).drop("first_ordinal")
 
 
 @query
@@ -410,8 +410,12 @@ def c10_last_gap(spark, sf):
 
 @query
 def c11_coverage(spark, sf):
+    """Applied: what reached the order log, the profile or the session's control rows."""
     e = ev(spark, sf)
-    return audit.coverage(e, mbo.scan_range(e))
+    at_ = [*KEY, "ordinal"]
+    control = e.filter(c("kind").isin("Clear", "Status", "Gap")).select(*at_)
+    used = log_of(spark, sf).select(*at_).unionByName(profile.trades(e, TICK).select(*at_)).unionByName(control)
+    return audit.coverage(e, used.distinct())
 
 
 @query
@@ -425,15 +429,15 @@ def c11_quarantine_coverage(spark, sf):
 @query
 def c12_watermarks(spark, sf):
     e = ev(spark, sf)
-    on_book = e.filter(c("kind").isin("Add", "Cancel", "Modify", "Fill"))
-    cut = asof.upto(e, cut_of(e))
-    return audit.watermarks({"received": e, "decoded": e.filter(F.pmod("price", F.lit(TICK)) == 0), "applied": on_book, "published": cut})
+    logged = e.join(log_of(spark, sf).select(*KEY, "ordinal"), [*KEY, "ordinal"], "left_semi")
+    profiled = e.join(profile.trades(e, TICK).select(*KEY, "ordinal"), [*KEY, "ordinal"], "left_semi")
+    return audit.watermarks({"received": e, "logged": logged, "profiled": profiled, "published": asof.upto(e, cut_of(e))})
 
 
 @query
 def c13_book_counters(spark, sf):
     e = ev(spark, sf)
-    return audit.book_counters(log_of(spark, sf), asof.cuts(e), e)
+    return audit.book_counters(log_of(spark, sf), asof.cuts(e))
 
 
 @query
@@ -650,8 +654,7 @@ def e06_modifies(spark, sf):
 
 @query
 def e07_depleted_modifies(spark, sf):
-    out = log_of(spark, sf).filter((c("kind") == "Modify") & c("opens") & (c("prio_ord") == c("ordinal")) & (c("cancelled") == 0)
-                                   & (c("added") == c("size")))
+    out = log_of(spark, sf).filter("replaces_depleted")
     return out.select(*EFFECT, "side", "tick", "size", "reloads", "hidden")
 
 
@@ -699,7 +702,7 @@ def e15_depth(spark, sf):
 
 @query
 def e16_best_first(spark, sf):
-    return book.best_first(book.depth(live_of(spark, sf)), top=5)
+    return book.best_first(book.depth(live_of(spark, sf)))
 
 
 @query
@@ -901,11 +904,11 @@ def f13_volume_agreement(spark, sf):
 
 @query
 def f13_pane_agreement(spark, sf):
-    e = ev(spark, sf)
-    cut = cut_of(e)
-    rows = profile.profile_rows(profile.trades(asof.upto(e, cut), TICK)).select(*KEY, "tick", c("volume").alias("trade_volume"))
-    pane = _ladder(spark, sf)[0].select(*KEY, "tick", c("session_volume").alias("fill_volume"))
-    return audit.volume_agreement(rows, pane).select(*KEY, "compared", "mismatched")
+    """The ladder's trade volume against the executions of the order log, both up to the cut."""
+    cut = cut_of(ev(spark, sf)).select(*KEY, "cut_ord")
+    pane = _ladder(spark, sf)[0].select(*KEY, "tick", c("session_volume").alias("trade_volume"))
+    done = orders.fills(log_of(spark, sf)).join(cut, KEY).filter(c("ordinal") <= c("cut_ord"))
+    return audit.volume_agreement(pane, done.groupBy(*KEY, "tick").agg(F.sum("size").alias("fill_volume")))
 
 
 @query
@@ -946,10 +949,31 @@ def h01_stream_equals_batch(spark, sf):
     return _drain(spark, s)
 
 
+def _arrivals(spark, sf, parts: int, start) -> None:
+    """The event table arriving in ``parts`` runs of its arrival order; ``start`` gives
+    the stream to run on what has come so far, after each of them."""
+    e, src = ev(spark, sf), work_dir(spark, "arrivals")
+    top = e.agg(F.max("ordinal")).first()[0] + 1
+    for i in range(parts):
+        run = e.filter((c("ordinal") >= i * top // parts) & (c("ordinal") < (i + 1) * top // parts))
+        run.select(*EVENT_SCHEMA.names).write.mode("append").parquet(src)
+        start(spark.readStream.schema(EVENT_SCHEMA).parquet(src))
+
+
+def _scaled(spark, sf, parts: int) -> str:
+    """First stage over ``parts`` micro-batches; the folder of its rows."""
+    scaled, carry, ckpt = work_dir(spark, "scaled"), work_dir(spark, "carry"), work_dir(spark, "ckpt")
+    stage = streaming.ScalarStage(scaled, carry)
+    _arrivals(spark, sf, parts, lambda s: s.writeStream.foreachBatch(stage).trigger(availableNow=True)
+              .option("checkpointLocation", ckpt).start().awaitTermination())
+    return scaled
+
+
 @query
 def h02_late_rows(spark, sf):
-    e = ev(spark, sf)
-    return profile.session_counters(e).select(*KEY, "backward_events")
+    """Late rows counted by the stream over several micro-batches."""
+    s = spark.readStream.schema(streaming.SCALED_SCHEMA).option("maxFilesPerTrigger", 8).parquet(f"{_scaled(spark, sf, 3)}/*")
+    return _latest(_drain_updates(spark, streaming.late_rows(s)), KEY, "late_rows")
 
 
 @query
@@ -972,12 +996,16 @@ def h05_session_volume(spark, sf):
 
 @query
 def h06_stateful_orders(spark, sf):
-    scaled, carry = work_dir(spark, "scaled"), work_dir(spark, "carry")
-    q = (_stream(spark, sf).writeStream.foreachBatch(streaming.ScalarStage(scaled, carry)).trigger(availableNow=True)
-         .option("checkpointLocation", work_dir(spark, "ckpt")).start())
-    q.awaitTermination()
-    s = spark.readStream.schema(streaming.SCALED_SCHEMA).parquet(f"{scaled}/*")
-    fx = _drain(spark, streaming.order_effects(s, TICK))
+    """Five micro-batches of the first stage, then as many of the second, with late rows and snapshot blocks among them."""
+    parts = 5
+    scaled, out, ckpt = _scaled(spark, sf, parts), work_dir(spark, "effects"), work_dir(spark, "ckpt")
+    # a processing-time timeout would ask for empty batches without end, and availableNow would never finish
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for i in range(parts):
+        # one more batch of the first stage becomes visible at each start
+        s = spark.readStream.schema(streaming.SCALED_SCHEMA).parquet(f"{scaled}/batch={{{','.join(str(k) for k in range(i + 1))}}}")
+        streaming.append_rows(streaming.order_effects(s, TICK), out, ckpt).awaitTermination()
+    fx = spark.read.parquet(out)
     return fx.select("instrument_id", "order_id", "ordinal", "cancelled", "added", "traded", "refreshed", "flags", "opens", "size", "closes_ord")
 
 
@@ -992,10 +1020,16 @@ def h07_profile_publication(spark, sf):
 
 @query
 def h08_restarted_append(spark, sf):
-    """The append sink started twice on the same checkpoint: nothing is written again."""
+    """The append sink started anew after every arrival, and twice after the last: nothing is lost or written again."""
     path, ckpt = work_dir(spark, "live"), work_dir(spark, "ckpt")
-    for _ in range(2):
-        streaming.append_events(_stream(spark, sf, 64), path, ckpt).awaitTermination()
+    last: list = []
+
+    def start(s):
+        last[:] = [s]
+        streaming.append_events(s, path, ckpt).awaitTermination()
+
+    _arrivals(spark, sf, 3, start)
+    start(last[0])
     return mbo.read_events(spark, path).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("ordinal").alias("distinct_ord"), F.max("ordinal").alias("frontier"))
 

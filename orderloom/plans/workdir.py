@@ -9,7 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a local folder only where the
-    session names none (tests on one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A fresh path below ``spark.checkpoint.dir``.  Where the session names none, a
+    temporary folder is used if everything runs on this machine; on a cluster that
+    is an error, as other machines would not see the files."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -13,19 +13,37 @@ from ..operators.small import sized
 ROWS_PER_FILE_BITS = 22
 
 
+def raw_files(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", **options) -> list[tuple[str, str, int]]:
+    """(full path, name, rank) of every file below ``paths``: in the order of the
+    list, and by full path below a folder or glob.  A name that occurs twice is
+    given with its path.  A path without files, or a file met twice, is an error."""
+    schema = type(RAW_SCHEMA)([RAW_SCHEMA.fields[0]])
+    found: list[str] = []
+    for p in paths:
+        files = sorted(spark.read.schema(schema).options(**options).format(fmt).load(p).inputFiles())
+        if not files:
+            raise ValueError(f"no files below {p}")
+        found += files
+    if len(set(found)) < len(found):
+        raise ValueError("a file is listed twice")
+    names = [f.rsplit("/", 1)[-1] for f in found]
+    return [(f, n if names.count(n) == 1 else f, i) for i, (f, n) in enumerate(zip(found, names))]
+
+
 def read_raw(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", **options) -> DataFrame:
-    """Vendor exports in stitch order.  The list order is the file rank; rows
-    keep their place in the file: parquet's own row index, or for text formats
-    the split offset and the position in the split."""
+    """Vendor exports in stitch order.  The order of ``raw_files`` is the file
+    rank; rows keep their place in the file: parquet's own row index, or for text
+    formats the split offset and the position in the split."""
     data = [f for f in RAW_SCHEMA.fields if f.name not in ("source_file", "file_rank", "row_index")]
-    df = spark.read.schema(type(RAW_SCHEMA)(data)).options(**options).format(fmt).load(list(paths))
-    ranks = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1], i) for i, p in enumerate(paths)],
-                                  "source_file string, file_rank int")
+    files = raw_files(spark, paths, fmt, **options)
+    ranks = spark.createDataFrame(files, "_path string, source_file string, file_rank int")
+    df = spark.read.schema(type(RAW_SCHEMA)(data)).options(**options).format(fmt).load([f for f, _, _ in files])
     df = df.withColumns({
-        "source_file": F.col("_metadata.file_name"), "_split": F.col("_metadata.file_block_start"),
+        "_path": F.col("_metadata.file_path"), "_split": F.col("_metadata.file_block_start"),
         "_pos": F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()})
-    # the list of paths is the caller's argument, so its size is known
-    df = df.join(F.broadcast(ranks), "source_file")
+    # one row per listed file; a row that no file claims stops the read
+    df = df.join(ranks, "_path", "left").withColumn(
+        "file_rank", F.coalesce("file_rank", F.raise_error(F.concat(F.lit("row of an unlisted file: "), "_path")).cast("int"))).drop("_path")
     if fmt == "parquet":
         return df.withColumn("row_index", F.col("_pos")).drop("_split", "_pos").select(*RAW_SCHEMA.names)
     # position ids rise within a split; splits of a file are put in offset order
@@ -62,9 +80,9 @@ def write_sessions(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
     A hot session is written by many tasks, each holding a contiguous run of
     ordinals, so ordinal and time statistics prune."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: not merged into few writers
     out = rows.withColumn("_run", F.shiftright("ordinal", ROWS_PER_FILE_BITS))
-    out = out.repartition(tasks, *KEY, "_run").sortWithinPartitions(*KEY, "ordinal").drop("_run")
+    # rebalanced: as many writers as the rows need at the session's advisory size, large runs split
+    out = out.hint("rebalance", *KEY, "_run").sortWithinPartitions(*KEY, "ordinal").drop("_run")
     out.write.mode(mode).partitionBy("trade_date", "instrument_id").option("compression", "zstd").parquet(path)
 
 
@@ -100,6 +118,13 @@ def text_dump(events: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.orderBy("ordinal").limit(limit)
 
 
+def write_text(events: DataFrame, path: str, limit: int | None = None) -> None:
+    """Lines in arrival order: files in range order, sorted inside, so that reading them
+    by name gives the order back."""
+    rows = text_dump(events, limit)
+    rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("line").write.text(path)
+
+
 def slice_rows(rows: DataFrame, skip: int, count: int) -> DataFrame:
     """``count`` records after ``skip``, by dense ordinal."""
     return rows.filter((F.col("ordinal") >= skip) & (F.col("ordinal") < skip + count))

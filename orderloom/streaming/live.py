@@ -61,7 +61,9 @@ class ScalarStage:
     clear number and latest earlier time, continuing from the batch before.
 
     The carried table has one row per session.  Rows and carry of batch N are
-    overwritten under N, so a retried batch leaves the same result."""
+    overwritten under N, so a retried batch leaves the same result.  Batches must
+    continue the arrival order of a session: a row at or below an ordinal of an
+    earlier batch stops the stream."""
 
     COLUMNS = [f.name for f in EVENT_SCHEMA.fields] + ["epoch", "clear_no", "now_before"]
 
@@ -71,7 +73,7 @@ class ScalarStage:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         live = ~F.col("is_snapshot")
-        schema = "instrument_id long, trade_date date, c_epoch long, c_clear long, c_now long"
+        schema = "instrument_id long, trade_date date, c_epoch long, c_clear long, c_now long, c_ord long"
         if batch_id > 0:
             old = spark.read.schema(schema).parquet(f"{self.carry_path}/{batch_id - 1}")
         else:
@@ -84,11 +86,13 @@ class ScalarStage:
         rows.select(*self.COLUMNS).write.mode("overwrite").parquet(f"{self.out_path}/batch={batch_id}")
         here = batch.groupBy(*KEY).agg(
             F.count_if(F.col("kind") == "Gap").alias("n_epoch"), F.count_if((F.col("kind") == "Clear") & live).alias("n_clear"),
-            F.max(F.when(live, F.col("ts_ns"))).alias("n_now"))
+            F.max(F.when(live, F.col("ts_ns"))).alias("n_now"), F.min("ordinal").alias("n_first"), F.max("ordinal").alias("n_ord"))
         new = old.join(here, KEY, "full").select(
             *KEY, (F.coalesce("c_epoch", zero) + F.coalesce("n_epoch", zero)).alias("c_epoch"),
             (F.coalesce("c_clear", zero) + F.coalesce("n_clear", zero)).alias("c_clear"),
-            F.greatest("c_now", "n_now").alias("c_now"))
+            F.greatest("c_now", "n_now").alias("c_now"),
+            F.when(F.col("n_first") <= F.col("c_ord"), F.raise_error(F.lit("a batch goes back in the arrival order")).cast("long"))
+            .otherwise(F.greatest("c_ord", "n_ord")).alias("c_ord"))
         new.write.mode("overwrite").parquet(f"{self.carry_path}/{batch_id}")
 
 
@@ -100,22 +104,25 @@ _REST = ["side_no", "tick", "size", "prio_origin", "prio_ord", "order_epoch", "r
 _OUT = ["instrument_id", "day", "order_id", "ordinal", "ts_ns", "code", "epoch", "clear_no", *_FX, "opens", *_REST, "closes_ord"]
 
 
-def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WINDOW_NS) -> DataFrame:
+def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WINDOW_NS, hold_ms: int = 129_600_000) -> DataFrame:
     """Second stage: the batch fold's step, keyed by order, across micro-batches.
 
-    ``closes_ord`` names the interval an event ended.  State of an order that is
-    neither resting nor awaiting a refresh is dropped: the next event starts
-    from the same empty state.  A pending refresh expires with the watermark."""
-    e = event_time(scaled)
+    ``closes_ord`` names the interval an event ended.  There is no watermark, so
+    rows of any age are applied.  State of an order that is neither resting nor
+    awaiting a refresh is dropped: the next event starts from the same empty
+    state.  A pending refresh expires by the times of later events, as in the
+    batch fold; its state is freed ``hold_ms`` of processing time after the last
+    event of the id, longer than a session lasts."""
+    e = scaled
     snap = F.col("is_snapshot")
     code = (F.when(snap & (F.col("kind") == "Add"), fold.SNAP).when(snap, F.lit(None))
             .when(F.col("kind") == "Add", fold.ADD).when(F.col("kind") == "Cancel", fold.CANCEL)
             .when(F.col("kind") == "Modify", fold.MODIFY).when(F.col("kind") == "Fill", fold.FILL)).cast("long")
     e = orders.with_ticks(e.withColumn("code", code).filter(F.col("code").isNotNull()), tick_size)
-    e = e.filter(F.col("tick").isNotNull()).withWatermark("ts", "2 hours").select(
+    e = e.filter(F.col("tick").isNotNull()).select(
         "instrument_id", F.unix_date("trade_date").cast("long").alias("day"), "order_id", "ordinal", "ts_ns", "code",
         orders.side_no(F.col("side")).alias("side_no"), "tick", "size", "epoch", "clear_no",
-        F.coalesce("now_before", F.lit(-1).cast("long")).alias("now_before"), "ts")
+        F.coalesce("now_before", F.lit(-1).cast("long")).alias("now_before"))
 
     def run(key, frames, state):
         import pandas as pd
@@ -128,7 +135,7 @@ def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WI
             for name, value in zip(fold.STATE_FIELDS, saved):
                 setattr(o, name, int(value))
         fresh = not state.exists
-        rows, late = [], 0
+        rows = []
         events = pd.concat(list(frames)).sort_values("ordinal")
         for r in events.itertuples(index=False):
             if fresh:
@@ -140,18 +147,17 @@ def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WI
             opens = 1 if changed and o.live else 0
             rest = (o.side, o.tick, o.size, o.origin, o.prio, o.epoch, o.reloads, o.hidden, o.unavail) if opens else (0,) * 9
             rows.append((*key, r.ordinal, r.ts_ns, r.code, r.epoch, r.clear_no, *fx, opens, *rest, closes))
-            late = r.ts_ns
         if o.live or o.t_ts >= 0:
             state.update(tuple(int(getattr(o, n)) for n in fold.STATE_FIELDS) + (int(open_ord),))
             if not o.live:
-                state.setTimeoutTimestamp(max(late // 1_000_000, state.getCurrentWatermarkMs()) + window_ns // 1_000_000 + 1)
+                state.setTimeoutDuration(hold_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(rows, columns=_OUT)
 
     long = lambda names: ", ".join(f"{n} long" for n in names)
     return e.groupBy("instrument_id", "day", "order_id").applyInPandasWithState(
-        run, long(_OUT), long(_STATE), "append", GroupStateTimeout.EventTimeTimeout)
+        run, long(_OUT), long(_STATE), "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 # ---- publication ----------------------------------------------------------
@@ -172,6 +178,12 @@ def publish_profiles(table_path: str, out_path: str, ticks: int) -> Callable[[Da
     return run
 
 
+def late_rows(scaled: DataFrame) -> DataFrame:
+    """Live rows that came after a later time of their session, counted from the first stage's rows."""
+    late = F.coalesce(F.col("ts_ns") < F.col("now_before"), F.lit(False))
+    return scaled.filter(~F.col("is_snapshot")).groupBy(*KEY).agg(F.count_if(late).alias("late_rows"))
+
+
 def head_lag(events: DataFrame, clock_us) -> DataFrame:
     """How far the newest event of each instrument is behind ``clock_us``."""
     return events.filter(~F.col("is_snapshot")).groupBy("instrument_id").agg(F.max("ts_ns").alias("head_ns")).withColumn(

@@ -180,6 +180,18 @@ def test_random_streams_match_naive_book(spark, hot_rows, monkeypatch):
     assert sum(len(t) for t in totals.values()) > 50
 
 
+def test_splitting_hot_ids_changes_no_row_of_the_log(spark, monkeypatch):
+    monkeypatch.setattr(orders, "_SAMPLE", 1)
+    rng = random.Random(13)
+    made = [random_stream(rng, 250)[0] for _ in range(30)]
+    made.append([A(1, 5), A(1, 7), M(1, 3), A(1, 2), C(1, 2), A(2, 4), clear(), A(2, 6), Fi(2, 6), C(2, 6), clear(), C(2, 6), Fi(3, 1), Fi(3, 2)])
+    ev = frame(spark, made)
+    whole = orders.order_log(ev, TICK, hot_rows=None)
+    split = orders.order_log(ev, TICK, hot_rows=1)
+    a, b = (sorted(map(tuple, x.collect()), key=str) for x in (whole, split))
+    assert a == b and len(a) > 5000
+
+
 def test_asof_any_point_equals_prefix_run(spark):
     rng = random.Random(11)
     ev = frame(spark, [random_stream(rng, 200)[0] for _ in range(8)])
