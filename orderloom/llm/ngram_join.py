@@ -5,11 +5,18 @@
 2. A document's prefix, the first |x| - ceil(t|x|) + 1 n-grams in that order,
    must share an n-gram with the prefix of anything it links to.
 3. Texts with one n-gram set are one class.  Prefix n-grams that occur once are
-   dropped by a filter of fixed size; the rest are postings.
-4. Each n-gram's postings first meet only their least class (a star).  Verified
-   links are joined into components.  Then classes of different components that
-   share a prefix n-gram meet: all pairs that could still connect something, and
-   no pair inside a group that already is one.  A pair is verified once.
+   dropped by a filter of fixed size; those of one class only are dropped next.
+4. Each n-gram's postings first meet only their most central class, that which
+   shares its prefix n-grams most widely (a star).  Verified links are joined
+   into components.  Then classes of different components that share a prefix
+   n-gram meet: all pairs that could still connect something, and none inside a
+   group that already is one.  The filters are part of the join condition, and a
+   pair is verified once.
+
+The suffix filter deals a set into 1024 parts by hash and keeps each part's
+parity: every parity that differs stands for an n-gram in one set only, which
+bounds the symmetric difference from below.  In the join it runs on 256 parts
+(four merged into one), on the pairs that are left on all of them.
 
 Class ids and n-grams are 64-bit hashes.  Defined cases: null, empty and wordless
 texts have no n-grams and link with nothing; fewer words than ``width`` are one
@@ -23,6 +30,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +43,10 @@ from .components import connected
 SLOT_BITS = 18
 SEEN_BITS = 26
 FETCH_BITS = 24
-PARTS = 16
+WORDS, MERGED = 16, 4
 M = np.uint64(0x9FB21C651E98DF25)
-SETS = "doc_id long, _fp long, c long, size int, hist array<int>, prefix array<long>"
+BITS, FEW = [f"b{i}" for i in range(WORDS)], [f"f{i}" for i in range(MERGED)]
+SETS = "doc_id long, _fp long, c long, size int, " + ", ".join(f"{b} long" for b in BITS) + ", prefix array<long>"
 
 
 @dataclass(frozen=True)
@@ -107,14 +116,14 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
-    """SETS, one row per document: class, size, n-grams per hash part, prefix rare first."""
+    """SETS, one row per document: class, size, parities of 1024 hash parts, prefix rare first."""
     weights = np.round(1024 * np.log2(1 + counts)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in slices(batches):
             n = b.num_rows
-            c, size, hist, ends, prefix = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros((n, PARTS), np.int32), np.zeros(n + 1, np.int32), []
+            c, size, bits, ends, prefix = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros((n, WORDS), np.int64), np.zeros(n + 1, np.int32), []
             for r, text in enumerate(b.column("text").to_pylist()):
                 h = word_hashes(text, known)
                 x, w = grams(h, rule.width, weights[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)])
@@ -122,14 +131,14 @@ def set_table(docs: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
                 ends[r + 1] = ends[r]
                 if x.size:
                     c[r] = np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).view(np.int64)
-                    hist[r] = np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+                    odd = np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=64 * WORDS) & 1
+                    bits[r] = np.packbits(odd.astype(np.uint8)).view(np.int64)
                     prefix.append(x[np.lexsort((x, w))[: rule.prefix(x.size)]])
                     ends[r + 1] += prefix[-1].size
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("_fp"), pa.array(c), pa.array(size),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, n * PARTS + 1, PARTS, dtype=np.int32)), pa.array(hist.ravel())),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "_fp", "c", "size", "hist", "prefix"])
+                [b.column("doc_id"), b.column("_fp"), pa.array(c), pa.array(size), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)],
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "_fp", "c", "size", *BITS, "prefix"])
 
     return docs.select("doc_id", "_fp", "text").mapInArrow(run, SETS)
 
@@ -154,13 +163,32 @@ def postings(sets: DataFrame) -> DataFrame:
     return sets.filter("size > 0").select("c", "size", "prefix").mapInArrow(run, "g long, c long, size int, pos int")
 
 
-def _may_link(rule: Rule, a: str, b: str) -> Column:
-    """Length filter, and positional filter: what stands after the shared n-gram must suffice.
-    It may fail at a later shared n-gram; the pair then comes by its first."""
-    sa, sb, at, bt = (F.col(f"{x}.{y}").cast("long") for y in ("size", "pos") for x in (a, b))
+def shared_postings(p: DataFrame, classes: DataFrame) -> DataFrame:
+    """(g, c, size, pos, bits, score) of n-grams that more than one class has; score sums up how many do."""
+    p = p.groupBy("g", "c").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
+    often = p.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    p = stored(p.join(often, "g"), "postings")
+    return stored(p.join(p.groupBy("c").agg(F.sum("n").alias("score")), "c").join(classes.select("c", *_merged()), "c").drop("n"), "shared-postings")
+
+
+def _merged() -> list[Column]:
+    """Parities of 256 parts: a merged part's is the exclusive or of its parts'."""
+    return [reduce(Column.bitwiseXOR, [F.col(b) for b in BITS[i::MERGED]]).alias(f) for i, f in enumerate(FEW)]
+
+
+def _apart(a: list[str], b: list[str]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a, b)])
+
+
+def _may_link(rule: Rule) -> Column:
+    """Length, positional and suffix filters over sides a and b that share an n-gram.
+    Positional: what stands after it must suffice.  That may fail at a later shared
+    n-gram; the pair then comes by its first."""
+    sa, sb, at, bt = (F.col(x).cast("long") for x in ("a.size", "b.size", "a.pos", "b.pos"))
     t = rule.percent
     most = 1 + F.least(sa - at - 1, sb - bt - 1)
-    return (100 * F.least(sa, sb) >= t * F.greatest(sa, sb)) & ((100 + t) * most >= t * (sa + sb))
+    apart = _apart([f"a.{f}" for f in FEW], [f"b.{f}" for f in FEW])
+    return (100 * F.least(sa, sb) >= t * F.greatest(sa, sb)) & ((100 + t) * most >= t * (sa + sb)) & ((100 + t) * apart <= (100 - t) * (sa + sb))
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -168,13 +196,11 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 
 def _suffix(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Suffix filter: the sets fall into PARTS disjoint parts by hash; differences of part
-    sizes add up to a lower bound of the symmetric difference."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("size").alias(f"s{x}"), F.col("hist").alias(f"h{x}"))
+    """Pairs that the suffix filter passes on all parts."""
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("size").alias(f"s{x}"), *[F.col(b).alias(f"{x}{b}") for b in BITS])
     p = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    t = rule.percent
-    return p.filter((100 + t) * apart <= (100 - t) * (F.col("sa") + F.col("sb"))).select("a", "b")
+    apart = _apart([f"a{b}" for b in BITS], [f"b{b}" for b in BITS])
+    return p.filter((100 + rule.percent) * apart <= (100 - rule.percent) * (F.col("sa") + F.col("sb"))).select("a", "b")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -189,7 +215,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -
             yield b.filter(pa.array(in_bitset(near, np.asarray(b.column("_fp")))))
 
     some = docs.select("doc_id", "_fp", "text").mapInArrow(thin, "doc_id long, _fp long, text string")
-    texts = stored(some.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f"))).select("c", "text").dropDuplicates(["c"]), "texts")
+    same = some.join(wanted, (F.col("_fp") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = stored(same.groupBy("_fp").agg(F.first("c").alias("c"), F.first("text").alias("text")).drop("_fp"), "texts")  # repeated rows
     full = (pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -226,24 +253,19 @@ def components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     docs = documents.select("doc_id", text_of().alias("text")).withColumn("_fp", fingerprint("doc_id", "text"))
     sets = stored(set_table(docs, rule, word_counts(docs)), "ngram-sets")
     ident = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("_fp"))
-    classes = stored(sets.filter("size > 0").groupBy("c").agg(F.min(ident).alias("rep"), F.first("size").alias("size"), F.first("hist").alias("hist")), "classes")
-    p = stored(postings(sets), "postings")
+    classes = stored(sets.filter("size > 0").groupBy("c").agg(F.min(ident).alias("rep"), F.first("size").alias("size"), *[F.first(b).alias(b) for b in BITS]), "classes")
+    p = shared_postings(postings(sets), classes).alias("a")
 
-    hub = F.min(F.struct("c", "size", "pos"))
-    hubs = p.groupBy("g").agg(hub.alias("h"), F.max("c").alias("top")).filter("h.c <> top").select("g", "h.*")
-    stars = _pairs(p.alias("a").join(hubs.alias("b"), "g").filter(F.col("a.c") != F.col("b.c")).filter(_may_link(rule, "a", "b")))
-    tried = stored(_suffix(stars, classes, rule), "star-pairs")
+    hubs = p.groupBy("g").agg(F.max(F.struct("score", "c", "size", "pos", *FEW)).alias("h")).select("g", "h.*")
+    stars = p.join(hubs.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.c") != F.col("b.c")) & _may_link(rule))
+    tried = stored(_suffix(_pairs(stars), classes, rule), "star-pairs")
     linked = stored(_verify(tried, docs, classes, rule), "star-links")
 
     roots = connected(linked)
-    q = stored(p.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted-postings")
-    groups = q.groupBy("g", "root").agg(F.count("*").alias("n"))
-    mixed = groups.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
-    groups = groups.join(mixed, "g").select("g", "root")
-    meet = groups.alias("x").join(groups.alias("y"), "g").filter("x.root < y.root").select("g", F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
-    side = q.select("g", "root", "c", "size", "pos")
-    rest = (meet.join(side.withColumnRenamed("root", "ra").alias("a"), ["g", "ra"])
-            .join(side.withColumnRenamed("root", "rb").alias("b"), ["g", "rb"]).filter(_may_link(rule, "a", "b")))
+    q = p.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")).drop("score")
+    mixed = q.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+    q = stored(q.join(mixed, "g"), "rooted-postings")
+    rest = q.alias("a").join(q.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.root") != F.col("b.root")) & _may_link(rule))
     rest = stored(_suffix(_pairs(rest).join(tried, ["a", "b"], "left_anti"), classes, rule), "other-pairs")
     links = stored(linked.unionByName(_verify(rest, docs, classes, rule)), "links")
 
