@@ -40,6 +40,8 @@ LEAST, MOST = 256, 8192
 CUT_BITS = 10
 SHARED_BITS = 24
 P = 0xD6E8FEB86659FD93
+#: Ids between tasks; the vocabulary has 50,257.
+DTYPE = "<u2"
 ANCHOR = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Fixed value: the tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -251,7 +253,7 @@ def encode(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
                 ids = [None if o else codec.encode(c) for c, o in zip(cs, often)]
                 if None in ids:
                     out.append((doc_id, fp, None, None, None, [k if o else None for k, o in zip(keys, often)], [c.decode() if o else None for c, o in zip(cs, often)],
-                                [None if o else np.array(i, "<u4").tobytes() for i, o in zip(ids, often)]))
+                                [None if o else np.array(i, DTYPE).tobytes() for i, o in zip(ids, often)]))
                 else:
                     out.append((doc_id, fp, *_digest(codec, assemble(codec, list(zip(cs, ids))) if cs else []), None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 8, types)], names)
@@ -263,7 +265,7 @@ def encode(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(json_path, ranks_path)
         for b in slices(batches):
-            ids = [np.array(codec.encode(t.encode()), "<u4").tobytes() for t in b.column("text").to_pylist()]
+            ids = [np.array(codec.encode(t.encode()), DTYPE).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
     each = wait.select(F.explode(F.arrays_zip("keys", "texts")).alias("x")).filter("x.keys IS NOT NULL")
@@ -280,7 +282,7 @@ def encode(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
             for doc_id, mine, got in zip(*[b.column(c).to_pylist() for c in ("doc_id", "own", "got")]):
                 for g in got:
                     mine[g["at"]] = g["ids"]
-                ids = [np.frombuffer(m, "<u4").tolist() for m in mine]
+                ids = [np.frombuffer(m, DTYPE).tolist() for m in mine]
                 out.append((doc_id, *_digest(codec, assemble(codec, [(codec.decode(i), i) for i in ids]))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.string(), pa.string()])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
