@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.workdir import work_dir
 
+T = TypeVar("T")
 #: White space of the word rule; a word is a longest run of anything else.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,6 +55,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """An object that a Python worker makes once and keeps for its later tasks."""
+    kept = sys.modules.setdefault("_llm_worker_objects", types.ModuleType("_llm_worker_objects")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def bitset(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """Membership filter of 2**bits bits over a column of 64-bit hashes.
 

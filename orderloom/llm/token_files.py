@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,80 +27,103 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from . import rans
-from .common import slices, stored, text_of
+from .common import per_worker, slices, stored, text_of
 
 #: Tokens of a block and blocks of a file; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 18
 BLOCKS_PER_FILE = 32
-MEMO = 400_000
+MEMO = 600_000
 BREAKS = re.compile("[\x1c-\x1f]")
 #: A pre-token of the tokenizer, for words of Latin-1 letters only.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9²³¹¼½¾A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class WordEncoder:
-    """Ids of texts, word by word, by a tokenizer that drops white space."""
+    """Ids of texts as bytes, word by word, by a tokenizer that drops white space.
+
+    Words and pre-tokens seen are kept in two generations of bounded size; what is
+    still in use moves from the old one to the new."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.dtype = "<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _pieces(self, new: list[str]) -> None:
         """Pre-tokens in one call; the library numbers them, so ids fall apart by number."""
         e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids, word = e.ids, np.array(e.word_ids, dtype=np.int64)
+        ids, word = np.array(e.ids, self.dtype), np.array(e.word_ids, dtype=np.int64)
         cut = np.searchsorted(word, np.arange(len(new) + 1))
         if word.size and word[-1] == len(new) - 1 and (np.diff(cut) > 0).all():
-            self.pieces.update((p, tuple(ids[a:b])) for p, a, b in zip(new, cut.tolist(), cut[1:].tolist()))
+            data, at = ids.tobytes(), (cut * ids.itemsize).tolist()
+            self.pieces.update((p, data[a:b]) for p, a, b in zip(new, at, at[1:]))
         else:
-            self.pieces.update((p, tuple(self._whole(p))) for p in new)
+            self.pieces.update((p, self._whole(p)) for p in new)
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > MEMO:
-            self.words.clear()
-            self.pieces.clear()
-            new = list(words)
-        plain = {w: PRETOKEN.findall(w.lower()) for w in new if w.isascii() or max(w) < "Ā"}
-        fresh = list({p for ps in plain.values() for p in ps if p not in self.pieces})
+        if len(self.words) + len(words) > MEMO:
+            self.old, self.words = self.words, {}
+        if len(self.pieces) > MEMO:
+            self.pieces = {}
+        back = self.old
+        self.words.update((w, back[w]) for w in words if w in back)
+        new = [w for w in words if w not in back]
+        plain = {w: PRETOKEN.findall(w.lower()) for w in new if _latin(w)}
+        known = self.pieces
+        fresh = list({p for ps in plain.values() for p in ps if p not in known})
         if fresh:
             self._pieces(fresh)
-        known = self.pieces
-        for w, ps in plain.items():
-            self.words[w] = known[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable(known[p] for p in ps))
+        self.words.update((w, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for w, ps in plain.items())
         other = [w for w in new if w not in plain]
         for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False) if other else ()):
-            self.words[w] = tuple(e.ids)
+            self.words[w] = self._bytes(e.ids)
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = []
         for t in texts:
             if any(s in t for s in self.special) or BREAKS.search(t):
                 split.append(None)
             else:
-                split.append((t.lower() if t.isascii() or max(t) < "Ā" else t).split())
-        self.learn({w for ws in split if ws for w in ws})
-        get = self.words.__getitem__
-        for t, ws in zip(texts, split):
-            yield self._whole(t) if ws is None else list(chain.from_iterable(map(get, ws)))
+                split.append((t.lower() if _latin(t) else t).split())
+        found = [None if ws is None else list(map(self.words.get, ws)) for ws in split]
+        missing = {w for ws, f in zip(split, found) if f and None in f for w, x in zip(ws, f) if x is None}
+        if missing:
+            before = self.words
+            self.learn(missing)
+            rest = self.words if before is self.words else {**before, **self.words}
+        for t, ws, f in zip(texts, split, found):
+            if ws is None:
+                yield self._whole(t)
+            else:
+                yield b"".join([rest[w] for w in ws] if None in f else f)
 
 
 def tokenise(documents: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): ids little-endian, 2 or 4 bytes by vocabulary, end id appended."""
-    wide = Tokenizer.from_file(path).get_vocab_size() > 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = per_worker(("words", path), lambda: WordEncoder(path))
+        end = encoder._bytes([end_id])
         for b in slices(batches, 256):
-            ids = [np.array([*x, end_id], "<u4" if wide else "<u2").tobytes() for x in encoder.encode(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x + end for x in encoder.encode(b.column("text").to_pylist())], pa.binary())], ["doc_id", "ids"])
 
     return documents.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
