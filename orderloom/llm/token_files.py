@@ -191,7 +191,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     docs = stored(files.mapInArrow(rows, "path string, doc_id long, before long, n_tokens long, ids_crc32 long"), "read-back")
     # one row per file: part number of the range partition, then the writer's file counter
     part = lambda p: F.regexp_extract("path", p, 1).cast("long")
-    sizes = docs.groupBy("path").agg(F.sum("n_tokens").alias("n")).select("path", "n", part(r"part-(\d+)-").alias("p"), part(r"-c(\d+)").alias("c"))
+    sizes = docs.groupBy("path").agg(F.sum("n_tokens").alias("n")).select("path", "n", part(r"part-(\d+)-[^/]*$").alias("p"), part(r"-c(\d+)\.[^/]*$").alias("c"))
     earlier = Window.orderBy("p", "c").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     return docs.join(base, "path").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
