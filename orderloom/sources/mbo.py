@@ -36,10 +36,12 @@ def read_raw(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", **
     formats the split offset and the position in the split."""
     data = [f for f in RAW_SCHEMA.fields if f.name not in ("source_file", "file_rank", "row_index")]
     files = raw_files(spark, paths, fmt, **options)
-    ranks = spark.createDataFrame(files, "_path string, source_file string, file_rank int")
+    # listings write file:///x, rows file:/x
+    plain = lambda col: F.regexp_replace(col, "^([A-Za-z0-9]+):/+", "$1:/")
+    ranks = spark.createDataFrame(files, "_path string, source_file string, file_rank int").withColumn("_path", plain("_path"))
     df = spark.read.schema(type(RAW_SCHEMA)(data)).options(**options).format(fmt).load([f for f, _, _ in files])
     df = df.withColumns({
-        "_path": F.col("_metadata.file_path"), "_split": F.col("_metadata.file_block_start"),
+        "_path": plain(F.col("_metadata.file_path")), "_split": F.col("_metadata.file_block_start"),
         "_pos": F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()})
     # one row per listed file; a row that no file claims stops the read
     df = df.join(ranks, "_path", "left").withColumn(

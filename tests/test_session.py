@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from feed import HALF_HOUR, OPEN, T, TICK, G, frame
@@ -174,6 +175,21 @@ def test_read_raw_numbers_rows_by_file_order(spark, tmp_path):
     assert [(r.source_file, r.sequence) for r in got.orderBy("ordinal").collect()] == [("b.csv", 10), ("b.csv", 11), ("b.csv", 12), ("a.csv", 10), ("a.csv", 11)]
 
 
+def test_read_raw_keeps_equal_names_apart_and_expands_folders(spark, tmp_path):
+    names = "ts_event long, ts_recv long, ts_in_delta long, instrument_id long, channel_id int, sequence long, action string, side string, price long, size long, order_id long, flags int"
+    for d, n in (("one", 2), ("two", 3)):
+        rows = [(OPEN + i, OPEN + i, 0, 1, 0, 10 * n + i, "A", "B", TICK, 1, i, 0) for i in range(n)]
+        spark.createDataFrame(rows, names).coalesce(1).write.parquet(str(tmp_path / d / "raw"))
+        part = next((tmp_path / d / "raw").glob("part-*.parquet"))
+        (tmp_path / d / "day.parquet").write_bytes(part.read_bytes())
+    both = [str(tmp_path / d / "day.parquet") for d in ("two", "one")]
+    got = mbo.with_ordinal(mbo.read_raw(spark, both)).orderBy("ordinal").collect()
+    assert [r.sequence for r in got] == [30, 31, 32, 20, 21] and len({r.source_file for r in got}) == 2
+    assert mbo.read_raw(spark, [str(tmp_path / "two" / "raw")]).count() == 3
+    with pytest.raises(ValueError):
+        mbo.read_raw(spark, [both[0], both[0]])
+
+
 def test_prior_rules(spark):
     d = lambda n: dt.date(2026, 7, n)
     cur = spark.createDataFrame([(1, d(30), "X", 5)], "instrument_id long, trade_date date, symbol string, tick_size long")
