@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from orderloom.plans import oracles, queries as registry
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["a11_arrival_ordinal", "b05_session_calendar", "c02_emission_order", "d09_value_area", "d15_cvd_candles", "d22_letter_strings",
@@ -12,7 +13,8 @@ SAMPLE = ["a11_arrival_ordinal", "b05_session_calendar", "c02_emission_order", "
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(oracles.all_sql())
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
