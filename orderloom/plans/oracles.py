@@ -88,7 +88,7 @@ FROM (SELECT ev.*, session_open_ns, eth_end_ns, rth_offset, ts_ns < eth_end_ns A
 CTES["sr"] = """
 SELECT *, CASE WHEN dev_period - rth_offset BETWEEN 0 AND 12 THEN dev_period - rth_offset END AS rth_period FROM se"""
 
-CTES["tr"] = "SELECT * FROM sr WHERE kind = 'Trade' AND size > 0"
+CTES["tr"] = "SELECT * FROM sr WHERE kind = 'Trade' AND size > 0 AND tick IS NOT NULL"
 
 CTES["pr"] = f"""
 SELECT {K}, tick, sum(size)::BIGINT AS volume, coalesce(sum(size) FILTER (side = 'B'), 0)::BIGINT AS buy_volume,
@@ -214,7 +214,7 @@ FROM ev WINDOW w AS (PARTITION BY {K} ORDER BY ordinal ROWS BETWEEN UNBOUNDED PR
 CTES["fi"] = f"""
 SELECT *, row_number() OVER (PARTITION BY {K}, order_id ORDER BY ordinal) AS rn
 FROM (SELECT {K}, order_id, ordinal, ts_ns, CASE WHEN is_snapshot THEN 'Snapshot' ELSE kind END AS kind, side, tick, size, epoch, clear_no, now_before
-      FROM sc WHERE (is_snapshot AND kind = 'Add') OR (NOT is_snapshot AND kind IN ('Add', 'Cancel', 'Modify', 'Fill')))"""
+      FROM sc WHERE tick IS NOT NULL AND ((is_snapshot AND kind = 'Add') OR (NOT is_snapshot AND kind IN ('Add', 'Cancel', 'Modify', 'Fill'))))"""
 
 _ST = ["live", "o_side", "o_tick", "o_size", "o_epoch", "o_origin", "o_prio", "rel", "hid", "unav", "fq", "fdone", "fep", "fseen",
        "t_side", "t_tick", "t_ts", "t_epoch", "t_rel", "t_hid"]
@@ -629,5 +629,33 @@ def sql(name: str) -> str:
     return f"WITH RECURSIVE {head}\n{body}"
 
 
+#: The event table as it comes out of the raw rows: admitted, gaps given to every instrument of their channel.
+_RAW_EV = f"""
+SELECT instrument_id::BIGINT AS instrument_id, channel_id, source_file, ordinal, ts_ns, seq, kind, side, flags, is_snapshot, size,
+       CASE WHEN price % {TICK} = 0 THEN price // {TICK} END AS tick, price, order_id, gap_expected, gap_observed, trade_date
+FROM (SELECT * FROM cn WHERE kind <> 'Gap' OR instrument_id <> 0
+      UNION ALL SELECT m.instrument_id, c.* EXCLUDE (instrument_id) FROM cn c
+      JOIN (SELECT DISTINCT channel_id, instrument_id FROM cn WHERE kind <> 'Gap' AND trade_date IS NOT NULL) m USING (channel_id)
+      WHERE kind = 'Gap' AND c.instrument_id = 0)
+WHERE trade_date IS NOT NULL"""
+
+RAW_BODIES = {
+    "p01_raw_to_summary": BODIES["d26_session_summary"],
+    "p02_raw_to_order_log": f"""SELECT {K}, kind, count(*) AS n, count(*) FILTER (opens) AS opened, sum(added)::BIGINT AS added, sum(cancelled)::BIGINT AS cancelled,
+ sum(traded)::BIGINT AS traded, count(*) FILTER (act IN ('unknown', 'fill_unknown')) AS unknown_ref, count(*) FILTER (act IN ('bad', 'place_dup')) AS violations FROM st0 GROUP BY ALL""",
+}
+
+
+def raw_sql(name: str) -> str:
+    """The SQL of a body over the raw rows' event table."""
+    given = CTES["ev"]
+    BODIES[name], CTES["ev"] = RAW_BODIES[name], _RAW_EV
+    try:
+        return sql(name)
+    finally:
+        CTES["ev"] = given
+        del BODIES[name]
+
+
 def all_sql() -> dict[str, str]:
-    return {n: sql(n) for n in BODIES}
+    return {**{n: sql(n) for n in BODIES}, **{n: raw_sql(n) for n in RAW_BODIES}}

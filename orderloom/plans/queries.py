@@ -602,14 +602,36 @@ def d25_merged_sessions(spark, sf):
     return priors.merge_sessions(now, rows.join(cur, KEY, "left_anti"), _decisions(spark, sf))
 
 
-@query
-def d26_session_summary(spark, sf):
-    s = profile.session_summary(ev(spark, sf), TICK)
+def _summary(events: DataFrame) -> DataFrame:
+    s = profile.session_summary(events, TICK)
     bars = F.array_join(F.transform("candles", lambda x: F.concat_ws(":", x["period"], x["open"], x["high"], x["low"], x["close"])), " ")
     return s.select(*KEY, "open", "vpoc", "val", "vah", "ib_low", "ib_high", "current_period", "period_gap", "delta",
                     "cvd_low", "cvd_high", "is_current", bars.alias("candles"))
 
 
+@query
+def d26_session_summary(spark, sf):
+    return _summary(ev(spark, sf))
+
+
+def raw_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw rows taken all the way: numbered, mapped, gaps observed and fanned out, snapshots admitted; stored."""
+    return stored(spark, sf, "raw_sessions", lambda: ingest.session_events(canon(spark, sf)))
+
+
+@query
+def p01_raw_to_summary(spark, sf):
+    return _summary(raw_sessions(spark, sf))
+
+
+@query
+def p02_raw_to_order_log(spark, sf):
+    log = orders.order_log(raw_sessions(spark, sf), TICK)
+    return log.groupBy(*KEY, "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("opens").alias("opened"), F.sum("added").alias("added"), F.sum("cancelled").alias("cancelled"),
+        F.sum("traded").alias("traded"), F.count_if("unknown_ref").alias("unknown_ref"), F.count("violation").alias("violations"))
+
+
 # ---- E: order book --------------------------------------------------------
 
 EFFECT = ["instrument_id", "trade_date", "order_id", "ordinal"]
