@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .common import fingerprint, slices, text_of
 
@@ -190,6 +190,17 @@ def _matcher(block: list[tuple[int, str]], rate: float):
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 24) -> DataFrame:
-    """Documents, all columns, without those that hold a test item."""
-    hit = matches(documents, benchmark, rate, min_chars).select(F.col("doc_id").alias("_llm_id"), F.col("_fp").alias("_llm_fp")).distinct()
-    return documents.join(hit, documents["doc_id"].eqNullSafe(F.col("_llm_id")) & (F.coalesce(F.xxhash64(documents["text"]), F.lit(0)) == F.col("_llm_fp")), "left_anti")
+    """Documents, all columns, without those that hold a test item: one pass over the
+    rows per block of items, nothing is joined or shuffled."""
+
+    def without(block: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(block, rate)
+            for b in slices(batches):
+                yield b.filter(pa.array([next(items.match(normal(t or "")), None) is None for t in b.column("text").to_pylist()], pa.bool_()))
+
+        return run
+
+    for block in blocks(benchmark, min_chars):
+        documents = documents.mapInArrow(without(block), documents.schema)
+    return documents
