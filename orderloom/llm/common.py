@@ -34,7 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     computed once, and a lost executor costs a re-read, not the lineage."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t._stored_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def text_of(name: str = "text") -> Column:

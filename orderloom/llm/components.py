@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _toward_least(e: DataFrame, keep_all: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_least(both, False)
-        e = stored(_toward_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), True), "stars")
+        before, e = e, stored(_toward_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), True), "stars")
+        release(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == state:
             break

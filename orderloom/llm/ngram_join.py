@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bitset, fingerprint, in_bitset, slices, stored, text_of
+from .common import bitset, fingerprint, in_bitset, release, slices, stored, text_of
 from .components import connected
 
 SLOT_BITS = 18
@@ -168,7 +168,9 @@ def shared_postings(p: DataFrame, classes: DataFrame) -> DataFrame:
     p = p.groupBy("g", "c").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
     often = p.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
     p = stored(p.join(often, "g"), "postings")
-    return stored(p.join(p.groupBy("c").agg(F.sum("n").alias("score")), "c").join(classes.select("c", *_merged()), "c").drop("n"), "shared-postings")
+    out = stored(p.join(p.groupBy("c").agg(F.sum("n").alias("score")), "c").join(classes.select("c", *_merged()), "c").drop("n"), "shared-postings")
+    release(p)
+    return out
 
 
 def _merged() -> list[Column]:
@@ -204,7 +206,7 @@ def _suffix(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that link.  Only texts of candidate classes are fetched: a filter of
+    """Pairs that link, stored.  Only texts of candidate classes are fetched: a filter of
     fixed size thins the scan, an equi-join makes it exact."""
     wanted = classes.join(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), "c").select("c", "rep")
     wanted = stored(wanted.select("c", F.col("rep.doc_id").alias("_id"), F.col("rep._fp").alias("_f")), "wanted")
@@ -242,7 +244,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return full.mapInArrow(check, "a long, b long")
+    out = stored(full.mapInArrow(check, "a long, b long"), "verified")
+    release(wanted, texts)
+    return out
 
 
 def components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -254,27 +258,34 @@ def components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sets = stored(set_table(docs, rule, word_counts(docs)), "ngram-sets")
     ident = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("_fp"))
     classes = stored(sets.filter("size > 0").groupBy("c").agg(F.min(ident).alias("rep"), F.first("size").alias("size"), *[F.first(b).alias(b) for b in BITS]), "classes")
-    p = shared_postings(postings(sets), classes).alias("a")
+    table = shared_postings(postings(sets), classes)
+    members = stored(sets.select("doc_id", "_fp", "size", "c"), "members")
+    release(sets)
+    p = table.alias("a")
 
     hubs = p.groupBy("g").agg(F.max(F.struct("score", "c", "size", "pos", *FEW)).alias("h")).select("g", "h.*")
     stars = p.join(hubs.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.c") != F.col("b.c")) & _may_link(rule))
     tried = stored(_suffix(_pairs(stars), classes, rule), "star-pairs")
-    linked = stored(_verify(tried, docs, classes, rule), "star-links")
+    linked = _verify(tried, docs, classes, rule)
 
     roots = connected(linked)
     q = p.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")).drop("score")
     mixed = q.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
     q = stored(q.join(mixed, "g"), "rooted-postings")
+    release(table)
     rest = q.alias("a").join(q.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.root") != F.col("b.root")) & _may_link(rule))
     rest = stored(_suffix(_pairs(rest).join(tried, ["a", "b"], "left_anti"), classes, rule), "other-pairs")
-    links = stored(linked.unionByName(_verify(rest, docs, classes, rule)), "links")
+    release(q, tried)
+    more = _verify(rest, docs, classes, rule)
+    links = stored(linked.unionByName(more), "links")
+    release(linked, more, rest)
 
     roots = connected(links)
     known = classes.select("c", "rep").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     firsts = known.groupBy("root").agg(F.min("rep").alias("first"))
     degree = links.select(F.col("a").alias("c")).unionByName(links.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("class_links"))
     by_class = known.join(firsts, "root").join(degree, "c", "left").select("c", "first", "class_links")
-    out = sets.select("doc_id", "_fp", "size", F.when(F.col("size") > 0, F.col("c")).alias("c")).join(by_class, "c", "left")
+    out = members.select("doc_id", "_fp", "size", F.when(F.col("size") > 0, F.col("c")).alias("c")).join(by_class, "c", "left")
     return out.select("doc_id", "_fp", F.col("size").cast("long").alias("n_shingles"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"),
                       F.when(F.col("size") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("first"))
 
