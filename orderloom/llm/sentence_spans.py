@@ -104,6 +104,7 @@ def repeated(docs: DataFrame, sentences: int = 3, least: int = 24) -> DataFrame:
     table = stored(span_table(docs, sentences, least), "sentence-spans")
     place = F.struct("doc_id", "_fp", "i")
     first = table.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
+    first = stored(first, "first-spans")  # both sides of the join then come from scans
     again = table.join(first, "h").filter(F.col("first") != place)
     return again.groupBy("doc_id", "_fp").agg(F.collect_list(F.struct("i", "j")).alias("cut"))
 
