@@ -1021,8 +1021,6 @@ def h06_stateful_orders(spark, sf):
     """Five micro-batches of the first stage, then as many of the second, with late rows and snapshot blocks among them."""
     parts = 5
     scaled, out, ckpt = _scaled(spark, sf, parts), work_dir(spark, "effects"), work_dir(spark, "ckpt")
-    # a processing-time timeout would ask for empty batches without end, and availableNow would never finish
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     for i in range(parts):
         # one more batch of the first stage becomes visible at each start
         s = spark.readStream.schema(streaming.SCALED_SCHEMA).parquet(f"{scaled}/batch={{{','.join(str(k) for k in range(i + 1))}}}")

@@ -104,15 +104,17 @@ _REST = ["side_no", "tick", "size", "prio_origin", "prio_ord", "order_epoch", "r
 _OUT = ["instrument_id", "day", "order_id", "ordinal", "ts_ns", "code", "epoch", "clear_no", *_FX, "opens", *_REST, "closes_ord"]
 
 
-def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WINDOW_NS, hold_ms: int = 129_600_000) -> DataFrame:
+def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WINDOW_NS, hold_ms: int | None = None) -> DataFrame:
     """Second stage: the batch fold's step, keyed by order, across micro-batches.
 
     ``closes_ord`` names the interval an event ended.  There is no watermark, so
     rows of any age are applied.  State of an order that is neither resting nor
     awaiting a refresh is dropped: the next event starts from the same empty
     state.  A pending refresh expires by the times of later events, as in the
-    batch fold; its state is freed ``hold_ms`` of processing time after the last
-    event of the id, longer than a session lasts."""
+    batch fold.  Its state is freed ``hold_ms`` of processing time after the last
+    event of the id (choose it longer than a session), or kept if that is None:
+    such a timeout asks for batches without end, so an ``availableNow`` run,
+    which ends with its data, must not set it."""
     e = scaled
     snap = F.col("is_snapshot")
     code = (F.when(snap & (F.col("kind") == "Add"), fold.SNAP).when(snap, F.lit(None))
@@ -149,7 +151,7 @@ def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WI
             rows.append((*key, r.ordinal, r.ts_ns, r.code, r.epoch, r.clear_no, *fx, opens, *rest, closes))
         if o.live or o.t_ts >= 0:
             state.update(tuple(int(getattr(o, n)) for n in fold.STATE_FIELDS) + (int(open_ord),))
-            if not o.live:
+            if hold_ms is not None and not o.live:
                 state.setTimeoutDuration(hold_ms)
         elif state.exists:
             state.remove()
@@ -157,7 +159,7 @@ def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WI
 
     long = lambda names: ", ".join(f"{n} long" for n in names)
     return e.groupBy("instrument_id", "day", "order_id").applyInPandasWithState(
-        run, long(_OUT), long(_STATE), "append", GroupStateTimeout.ProcessingTimeTimeout)
+        run, long(_OUT), long(_STATE), "append", GroupStateTimeout.NoTimeout if hold_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 # ---- publication ----------------------------------------------------------
