@@ -1,19 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine on a block-max inverted index.
 
-Terms are words and their first four and five letters (inflected words share
-them).  Those that mark one label in a bounded labelled sample are the
-vocabulary; their document frequencies are counted over all documents.  The
-sample's vectors are cut into blocks; every term keeps its greatest weight per
-block, so a query bounds a whole block and opens only blocks that could still
-change its nearest examples: the cosine is exact.  Votes are weighted by
-distance, and calibrated on a quarter of the sample that neither chose terms nor
-stands in the index.
-
-Defined cases: null and empty texts, and texts without a known term, have no
-neighbours and get the calibrated score of such examples; ties in cosine go to
-the smaller example number; repeated rows get equal results; without labels of
-both kinds all scores are the share of label 1 (0 without labels); an empty
-table gives an empty table; other columns are ignored.
+Terms are words and their first three to six letters (inflected words share
+them).  The index holds the vectors of all rows of a bounded labelled sample,
+whatever their label, over all their terms; document frequencies of the terms
+are counted over all documents.  The sample's vectors are cut into blocks; every
+term keeps its greatest weight per block, so a query bounds a whole block and
+opens only blocks that could still change its nearest examples: the cosine is
+exact.  Votes are weighted by distance, and calibrated on a quarter of the
+sample that does not stand in the index.
+
+Terms are 64-bit hashes.  Terms of a text that no example has are left out of
+its vector.  Defined cases: null and empty texts, and texts without a known term,
+have no neighbours and get the calibrated score of such examples; ties in cosine
+go to the smaller example number; repeated rows get equal results; without
+labels of both kinds all scores are the share of label 1 (0 without labels); an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,40 +25,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import slices, text_of
 from .labelled import held_out, sample
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of what is learned: labelled rows, terms, examples with a known term.
-SAMPLE_ROWS, TERMS = 12_000, 2_048
+#: Bound of what is learned: labelled rows.
+SAMPLE_ROWS = 12_000
 BLOCK, NEAREST = 64, 15
-#: Lower confidence bound of the log of how much more often label 1 has the term.
-LIFT = 2.0
 RESULT = "doc_id long, score double, evidence array<long>"
 
 
 def terms(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
-
-
-class Vocabulary(dict):
-    """Word to the numbers of its known terms, remembered per word."""
-
-    def __init__(self, names: list[str]):
-        super().__init__()
-        self.number = {t: i for i, t in enumerate(names)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = tuple(self.number[t] for t in terms(word) if t in self.number)
-        return found
-
-    def counts(self, text: str) -> Counter:
-        known = self.__getitem__
-        return Counter(i for found in map(known, WORD.findall(text.lower())) if found for i in found)
+    return [word, *(f"{word[:n]}*" for n in (3, 4, 5, 6) if len(word) > n)]
+
+
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... (n[0] of them), lo[1], ..."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Vocabulary:
+    """Term counts of texts.  With ``keys`` (sorted hashes) terms are numbers of
+    known ones, else hashes; what a word stands for is remembered."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        self.keys, self.known = keys, {}
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.known) > 200_000:
+            self.known.clear()
+        each = [terms(w) for w in words]
+        h = np.array([xxhash.xxh3_64_intdigest(t) for ts in each for t in ts], np.uint64).view(np.int64)
+        ok = np.ones(h.size, bool)
+        if self.keys is not None:
+            at = np.searchsorted(self.keys, h)
+            ok = at < self.keys.size
+            ok[ok] = self.keys[at[ok]] == h[ok]
+            h = at
+        lo = 0
+        for w, ts in zip(words, each):
+            self.known[w] = h[lo:lo + len(ts)][ok[lo:lo + len(ts)]]
+            lo += len(ts)
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms ascending, how often)."""
+        c = Counter(WORD.findall(text.lower()))
+        if not c:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words = list(c)
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+            if any(w not in self.known for w in words):
+                self._learn(words)
+        got = [self.known[w] for w in words]
+        t, inverse = np.unique(np.concatenate(got), return_inverse=True)
+        return t, np.bincount(inverse, np.repeat(list(c.values()), [x.size for x in got]), t.size).astype(np.int64)
 
 
 class BlockMaxIndex:
@@ -66,55 +91,73 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n = len(vectors)
         self.blocks = -(-self.n // BLOCK)
-        rows = np.concatenate([np.full(t.size, i) for i, (t, _) in enumerate(vectors)]) if vectors else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), [t.size for t, _ in vectors])
         t = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         w = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((rows, t))
-        self.row, self.weight = rows[order], w[order]
-        key = t[order] * self.blocks + self.row // BLOCK
-        self.at = np.searchsorted(key, np.arange(n_terms * self.blocks + 1)).reshape(-1)
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (t[order], self.row // BLOCK), self.weight)
+        order = np.argsort(t, kind="stable")
+        t, self.row, self.weight = t[order], rows[order], w[order]
+        block = self.row // BLOCK
+        start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (block[1:] != block[:-1])])) if t.size else np.zeros(0, np.int64)
+        #: One entry for each term and block that meet: the block, its greatest weight, its first posting.
+        self.block, self.at = block[start], np.append(start, t.size)
+        self.most = np.maximum.reduceat(self.weight, start) if t.size else np.zeros(0)
+        self.entry = np.searchsorted(t[start], np.arange(n_terms + 1))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, examples) of the k nearest with a positive cosine."""
-        bound = w @ self.most[t]
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (best_s.size == k and bound[b] < best_s[-1] - 1e-12):
-                break
-            score = np.zeros(min(BLOCK, self.n - b * BLOCK))
-            for term, weight in zip(t, w):
-                lo, hi = self.at[term * self.blocks + b], self.at[term * self.blocks + b + 1]
-                score[self.row[lo:hi] - b * BLOCK] += weight * self.weight[lo:hi]
+        n = self.entry[t + 1] - self.entry[t]
+        e, w = _ranges(self.entry[t], n), np.repeat(w, n)
+        block = self.block[e]
+        bound = np.bincount(block, w * self.most[e], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best_s, best_i, at, size = np.zeros(0), np.zeros(0, np.int64), 0, 4
+        while at < order.size:  # a few blocks first, then ever more of those that may still matter
+            opened = np.zeros(self.blocks, bool)
+            some = order[at:at + size]
+            if best_s.size == k:
+                some = some[bound[some] >= best_s[-1] - 1e-11]
+                if not some.size:
+                    break
+            opened[some] = True
+            mine = opened[block]
+            lo = self.at[e[mine]]
+            m = self.at[e[mine] + 1] - lo
+            p = _ranges(lo, m)
+            score = np.bincount(self.row[p], np.repeat(w[mine], m) * self.weight[p], self.n)
             hit = np.flatnonzero(score > 0)
-            s, i = np.concatenate([best_s, score[hit]]), np.concatenate([best_i, hit + b * BLOCK])
+            s, i = np.concatenate([best_s, score[hit]]), np.concatenate([best_i, hit])
+            if s.size > 4 * k:
+                some = s >= np.partition(s, s.size - k)[s.size - k] - 1e-11
+                s, i = s[some], i[some]
             top = np.lexsort((i, -np.round(s, 12)))[:k]
             best_s, best_i = s[top], i[top]
+            at += size
+            size *= 2
         return best_s, best_i
 
 
 class Model:
-    """Vocabulary, weights, index, and calibration; its size is bounded by the constants above."""
+    """Terms, weights, index, and calibration; its size is bounded by that of the sample."""
 
-    def __init__(self, names: list[str], df: np.ndarray, n_docs: int, rows: list[tuple[int, Counter, int]], apart: list[tuple[int, Counter, int]], default: float):
-        self.names = names
+    def __init__(self, keys: np.ndarray, df: np.ndarray, n_docs: int, rows: list[tuple[int, tuple, int]], apart: list[tuple[int, tuple, int]], default: float):
+        self.keys = keys
         self.idf = np.log((1 + n_docs) / (1 + df)) + 1
         self.default, self.fit = default, None
-        kept = sorted(((y, max(c, key=lambda i: (c[i], -i)), doc, c) for doc, c, y in rows if c), key=lambda r: (r[0], r[1], r[2]))
-        self.y = np.array([r[0] for r in kept], float)
+        # Rows of one language share their commonest term, and so come to stand in the same blocks.
+        kept = sorted(((int(c[0][np.argmax(c[1])]), c[0].size, doc, y, c) for doc, c, y in rows if c[0].size), key=lambda r: r[:4])
+        self.y = np.array([r[3] for r in kept], float)
         self.ids = np.array([r[2] for r in kept], np.int64)
-        self.index = BlockMaxIndex([self.vector(r[3]) for r in kept], len(names))
-        bare = [y for _, c, y in apart if not c]
+        self.index = BlockMaxIndex([self.vector(r[4]) for r in kept], keys.size)
+        bare = [y for _, c, y in apart if not c[0].size]
         self.bare = (sum(bare) + default) / (len(bare) + 1)
         if 0 < default < 1:
-            known = [(self.vote(*self.vector(c))[0], y) for _, c, y in apart if c]
+            known = [(self.vote(*self.vector(c))[0], y) for _, c, y in apart if c[0].size]
             self.fit = _platt(np.array([v for v, _ in known]), np.array([y for _, y in known], float))
 
-    def vector(self, c: Counter) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(c), np.int64)
-        w = (1 + np.log(np.array([c[i] for i in t.tolist()], float))) * self.idf[t]
-        return t, w / np.linalg.norm(w)
+    def vector(self, c: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(c[1])) * self.idf[c[0]]
+        return c[0], w / np.linalg.norm(w)
 
     def vote(self, t: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
         """Share of label 1 among the nearest, by weight; nearer counts more."""
@@ -122,10 +165,10 @@ class Model:
         near = 1 / (1e-2 + np.arccos(np.clip(s, 0, 1)))
         return float((near @ self.y[i] + 0.5 * self.default) / (near.sum() + 0.5)) if s.size else self.default, i
 
-    def score(self, c: Counter) -> tuple[float, list[int]]:
+    def score(self, c: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int]]:
         if self.fit is None:
             return self.default, []
-        if not c:
+        if not c[0].size:
             return self.bare, []
         v, i = self.vote(*self.vector(c))
         a, b = self.fit
@@ -149,51 +192,44 @@ def _platt(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(p[0]), float(p[1])
 
 
-def _label_terms(rows: DataFrame) -> list[str]:
-    """The TERMS terms that most surely mark label 1, counted per document of the sample."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, list[int]] = {}
-        for b in slices(batches):
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                for t in {t for w in set(WORD.findall(text.lower())) for t in terms(w)}:
-                    n.setdefault(t, [0, 0])[y > 0] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], ["t", "n0", "n1"])
-
-    size = {r.y > 0: r["count"] for r in rows.groupBy("y").count().collect()}
-    lift = (F.log((F.col("n1") + 0.5) / (size.get(True, 0) + 1.0)) - F.log((F.col("n0") + 0.5) / (size.get(False, 0) + 1.0))
-            - 1.64 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5)))
-    got = (rows.select("text", "y").mapInArrow(run, "t string, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-           .filter("n1 >= 3").withColumn("lift", lift).filter(F.col("lift") > LIFT).orderBy(F.desc("lift"), "t").limit(TERMS))
-    return sorted(r.t for r in got.collect())
-
-
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, rows: int = SAMPLE_ROWS) -> Model:
     train = sample(documents, labels, "toxic", folds, fold, rows)
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
-    names = _label_terms(train.filter(~apart))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(names)
+        words = Vocabulary()
         for b in slices(batches):
-            c = [known.counts(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([list(x) for x in c], pa.list_(pa.int32())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32())), b.column("apart")], ["doc_id", "y", "t", "n", "apart"])
+            c = [words.counts(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([t for t, _ in c], pa.list_(pa.int64())), pa.array([n for _, n in c], pa.list_(pa.int32())), b.column("apart")], ["doc_id", "y", "t", "n", "apart"])
+
+    got = train.withColumn("apart", apart).mapInArrow(counted, "doc_id long, y int, t array<long>, n array<int>, apart boolean").toArrow()
+    doc, y, held = (got.column(c).to_numpy() for c in ("doc_id", "y", "apart"))
+    examples = [(int(doc[i]), (t.values.to_numpy(), n.values.to_numpy()), int(y[i] > 0), bool(held[i])) for i, (t, n) in enumerate(zip(got.column("t"), got.column("n")))]
+    examples.sort(key=lambda r: (r[0], r[1][0].tobytes(), r[1][1].tobytes()))
+    keys = np.unique(np.concatenate([np.zeros(0, np.int64), *[c[0] for _, c, _, a in examples if not a]]))
+
+    def numbered(c: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, c[0]), keys.size - 1)
+        known = keys[at] == c[0] if keys.size else np.zeros(at.size, bool)
+        return at[known], c[1][known].astype(float)
+
+    examples = [(d, numbered(c), y, a) for d, c, y, a in examples]
+    shared = documents.sparkSession.sparkContext.broadcast(keys)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = Vocabulary(names), np.zeros(len(names) + 1, np.int64)
+        known, n = Vocabulary(shared.value), np.zeros(shared.value.size + 1, np.int64)
         for b in slices(batches):
             n[-1] += b.num_rows
             for t in b.column("text").to_pylist():
-                n[list(known.counts(t))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n.size)), pa.array(n)], ["t", "n"])
+                n[known.counts(t)[0]] += 1
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["t", "n"])
 
-    got = train.withColumn("apart", apart).mapInArrow(counted, "doc_id long, y int, t array<int>, n array<int>, apart boolean").collect()
-    examples = [(r.doc_id, Counter(dict(zip(r.t, r.n))), int(r.y > 0), r.apart) for r in sorted(got, key=lambda r: (r.doc_id, r.t))]
-    df = documents.select(text_of().alias("text")).mapInArrow(frequency, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(len(names) + 1, np.int64)
+    df = documents.select(text_of().alias("text")).mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(keys.size + 1, np.int64)
     n[df.column("t").to_numpy()] = df.column("n").to_numpy()
     share = sum(e[2] for e in examples) / len(examples) if examples else 0.0
-    return Model(names, n[:-1], int(n[-1]), [e[:3] for e in examples if not e[3]], [e[:3] for e in examples if e[3]], share)
+    return Model(keys, n[:-1], int(n[-1]), [e[:3] for e in examples if not e[3]], [e[:3] for e in examples if e[3]], share)
 
 
 def score(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, threshold: float = 0.7) -> DataFrame:
@@ -203,7 +239,7 @@ def score(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        known = Vocabulary(m.names)
+        known = Vocabulary(m.keys)
         for b in slices(batches):
             got = [m.score(known.counts(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])

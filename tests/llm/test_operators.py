@@ -346,6 +346,25 @@ def test_classifier_on_held_out_rows(spark, none, kind):
     assert {r.score for r in score(d, labels.limit(0)).collect()} == {0.0 if kind == "toxic" else 0.5}
 
 
+def test_every_labelled_row_can_be_a_neighbour(spark):
+    """Clean texts and texts whose words mark no label are searched too, over all terms."""
+    d, labels = labelled(spark, "toxic")
+    y = {r.doc_id: r.toxic for r in labels.collect()}
+    got = {r.doc_id: r for r in toxicity.score(d, labels).collect()}
+    clean = [r for i, r in got.items() if r.held_out and y.get(i) == 0]
+    assert len(clean) > 60 and all(len(r.evidence) == toxicity.NEAREST for r in clean)
+    assert {y[e] for r in clean for e in r.evidence} >= {0}
+
+    model = toxicity.fit(d, labels)
+    texts, words = {r.doc_id: r.text or "" for r in d.collect()}, toxicity.Vocabulary(model.keys)
+    dense = lambda i: np.bincount((v := model.vector(words.counts(texts[i])))[0], v[1], model.keys.size)
+    assert set(model.ids.tolist()) <= set(y) and 0 in {y[i] for i in model.ids.tolist()}
+    index = np.array([dense(i) for i in model.ids.tolist()])
+    for r in clean[:20]:
+        s = np.round(index @ dense(r.doc_id), 12)
+        assert r.evidence == model.ids[np.lexsort((np.arange(s.size), -s))[:toxicity.NEAREST]].tolist()
+
+
 def test_held_out_labels_are_not_read(spark):
     d, labels = labelled(spark, "quality")
     from pyspark.sql import functions as F
