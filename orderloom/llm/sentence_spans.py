@@ -1,11 +1,14 @@
 """Substring duplicates: sliding sentence spans.
 
-Units are sentences (ends of sentences followed by white space, and line
-breaks, part them; a sentence of over ``LONG`` words is cut every ``PIECE``
-words from its start).  A span starts at every unit and takes the fewest
-consecutive units with ``sentences`` units and ``words`` words.  Its hash joins
-globally; every occurrence but the first, by (doc_id, fingerprint, unit), loses
-its units.
+Units are pieces of sentences.  A word that ends a sentence ends a unit, and in
+every ``WINDOW`` consecutive words the one of the least hash begins a unit.  So
+cuts depend on the words around them alone: whether a word begins a unit is the
+same in all texts that share the ``WINDOW`` - 1 words on each side of it, and no
+unit is longer than ``WINDOW`` words.  A span starts at every unit and takes the
+fewest consecutive units with ``sentences`` units and ``words`` words.  With 3
+units and 24 words any shared run of 4 * WINDOW + 21 = 49 words holds one,
+wherever it begins.  A span's hash joins globally; every occurrence but the
+first, by (doc_id, fingerprint, unit), loses its units.
 
 Defined cases: null and empty texts have no units; a text shorter than a span
 loses nothing; rows equal in id and text are one document, so that copy removes
@@ -24,29 +27,44 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fingerprint, slices, stored, text_of
+from .common import bitset, fingerprint, in_bitset, slices, stored, text_of
 
-BREAK = re.compile(r"[.!?]+(?=\s)|\n+")
 TOKEN = re.compile(r"\S+")
-LONG, PIECE = 20, 16
+ENDS = (".", "!", "?")
+WINDOW = 7
+SEEN_BITS = 26
 P = 0x9E3779B97F4A7C15
 SPANS = "doc_id long, _fp long, h long, i int, j int"
 RESULT = "doc_id long, n_sentences int, n_removed int, removed_words int, removed string, kept_sha256 string"
 
 
+class WordHashes(dict):
+    """Word to 64-bit hash; emptied when it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+        return h
+
+
+HASHES = WordHashes()
+
+
 def units(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-case words) of every unit that has a word."""
-    out, at = [], 0
-    for end in [*(m.end() for m in BREAK.finditer(text)), len(text)]:
-        words = text[at:end].lower().split()
-        if len(words) > LONG:
-            starts = [at + m.start() for m in TOKEN.finditer(text[at:end])][::PIECE]
-            cuts = [at, *starts[1:], end]
-            out += [(a, b, w) for a, b in zip(cuts, cuts[1:]) if (w := text[a:b].lower().split())]
-        elif words:
-            out.append((at, end, words))
-        at = end
-    return out
+    """(start, end, lower-case words) of every unit."""
+    starts, words = [m.start() for m in TOKEN.finditer(text)], text.lower().split()
+    n = len(words)
+    if not n:
+        return []
+    cuts = {0, *(k for k, w in enumerate(words, 1) if w.endswith(ENDS))} - {n}
+    if n >= WINDOW:
+        h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, n)
+        seen = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1].argmin(axis=1)  # the last of equal ones
+        cuts.update((np.arange(seen.size) + WINDOW - 1 - seen).tolist())
+    at = [*sorted(cuts), n]
+    place = [0, *(starts[k] for k in at[1:-1]), len(text)]
+    return [(place[x], place[x + 1], words[at[x]:at[x + 1]]) for x in range(len(at) - 1)]
 
 
 def _powers(n: int, cache: list[np.ndarray] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
@@ -77,12 +95,27 @@ def spans(words: list[list[str]], sentences: int, least: int) -> tuple[np.ndarra
     return x.view(np.int64), i, end - 1
 
 
-def span_table(docs: DataFrame, sentences: int, least: int) -> DataFrame:
+def span_hashes(docs: DataFrame, sentences: int, least: int) -> DataFrame:
+    """(h): the hash of every span of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            h = [spans([w for _, _, w in units(t)], sentences, least)[0] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h))], ["h"])
+
+    return docs.select("text").mapInArrow(run, "h long")
+
+
+def span_table(docs: DataFrame, sentences: int, least: int, seen: np.ndarray) -> DataFrame:
+    """SPANS whose hash the filter ``seen`` may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             ids, fps, h, i, j = [], [], [], [], []
             for doc_id, fp, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "_fp", "text")]):
                 got = spans([w for _, _, w in units(text)], sentences, least)
+                may = in_bitset(seen, got[0])
+                got = [x[may] for x in got]
                 n = got[0].size
                 ids += [doc_id] * n
                 fps.append(np.full(n, fp, np.int64))
@@ -99,9 +132,11 @@ def span_table(docs: DataFrame, sentences: int, least: int) -> DataFrame:
 def repeated(docs: DataFrame, sentences: int = 3, least: int = 24) -> DataFrame:
     """(doc_id, _fp, cut): the runs of units that repeat an earlier span.
 
-    The first occurrence and the count are combined before the shuffle.  The
-    join back is a plain equi-join, whose hot partitions Spark splits."""
-    table = stored(span_table(docs, sentences, least), "sentence-spans")
+    Hashes are counted first; a filter of fixed size then lets only spans through
+    that may occur again.  The first occurrence and the count are combined before
+    the shuffle.  The join back is a plain equi-join, whose hot partitions Spark splits."""
+    often = span_hashes(docs, sentences, least).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    table = stored(span_table(docs, sentences, least, bitset(often, "h", SEEN_BITS)), "sentence-spans")
     place = F.struct("doc_id", "_fp", "i")
     first = table.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
     first = stored(first, "first-spans")  # both sides of the join then come from scans

@@ -294,6 +294,17 @@ def test_passage_of_fifty_words_is_found_once_kept(spark):
     assert got[0].n_removed == 0 and all(r.removed_words > 50 for r in got[1:9]) and all(r.n_removed == 0 for r in got[9:])
 
 
+@pytest.mark.parametrize("stop", ["", "."])
+def test_run_of_fifty_words_is_found_wherever_it_begins(spark, stop):
+    """No sentence ends, or ends that cut the passage anywhere; every offset before it."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() + (stop if k % 17 == 9 else "") for k in range(50)]
+    texts = [" ".join([*(word() for _ in range(k)), *passage, *(word() for _ in range(30))]) for k in range(40)]
+    got = sentence_spans.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0].n_removed == 0 and all(24 <= r.removed_words <= 50 for r in got[1:])
+
+
 # 6 toxicity
 
 
