@@ -6,7 +6,12 @@
    must share an n-gram with the prefix of anything it links to.
 3. Texts with one n-gram set are one class.  Prefix n-grams that occur once are
    dropped by a filter of fixed size; those of one class only are dropped next.
-4. Each n-gram's postings first meet only their most central class, that which
+4. ``links`` lets all classes that share a prefix n-gram meet, and verifies every
+   pair that passes the filters: no link between different texts is lost, and
+   ``components`` counts and joins them.  The texts of candidates go to blocks of
+   pairs, at most ``SIDES`` copies of each for either side, never one per pair.
+5. Where only components are asked for, ``connecting_links`` does less.  Each
+   n-gram's postings first meet only their most central class, that which
    shares its prefix n-grams most widely (a star).  Verified links are joined
    into components.  Then classes of different components that share a prefix
    n-gram meet: all pairs that could still connect something, and none inside a
@@ -44,6 +49,7 @@ SLOT_BITS = 18
 SEEN_BITS = 26
 FETCH_BITS = 24
 WORDS, MERGED = 16, 4
+SIDES = 32
 M = np.uint64(0x9FB21C651E98DF25)
 BITS, FEW = [f"b{i}" for i in range(WORDS)], [f"f{i}" for i in range(MERGED)]
 SETS = "doc_id long, _fp long, c long, size int, " + ", ".join(f"{b} long" for b in BITS) + ", prefix array<long>"
@@ -219,41 +225,50 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -
     some = docs.select("doc_id", "_fp", "text").mapInArrow(thin, "doc_id long, _fp long, text string")
     same = some.join(wanted, (F.col("_fp") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = stored(same.groupBy("_fp").agg(F.first("c").alias("c"), F.first("text").alias("text")).drop("_fp"), "texts")  # repeated rows
-    full = (pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
+    # A block holds the pairs of one part of the left classes with one of the right ones.
+    side = lambda x: F.pmod(F.xxhash64(x, F.lit(1)), F.lit(SIDES)).cast("int")
+    placed = stored(pairs.withColumn("k", side("a") * SIDES + side("b")), "placed-pairs")
+    needs = placed.select("k", F.col("a").alias("c")).unionByName(placed.select("k", F.col("b").alias("c"))).distinct()
+    copies = needs.join(texts, "c").select("k", F.lit(0).alias("kind"), F.col("c").alias("a"), F.lit(0).cast("long").alias("b"), "text")
+    rows = copies.unionByName(placed.select("k", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition("k").sortWithinPartitions("k", "kind", "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cache = WordHashes(), OrderedDict()
-
-        def of(key: int, text: str) -> np.ndarray:
-            if key not in cache:
-                cache[key] = grams(word_hashes(text, known), rule.width)[0]
-                if len(cache) > 64:
-                    cache.popitem(last=False)
-            else:
-                cache.move_to_end(key)
-            return cache[key]
-
-        for b in slices(batches, 128):
-            out = []
-            for a, z, ta, tz in zip(*[b.column(c).to_pylist() for c in ("a", "b", "ta", "tb")]):
-                x, y = of(a, ta), of(z, tz)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                if 100 * both >= rule.percent * (x.size + y.size - both):
-                    out.append((a, z))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-
-    out = stored(full.mapInArrow(check, "a long, b long"), "verified")
-    release(wanted, texts)
+        known, here, block = WordHashes(), {}, None
+        for batch in slices(batches, 4096):
+            out_a, out_b, pending = [], [], {}
+
+            def settle() -> None:
+                for x, others in pending.items():
+                    mine, sets = here[x], [here[y] for y in others]
+                    n = np.array([z.size for z in sets])
+                    flat = np.concatenate(sets)
+                    at = np.minimum(np.searchsorted(mine, flat), mine.size - 1)
+                    both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(n) - n)
+                    for y in np.array(others)[100 * both >= rule.percent * (mine.size + n - both)].tolist():
+                        out_a.append(x)
+                        out_b.append(y)
+                pending.clear()
+
+            for k, kind, x, y, text in zip(*[batch.column(c).to_pylist() for c in ("k", "kind", "a", "b", "text")]):
+                if k != block:
+                    settle()
+                    block, here = k, {}
+                if kind == 0:
+                    here[x] = grams(word_hashes(text, known), rule.width)[0]
+                else:
+                    pending.setdefault(x, []).append(y)
+            settle()
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    out = stored(rows.mapInArrow(check, "a long, b long"), "verified")
+    release(wanted, texts, placed)
     return out
 
 
-def components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, _fp (of id and text), n_shingles, class_links, component_id, first: the
-    component's least (doc_id, _fp).  class_links counts verified links of the
-    document's class to other classes; links inside one component beyond those
-    that connect it need not be found."""
+def _prepared(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with _fp, classes, members, shared postings)."""
     docs = documents.select("doc_id", text_of().alias("text")).withColumn("_fp", fingerprint("doc_id", "text"))
     sets = stored(set_table(docs, rule, word_counts(docs)), "ngram-sets")
     ident = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("_fp"))
@@ -261,8 +276,24 @@ def components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     table = shared_postings(postings(sets), classes)
     members = stored(sets.select("doc_id", "_fp", "size", "c"), "members")
     release(sets)
-    p = table.alias("a")
+    return docs, classes, members, table
+
+
+def links(docs: DataFrame, classes: DataFrame, table: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b), a < b: every pair of classes that links.  Classes meet by an equi-join of
+    stored tables on the prefix n-gram, whose hot partitions Spark splits; the filters
+    are part of its condition, and a pair is verified once."""
+    met = table.alias("a").join(table.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.c") < F.col("b.c")) & _may_link(rule))
+    tried = stored(_suffix(_pairs(met), classes, rule), "candidates")
+    release(table)
+    out = _verify(tried, docs, classes, rule)
+    release(tried)
+    return out
 
+
+def connecting_links(docs: DataFrame, classes: DataFrame, table: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) that connect the components; others inside one component are not looked for."""
+    p = table.alias("a")
     hubs = p.groupBy("g").agg(F.max(F.struct("score", "c", "size", "pos", *FEW)).alias("h")).select("g", "h.*")
     stars = p.join(hubs.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.c") != F.col("b.c")) & _may_link(rule))
     tried = stored(_suffix(_pairs(stars), classes, rule), "star-pairs")
@@ -277,22 +308,32 @@ def components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rest = stored(_suffix(_pairs(rest).join(tried, ["a", "b"], "left_anti"), classes, rule), "other-pairs")
     release(q, tried)
     more = _verify(rest, docs, classes, rule)
-    links = stored(linked.unionByName(more), "links")
+    out = stored(linked.unionByName(more), "links")
     release(linked, more, rest)
+    return out
+
+
+def components(documents: DataFrame, rule: Rule = Rule(), all_links: bool = True) -> DataFrame:
+    """doc_id, _fp (of id and text), n_shingles, class_links, component_id, first: the
+    component's least (doc_id, _fp).  class_links counts the links of the document's
+    class to other classes, all of them verified.  Without ``all_links`` only links
+    that connect components are looked for, and class_links is null."""
+    docs, classes, members, table = _prepared(documents, rule)
+    found = (links if all_links else connecting_links)(docs, classes, table, rule)
 
-    roots = connected(links)
+    roots = connected(found)
     known = classes.select("c", "rep").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     firsts = known.groupBy("root").agg(F.min("rep").alias("first"))
-    degree = links.select(F.col("a").alias("c")).unionByName(links.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("class_links"))
+    degree = found.select(F.col("a").alias("c")).unionByName(found.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("class_links"))
     by_class = known.join(firsts, "root").join(degree, "c", "left").select("c", "first", "class_links")
     out = members.select("doc_id", "_fp", "size", F.when(F.col("size") > 0, F.col("c")).alias("c")).join(by_class, "c", "left")
-    return out.select("doc_id", "_fp", F.col("size").cast("long").alias("n_shingles"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"),
+    return out.select("doc_id", "_fp", F.col("size").cast("long").alias("n_shingles"), (F.coalesce("class_links", F.lit(0)) if all_links else F.lit(None)).cast("long").alias("class_links"),
                       F.when(F.col("size") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("first"))
 
 
 def one_per_component(documents: DataFrame, rule: Rule) -> DataFrame:
     """Documents, all columns, one row of each component: its least (doc_id, _fp)."""
-    found = components(documents, rule)
+    found = components(documents, rule, all_links=False)
     me = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("_fp"))
     keep = stored(found.filter((F.col("n_shingles") == 0) | (me == F.col("first"))).groupBy("doc_id", "_fp", "n_shingles").agg(F.count("*").alias("n")), "kept-ids")
     ids = keep.select(F.col("doc_id").alias("_llm_id"), F.col("_fp").alias("_llm_fp"))

@@ -55,6 +55,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), ngram_join.Rule(width=3, percent=90)).drop("_fp", "first", "class_links")
 
 
+@query
+def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_ngram_join with the number of links to other texts, which its SQL does not have."""
+    return ngram_join.components(table(spark, sf_dir, "documents"), ngram_join.Rule(width=3, percent=90)).drop("_fp", "first")
+
+
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.rewrite(table(spark, sf_dir, "pages"), work_dir(spark, "warc"), min_bytes=0).drop("url", "record_id")

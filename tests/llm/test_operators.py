@@ -442,6 +442,27 @@ def test_components_equal_brute_force(spark, docs, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
+def brute_links(rows, n, percent):
+    """Links of every row's n-gram set to other sets."""
+    sets = [frozenset(shingle_set(t, n)) for _, t in rows]
+    each = {s for s in sets if s}
+    return sorted(((d, sum(100 * len(s & o) >= percent * len(s | o) for o in each if o != s) if s else 0) for (d, _), s in zip(rows, sets)), key=str)
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (2, 50)])
+def test_links_inside_a_component_are_all_counted(spark, n, percent):
+    rng = random.Random(n)
+    rows = [(r[0], r[1]) for r in corpus()]
+    base = [f"w{k}" for k in range(150)]
+    for k in range(30):  # near copies that nearly all link with each other
+        words = list(base)
+        words[rng.randrange(150)] = f"x{k}"
+        rows.append((1000 + k, " ".join(words)))
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), ngram_join.Rule(n, percent))
+    want = brute_links(rows, n, percent)
+    assert rows_of(got, "doc_id", "class_links") == want and max(c for _, c in want) >= 20
+
+
 def test_one_row_of_each_component_stays(docs, none):
     out = ngram_join.one_per_component(docs, ngram_join.Rule(5, 80))
     rows = [(r[0], r[1]) for r in corpus()]
