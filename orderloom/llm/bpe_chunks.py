@@ -14,6 +14,9 @@ Texts of Latin letters go through tiktoken, which has the same vocabulary and
 pieces; any other text, and any that holds a special token's string, through the
 tokenizers library itself.
 
+``token_ids`` gives the ids of every document, ``decode`` their text; ``encode``
+adds digests of both to the ids.
+
 Defined cases: null and empty texts have no ids and the digests of empty input;
 repeated rows each get their row; an empty table gives an empty table; other
 columns are ignored.
@@ -22,7 +25,6 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -45,7 +47,7 @@ DTYPE = "<u2"
 ANCHOR = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Fixed value: the tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+IDS = "doc_id long, ids array<int>"
 
 
 def _powers(n: int, cache: list[np.ndarray] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
@@ -103,7 +105,6 @@ class Codec:
         special = {i: t.content.encode() for i, t in self.full.get_added_tokens_decoder().items()}
         self.special = list(special.values())
         self.bytes = {**{i: t for t, i in ranks.items()}, **special}
-        self.text = {i: str(i) for i in self.bytes}
 
     def is_special(self, data: bytes) -> bool:
         return any(s in data for s in self.special)
@@ -214,12 +215,6 @@ def assemble(codec: Codec, parts: list[tuple[bytes, list[int]]]) -> list[int]:
     return out + ids[skip:i] + codec.encode(part[s:] + between)
 
 
-def _digest(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
-    text = codec.text
-    return (len(ids), hashlib.sha256(",".join([text[i] for i in ids]).encode()).hexdigest(),
-            hashlib.sha256(codec.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
-
-
 def chunk_keys(docs: DataFrame) -> DataFrame:
     """(h): half a key of every chunk of every document."""
 
@@ -231,36 +226,43 @@ def chunk_keys(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long")
 
 
-def encode(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
-    """RESULT, one row per document."""
+def token_ids(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
+    """IDS, one row per document.  Documents without a shared chunk are encoded where they
+    are read; only the others are stored, and wait for the ids of shared chunks."""
     docs = documents.select("doc_id", text_of().alias("text")).withColumn("_fp", fingerprint("doc_id", "text"))
     shared = bitset(chunk_keys(docs).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h", SHARED_BITS)
 
+    def cut(codec: Codec, text: str) -> tuple[bytes, list[bytes], list[bytes], list[bool]]:
+        """(bytes, chunks, keys, which may be shared); no chunks with a special token's string."""
+        data = text.encode()
+        cs = [] if codec.is_special(data) else chunks(data)
+        keys = [key_of(c) for c in cs]
+        return data, cs, keys, in_bitset(shared, np.array([short(k) for k in keys], np.int64)).tolist() if cs else []
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(json_path, ranks_path)
+        for b in slices(batches, 128):
+            out = []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                data, cs, _, often = cut(codec, text)
+                if not any(often):
+                    out.append((doc_id, assemble(codec, [(c, codec.encode(c)) for c in cs]) if cs else codec.encode(data) if data else []))
+            yield _id_rows(out)
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(json_path, ranks_path)
-        names = ["doc_id", "_fp", "n_tokens", "ids_sha256", "decoded_sha256", "keys", "texts", "own"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.binary())]
+        names = ["doc_id", "_fp", "keys", "texts", "own"]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.binary())]
         for b in slices(batches, 128):
             out = []
             for doc_id, fp, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "_fp", "text")]):
-                data = text.encode()
-                if codec.is_special(data):
-                    out.append((doc_id, fp, *_digest(codec, codec.encode(data)), None, None, None))
-                    continue
-                cs = chunks(data)
-                keys = [key_of(c) for c in cs]
-                often = in_bitset(shared, np.array([short(k) for k in keys], np.int64)) if cs else []
-                ids = [None if o else codec.encode(c) for c, o in zip(cs, often)]
-                if None in ids:
-                    out.append((doc_id, fp, None, None, None, [k if o else None for k, o in zip(keys, often)], [c.decode() if o else None for c, o in zip(cs, often)],
-                                [None if o else np.array(i, DTYPE).tobytes() for i, o in zip(ids, often)]))
-                else:
-                    out.append((doc_id, fp, *_digest(codec, assemble(codec, list(zip(cs, ids))) if cs else []), None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 8, types)], names)
-
-    first = stored(docs.mapInArrow(own, "doc_id long, _fp long, n_tokens long, ids_sha256 string, decoded_sha256 string, keys array<binary>, texts array<string>, own array<binary>"), "own-chunks")
-    done = first.filter("keys IS NULL").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-    wait = first.filter("keys IS NOT NULL")
+                _, cs, keys, often = cut(codec, text)
+                if any(often):
+                    out.append((doc_id, fp, [k if o else None for k, o in zip(keys, often)], [c.decode() if o else None for c, o in zip(cs, often)],
+                                [None if o else np.array(codec.encode(c), DTYPE).tobytes() for c, o in zip(cs, often)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)], names)
+
+    wait = stored(docs.mapInArrow(own, "doc_id long, _fp long, keys array<binary>, texts array<string>, own array<binary>"), "own-chunks")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(json_path, ranks_path)
@@ -283,8 +285,30 @@ def encode(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
                 for g in got:
                     mine[g["at"]] = g["ids"]
                 ids = [np.frombuffer(m, DTYPE).tolist() for m in mine]
-                out.append((doc_id, *_digest(codec, assemble(codec, [(codec.decode(i), i) for i in ids]))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.string(), pa.string()])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                out.append((doc_id, assemble(codec, [(codec.decode(i), i) for i in ids])))
+            yield _id_rows(out)
+
+    return docs.select("doc_id", "text").mapInArrow(alone, IDS).unionByName(both.select("doc_id", "own", "got").mapInArrow(rest, IDS))
 
-    return done.unionByName(both.select("doc_id", "own", "got").mapInArrow(rest, RESULT))
+
+def _id_rows(rows: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+
+def decode(ids: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
+    """doc_id, ids and their text, of a table of ids; null ids give an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(json_path, ranks_path)
+        for b in slices(batches, 128):
+            text = [codec.decode(i or []).decode("utf-8", "replace") for i in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
+
+    return ids.select("doc_id", "ids").mapInArrow(run, IDS + ", text string")
+
+
+def encode(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
+    """doc_id, ids, n_tokens and digests of the ids and of the text decoded from them, one row per document."""
+    both = decode(token_ids(documents, json_path, ranks_path), json_path, ranks_path)
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))

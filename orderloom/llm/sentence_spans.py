@@ -18,7 +18,6 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ WINDOW = 7
 SEEN_BITS = 26
 P = 0x9E3779B97F4A7C15
 SPANS = "doc_id long, _fp long, h long, i int, j int"
-RESULT = "doc_id long, n_sentences int, n_removed int, removed_words int, removed string, kept_sha256 string"
+RESULT = "doc_id long, n_sentences int, n_removed int, removed_words int, removed string, kept string"
 
 
 class WordHashes(dict):
@@ -165,8 +164,8 @@ def _kept(text: str, cut) -> tuple[str, list[tuple[int, int]], int, int, int]:
     return "".join(out) + text[at:], lost, len(u), int(gone.sum()), sum(len(u[x][2]) for x in np.flatnonzero(gone))
 
 
-def report(documents: DataFrame, sentences: int = 3, least: int = 24) -> DataFrame:
-    """RESULT: one row per document; ``removed`` lists start:end in code points."""
+def deduplicated(documents: DataFrame, sentences: int = 3, least: int = 24) -> DataFrame:
+    """RESULT: one row per document; ``removed`` lists start:end in code points, ``kept`` is the text that is left."""
     docs = documents.select("doc_id", text_of().alias("text")).withColumn("_fp", fingerprint("text"))
     cuts = repeated(docs, sentences, least).select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"), "cut")
     both = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")), "left").select("doc_id", "text", "cut")
@@ -177,8 +176,13 @@ def report(documents: DataFrame, sentences: int = 3, least: int = 24) -> DataFra
             out = []
             for doc_id, text, cut in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "cut")]):
                 left, lost, n, gone, words = _kept(text, cut)
-                out.append((doc_id, n, gone, words, ",".join(f"{a}:{z}" for a, z in lost), hashlib.sha256(left.encode("utf-8", "replace")).hexdigest()))
+                out.append((doc_id, n, gone, words, ",".join(f"{a}:{z}" for a, z in lost), left))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in RESULT.split(", ")])
 
     return both.mapInArrow(run, RESULT)
+
+
+def report(documents: DataFrame, sentences: int = 3, least: int = 24) -> DataFrame:
+    """What ``deduplicated`` gives, with a digest of the text that is left in its place."""
+    return deduplicated(documents, sentences, least).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

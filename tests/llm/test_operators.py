@@ -305,6 +305,13 @@ def test_run_of_fifty_words_is_found_wherever_it_begins(spark, stop):
     assert got[0].n_removed == 0 and all(24 <= r.removed_words <= 50 for r in got[1:])
 
 
+def test_kept_text_is_returned(docs):
+    got = sentence_spans.deduplicated(docs, 3, 12)
+    assert rows_of(got.selectExpr("doc_id", "sha2(kept, 256) AS h"), "doc_id", "h") == rows_of(sentence_spans.report(docs, 3, 12), "doc_id", "kept_sha256")
+    texts = {(r[0], r[1] or "") for r in corpus()}
+    assert all((r.n_removed > 0) != ((r.doc_id, r.kept) in texts) for r in got.collect())
+
+
 # 6 toxicity
 
 
@@ -528,6 +535,17 @@ def test_chunked_ids_equal_the_library(docs, none, monkeypatch):
     assert got == sorted(want, key=str) and bpe_chunks.encode(none, a, b).count() == 0
 
 
+def test_ids_are_returned_and_decode_to_the_texts(spark, docs):
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken")
+    lib = Tokenizer.from_file(a)
+    long = [(100 + k, random_text(random.Random(1), 3000) + f" tail {k}", None, None, None, 1, None, 2, None, "w") for k in range(3)]  # shared chunks
+    some = docs.unionByName(spark.createDataFrame(long, SCHEMA))
+    ids = bpe_chunks.token_ids(some, a, b)
+    want = sorted(((r[0], lib.encode(r[1] or "", add_special_tokens=False).ids) for r in [*corpus(), *long]), key=str)
+    assert rows_of(ids, "doc_id", "ids") == want and rows_of(bpe_chunks.encode(some, a, b), "doc_id", "ids") == want
+    assert rows_of(bpe_chunks.decode(ids, a, b), "doc_id", "text") == sorted(((r[0], r[1] or "") for r in [*corpus(), *long]), key=str)
+
+
 def test_joins_of_small_chunks_are_repaired(monkeypatch):
     for name, value in (("LEAST", 4), ("MOST", 40), ("CUT_BITS", 3), ("WINDOW", 6)):
         monkeypatch.setattr(bpe_chunks, name, value)
