@@ -28,7 +28,8 @@ CONTEXT = 40
 @dataclass(frozen=True)
 class Kind:
     """``gate``: cheap test of a text that may have a match.  ``check``: keeps a match.
-    ``words``: context words that raise the score by ``lift``.  ``least``: score needed."""
+    ``words``: context words that raise the score by ``lift``.  ``least``: score needed.
+    ``whole``: what Spark runs, where ``pattern`` (that of the SQL) stops at a length."""
 
     name: str
     pattern: str
@@ -37,6 +38,7 @@ class Kind:
     words: str
     least: float = 0.0
     lift: float = 0.2
+    whole: str = ""
 
 
 #: Fixed patterns: the first four are the base kinds, in the order of their listing.
@@ -46,7 +48,8 @@ CARD = Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", 0.7, "ca
 PHONE = Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax|telefon")
 IBAN = Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|konto|compte|cuenta", 0.7)
 SECRET = Kind("secret", r"\bAKIA[0-9A-Z]{16}\b|(?i:password|passwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}\"?[A-Za-z0-9/+_.-]{8,200}",
-              "AKIA|[=:]", 0.6, "key|access|login|user|auth", 0.6)
+              "AKIA|[=:]", 0.6, "key|access|login|user|auth", 0.6,
+              whole=r"\bAKIA[0-9A-Z]{16}\b|(?i:password|passwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}\"?[A-Za-z0-9/+_.-]{8,}+")
 BASE = (EMAIL, IP, CARD, PHONE)
 KINDS = (*BASE, IBAN, SECRET)
 
@@ -91,7 +94,8 @@ def _proposals(kind: Kind, text: Column) -> Column:
         return F.struct(F.length(piece).alias("gap"), F.length(m).alias("len"), F.coalesce(keep, F.lit(False)).alias("keep"), score.alias("score"))
 
     gate = F.contains(text, F.lit(kind.gate)) if len(kind.gate) == 1 else text.rlike(kind.gate)
-    both = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), judged)
+    pattern = kind.whole or kind.pattern
+    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), judged)
     return F.when(gate, F.filter(both, lambda x: x["len"].isNotNull())).otherwise(empty)
 
 

@@ -172,6 +172,13 @@ def test_redaction_covers_every_span(docs, none, spark):
     assert got.replace("[EMAIL]", "").replace("[CARD]", "").replace("[PHONE]", "").replace("[IP]", "") == "".join(c for i, c in enumerate(long) if not any(s <= i < e for s, e in spans))
 
 
+def test_long_secret_is_taken_whole(spark):
+    value = "aB3/" * 250
+    d = spark.createDataFrame([(1, f"before token={value} after"), (2, f'api_key: "{value}{value}" x')], "doc_id long, text string")
+    assert [r.spans for r in pii.report(d).orderBy("doc_id").collect()] == ["secret:7:1013", "secret:0:2010"]
+    assert [r.text for r in pii.redact(d).orderBy("doc_id").collect()] == ["before [SECRET] after", '[SECRET]" x']
+
+
 # 3 token files
 
 
