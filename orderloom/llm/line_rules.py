@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency (DataFrame functions only).
 
 Lines are normalised and hashed; a line standing in too many distinct documents
-of one host is boilerplate; its words do not count for the documents that carry
-it, and a document left with too little is rejected.
+of one host is boilerplate.  ``without_boilerplate`` takes those lines out of the
+documents that carry them; a document left with too little is rejected.
 
 Defined cases: a null text is empty; a null source is the host ''.  Rows that
 are equal in id, source and text are one document for the counts and each get
@@ -52,12 +52,13 @@ def _covered(positions: Column) -> Column:
 
 def base_metrics(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
-    base_failed to (doc_id, _fp, text).
+    base_failed to (doc_id, _fp, text); text goes, further columns stay.
 
     Repeated windows: window hashes are sorted with their positions, so equal
     ones are neighbours; nothing compares a window with all others."""
     d = docs.withColumns({"_w": words_of(F.col("text")), "_l": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    d = d.select("doc_id", "_fp", "_w",
+    more = [c for c in docs.columns if c not in ("doc_id", "_fp", "text")]
+    d = d.select("doc_id", "_fp", *more, "_w",
                  F.size("_w").cast("long").alias("n_words"), F.length(F.concat_ws("", "_w")).cast("long").alias("word_chars"),
                  F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
                  (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"))
@@ -88,19 +89,35 @@ def boilerplate(lines: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
     ).select("host", "line", "n_docs")
 
 
-def apply(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, the base metrics, removed_words, left_words, depleted and kept.
+def _cleaned(documents: DataFrame, limits: Limits) -> DataFrame:
+    """Every column of ``documents``, and _left (the text without boilerplate lines; null
+    counts as empty) and _removed (how many distinct lines went).
 
     The join of lines with the boilerplate list is a plain equi-join, whose hot
-    partitions Spark splits; sums per document follow it."""
+    partitions Spark splits; a document then meets the hashes of its own lines."""
     docs = documents.select("doc_id", text_of().alias("text"), F.coalesce("source", F.lit("")).alias("_host"), fingerprint("source", "text").alias("_fp"))
     lines = host_lines(docs)
-    cut = (lines.join(boilerplate(lines, docs, limits), ["host", "line"])
-           .groupBy("doc_id", "_fp").agg(F.sum("words").alias("removed_words"), F.count("*").alias("removed_lines")))
-    m = base_metrics(docs).alias("m")
-    c = cut.select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"), "removed_words", "removed_lines")
-    out = m.join(c, F.col("m.doc_id").eqNullSafe(F.col("_id")) & (F.col("m._fp") == F.col("_f")), "left").drop("_id", "_f", "_fp")
-    out = out.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in ("removed_words", "removed_lines")})
-    out = out.withColumn("left_words", F.col("n_words") - F.col("removed_words"))
+    cut = lines.join(boilerplate(lines, docs, limits), ["host", "line"]).groupBy("doc_id", "_fp").agg(F.collect_list("line").alias("_cut"))
+    c = cut.select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"), "_cut")
+    d = documents.withColumn("_of", fingerprint("source", "text"))
+    out = d.join(c, d["doc_id"].eqNullSafe(c["_id"]) & (d["_of"] == c["_f"]), "left")
+    left = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x: ~F.array_contains("_cut", F.xxhash64(normal_line(x)))), "\n")
+    return out.select(*[d[n] for n in documents.columns], F.when(F.col("_cut").isNull(), text_of()).otherwise(left).alias("_left"), F.coalesce(F.size("_cut"), F.lit(0)).alias("_n")).withColumn(
+        "_removed", F.greatest(F.col("_n"), F.lit(0)).cast("long")).drop("_n")
+
+
+def without_boilerplate(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The same rows and columns; boilerplate lines are taken out of ``text``.  A null text stays null."""
+    out = _cleaned(documents, limits)
+    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_left"))).select(*documents.columns)
+
+
+def apply(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, the base metrics, removed_words, left_words, depleted and kept, the
+    latter four from the text without boilerplate lines."""
+    d = _cleaned(documents.select("doc_id", "source", "text"), limits)
+    d = d.select("doc_id", fingerprint("source", "text").alias("_fp"), text_of().alias("text"), F.col("_removed").alias("removed_lines"),
+                 F.size(words_of(F.col("_left"))).cast("long").alias("left_words"))
+    out = base_metrics(d).drop("_fp").withColumn("removed_words", F.col("n_words") - F.col("left_words"))
     depleted = (F.col("left_words") < limits.min_words) | (F.col("left_words") < limits.min_left * F.col("n_words"))
     return out.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))

@@ -257,6 +257,17 @@ def test_line_rules_equal_python(docs, none):
     assert line_rules.apply(none).count() == 0
 
 
+def test_boilerplate_lines_are_taken_out(spark, docs, none):
+    foot = "All  rights reserved."
+    rows = [(k, f"own line {k} of text\n\n{foot.upper() if k % 2 else foot}\nlast {k}", "a") for k in range(5)] + [(9, foot, "b"), (10, None, "a"), (None, f"{foot}\n{foot}", "a")]
+    limits = line_rules.Limits(max_docs=3)
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rows_of(line_rules.without_boilerplate(d, limits), "doc_id", "text")
+    assert got == sorted([*((k, f"own line {k} of text\n\nlast {k}") for k in range(5)), (9, foot), (10, None), (None, "")], key=str)
+    assert rows_of(line_rules.apply(d, limits), "doc_id", "left_words", "removed_words")[0] == (0, 7, 3)
+    assert line_rules.without_boilerplate(docs).columns == docs.columns and line_rules.without_boilerplate(none).count() == 0
+
+
 # 5 sentence spans
 
 
