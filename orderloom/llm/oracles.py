@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import fill_in_middle, pii, secret_scan
 
 
 def _pii() -> str:
@@ -88,5 +88,65 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
 FROM d JOIN o ON d.x = o.x"""
 
 
+RANKED_SEARCH = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT doc_id, len(w)::bigint AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*)::bigint AS nd, sum(n)::bigint AS nt FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT doc_id, t, count(*)::bigint AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+v AS (SELECT t, floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)::double))::bigint AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+m AS (SELECT doc_id, 100 - 90 + ((90 * n * nd) // nt) AS m FROM n, s),
+x AS (SELECT item_id, doc_id, sum(v.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint AS score FROM q JOIN p ON q.t = p.t JOIN v ON q.t = v.t JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+def _secrets() -> str:
+    """Samples, weights, then each kind's spans as in ``_pii``."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    assign, access, hex_, run = map(q, secret_scan.PATTERNS)
+    keep = [f"length(regexp_extract(m, {assign}, 2)) >= {secret_scan.LEAST_VALUE}", "true", "true", f"score >= {secret_scan.LEAST_SCORE}"]
+    score = ["0", "0", "0", "(SELECT sum(w) FROM (SELECT unnest(range(1, length(m))) AS i) JOIN wt ON wt.p = m[i:i + 1])"]
+    parts = [f"""
+SELECT doc_id, {i} AS ord, '{n}' AS kind, s AS start, s + length(m) AS "end", score FROM (
+ SELECT doc_id, m, list_sum(list_transform(ps[:j], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(ms[:j - 1], lambda x: length(x))), 0)::bigint AS s, {score[i]} AS score
+ FROM (SELECT doc_id, ps, ms, unnest(range(1, length(ms) + 1)) AS j, unnest(ms) AS m
+       FROM (SELECT doc_id, string_split_regex(t, {p}) AS ps, regexp_extract_all(t, {p}) AS ms FROM d))) WHERE {keep[i]}""" for i, (n, p) in enumerate(zip(secret_scan.NAMES, (assign, access, hex_, run)))]
+    counts = ", ".join(f"count(ord) FILTER (ord = {i}) AS n_{n}" for i, n in enumerate(secret_scan.NAMES))
+    listing = "coalesce(string_agg(kind || ':' || start || ':' || \"end\", ',' ORDER BY start, ord, \"end\"){}, '')"
+    k, some = secret_scan.K, secret_scan.CLASS
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ids AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) ORDER BY md5(doc_id::varchar), doc_id LIMIT {secret_scan.SAMPLE_ROWS}),
+st AS (SELECT t FROM d JOIN ids ON d.doc_id = ids.doc_id),
+smp AS (SELECT DISTINCT value, label FROM (
+  SELECT unnest([to_base64(unhex(sha256(doc_id::varchar))), upper(sha256(doc_id::varchar || 'u')), sha256(doc_id::varchar || 'l')]) AS value, 1 AS label FROM ids
+  UNION ALL SELECT value, 1 FROM (SELECT unnest(regexp_extract_all(t, {assign}, 2) || regexp_extract_all(t, {access}) || regexp_extract_all(t, {hex_})) AS value FROM st) WHERE length(value) >= {secret_scan.LEAST_VALUE}
+  UNION ALL SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(t, {assign}, ' ', 'g'), {access}, ' ', 'g'), {hex_}, ' ', 'g'), '{some}{{{secret_scan.LEARN_CHARS},}}')), 0 FROM st)),
+pr AS (SELECT label, value[i:i + 1] AS p FROM (SELECT label, value, unnest(range(1, length(value))) AS i FROM smp)),
+al AS (SELECT unnest(string_split('{secret_scan.ALPHABET}', '')) AS c),
+cn AS (SELECT p, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM pr GROUP BY p),
+ct AS (SELECT a.c AS a, a.c || b.c AS p, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1 FROM al a CROSS JOIN al b LEFT JOIN cn ON cn.p = a.c || b.c),
+wt AS (SELECT p, floor(1000 * ln(((n1 + 1) * (sum(n0) OVER x + {k}))::double / ((n0 + 1) * (sum(n1) OVER x + {k}))::double) + 0.5)::bigint AS w FROM ct WINDOW x AS (PARTITION BY a)),
+s AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts}, sha256({listing.format(f" FILTER (ord < {secret_scan.BASE})")}) AS base_sha256, {listing.format("")} AS spans,
+ coalesce(string_agg(score::varchar, ',' ORDER BY start) FILTER (ord = {secret_scan.BASE}), '') AS scores
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
+
+
+def _fill_in_middle(rule: fill_in_middle.Rule) -> str:
+    p, s, m = fill_in_middle.MARKS
+    part = lambda lo, hi: f"array_to_string(u[{lo}:{hi}], '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{rule.seed}:' || doc_id) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS u, {", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::bigint AS h{i + 1}" for i in range(4))} FROM d),
+c AS (SELECT *, len(u)::bigint AS n, h1 % (len(u) + 1) AS x, h2 % (len(u) + 1) AS y,
+   CASE WHEN t = '' OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}') OR h3 % 100 >= {rule.percent} THEN 'plain' WHEN h4 % 100 < {rule.spm} THEN 'spm' ELSE 'psm' END AS form FROM u),
+b AS (SELECT doc_id, t, n, form, {part(1, "least(x, y)")} AS prefix, {part("least(x, y) + 1", "greatest(x, y)")} AS middle, {part("greatest(x, y) + 1", "n")} AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::bigint END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::bigint END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256 FROM b"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_pii": _pii(), "op4_line_rules": LINE_RULES, "op7_ngram_join": NGRAM_JOIN, "op8_warc": WARC}
+    return {"op2_pii": _pii(), "op4_line_rules": LINE_RULES, "op7_ngram_join": NGRAM_JOIN, "op8_warc": WARC,
+            "op11_ranked_search": RANKED_SEARCH, "op12_secrets": _secrets(), "op13_fill_in_middle": _fill_in_middle(fill_in_middle.Rule())}
