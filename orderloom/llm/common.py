@@ -21,7 +21,7 @@ ROWS = 512
 
 
 #: Arrow batches for Python tasks are cut by bytes too, for tables of long texts.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,14 @@ def fingerprint(*names: str) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut small, so that Python objects of few texts live at once."""
+    """Arrow batches cut small, so that Python objects of few texts live at once.  What
+    Arrow has kept of a batch goes back to the system before the next one."""
+    pool = pa.default_memory_pool()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pool.release_unused()
 
 
 def per_worker(key: tuple, make: Callable[[], T]) -> T:

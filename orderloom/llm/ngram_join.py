@@ -6,17 +6,15 @@
    must share an n-gram with the prefix of anything it links to.
 3. Texts with one n-gram set are one class.  Prefix n-grams that occur once are
    dropped by a filter of fixed size; those of one class only are dropped next.
-4. ``links`` lets all classes that share a prefix n-gram meet, and verifies every
-   pair that passes the filters: no link between different texts is lost, and
-   ``components`` counts and joins them.  The texts of candidates go to blocks of
-   pairs, at most ``SIDES`` copies of each for either side, never one per pair.
-5. Where only components are asked for, ``connecting_links`` does less.  Each
-   n-gram's postings first meet only their most central class, that which
+4. Each n-gram's postings first meet only their most central class, that which
    shares its prefix n-grams most widely (a star).  Verified links are joined
    into components.  Then classes of different components that share a prefix
    n-gram meet: all pairs that could still connect something, and none inside a
    group that already is one.  The filters are part of the join condition, and a
-   pair is verified once.
+   pair is verified once.  So links are representatives' links, and membership
+   (``components``) says the rest.
+5. To verify, texts of candidates go to blocks of pairs.  There are as many blocks
+   as the candidates' n-grams need for a block to hold ``BLOCK_BYTES`` of them.
 
 The suffix filter deals a set into 1024 parts by hash and keeps each part's
 parity: every parity that differs stands for an n-gram in one set only, which
@@ -49,7 +47,8 @@ SLOT_BITS = 18
 SEEN_BITS = 26
 FETCH_BITS = 24
 WORDS, MERGED = 16, 4
-SIDES = 32
+#: n-gram sets of either side of a block of pairs, in bytes; fewest parts of a side.
+BLOCK_BYTES, SIDES = 8 << 20, 32
 M = np.uint64(0x9FB21C651E98DF25)
 BITS, FEW = [f"b{i}" for i in range(WORDS)], [f"f{i}" for i in range(MERGED)]
 SETS = "doc_id long, _fp long, c long, size int, " + ", ".join(f"{b} long" for b in BITS) + ", prefix array<long>"
@@ -70,7 +69,7 @@ class WordHashes(dict):
     """Word to 64-bit hash; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -214,8 +213,9 @@ def _suffix(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs that link, stored.  Only texts of candidate classes are fetched: a filter of
     fixed size thins the scan, an equi-join makes it exact."""
-    wanted = classes.join(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), "c").select("c", "rep")
-    wanted = stored(wanted.select("c", F.col("rep.doc_id").alias("_id"), F.col("rep._fp").alias("_f")), "wanted")
+    wanted = classes.join(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), "c")
+    wanted = stored(wanted.select("c", "size", F.col("rep.doc_id").alias("_id"), F.col("rep._fp").alias("_f")), "wanted")
+    sides = max(SIDES, 8 * (wanted.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0) // BLOCK_BYTES)
     near = bitset(wanted, "_f", FETCH_BITS)
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +226,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule) -
     same = some.join(wanted, (F.col("_fp") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = stored(same.groupBy("_fp").agg(F.first("c").alias("c"), F.first("text").alias("text")).drop("_fp"), "texts")  # repeated rows
     # A block holds the pairs of one part of the left classes with one of the right ones.
-    side = lambda x: F.pmod(F.xxhash64(x, F.lit(1)), F.lit(SIDES)).cast("int")
-    placed = stored(pairs.withColumn("k", side("a") * SIDES + side("b")), "placed-pairs")
+    side = lambda x: F.pmod(F.xxhash64(x, F.lit(1)), F.lit(sides))
+    placed = stored(pairs.withColumn("k", side("a") * sides + side("b")), "placed-pairs")
     needs = placed.select("k", F.col("a").alias("c")).unionByName(placed.select("k", F.col("b").alias("c"))).distinct()
     copies = needs.join(texts, "c").select("k", F.lit(0).alias("kind"), F.col("c").alias("a"), F.lit(0).cast("long").alias("b"), "text")
     rows = copies.unionByName(placed.select("k", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
@@ -279,18 +279,6 @@ def _prepared(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, D
     return docs, classes, members, table
 
 
-def links(docs: DataFrame, classes: DataFrame, table: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b), a < b: every pair of classes that links.  Classes meet by an equi-join of
-    stored tables on the prefix n-gram, whose hot partitions Spark splits; the filters
-    are part of its condition, and a pair is verified once."""
-    met = table.alias("a").join(table.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.c") < F.col("b.c")) & _may_link(rule))
-    tried = stored(_suffix(_pairs(met), classes, rule), "candidates")
-    release(table)
-    out = _verify(tried, docs, classes, rule)
-    release(tried)
-    return out
-
-
 def connecting_links(docs: DataFrame, classes: DataFrame, table: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) that connect the components; others inside one component are not looked for."""
     p = table.alias("a")
@@ -313,27 +301,21 @@ def connecting_links(docs: DataFrame, classes: DataFrame, table: DataFrame, rule
     return out
 
 
-def components(documents: DataFrame, rule: Rule = Rule(), all_links: bool = True) -> DataFrame:
-    """doc_id, _fp (of id and text), n_shingles, class_links, component_id, first: the
-    component's least (doc_id, _fp).  class_links counts the links of the document's
-    class to other classes, all of them verified.  Without ``all_links`` only links
-    that connect components are looked for, and class_links is null."""
+def components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, _fp (of id and text), n_shingles, component_id, first: the component's least (doc_id, _fp)."""
     docs, classes, members, table = _prepared(documents, rule)
-    found = (links if all_links else connecting_links)(docs, classes, table, rule)
-
-    roots = connected(found)
+    roots = connected(connecting_links(docs, classes, table, rule))
     known = classes.select("c", "rep").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     firsts = known.groupBy("root").agg(F.min("rep").alias("first"))
-    degree = found.select(F.col("a").alias("c")).unionByName(found.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("class_links"))
-    by_class = known.join(firsts, "root").join(degree, "c", "left").select("c", "first", "class_links")
+    by_class = known.join(firsts, "root").select("c", "first")
     out = members.select("doc_id", "_fp", "size", F.when(F.col("size") > 0, F.col("c")).alias("c")).join(by_class, "c", "left")
-    return out.select("doc_id", "_fp", F.col("size").cast("long").alias("n_shingles"), (F.coalesce("class_links", F.lit(0)) if all_links else F.lit(None)).cast("long").alias("class_links"),
+    return out.select("doc_id", "_fp", F.col("size").cast("long").alias("n_shingles"),
                       F.when(F.col("size") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("first"))
 
 
 def one_per_component(documents: DataFrame, rule: Rule) -> DataFrame:
     """Documents, all columns, one row of each component: its least (doc_id, _fp)."""
-    found = components(documents, rule, all_links=False)
+    found = components(documents, rule)
     me = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("_fp"))
     keep = stored(found.filter((F.col("n_shingles") == 0) | (me == F.col("first"))).groupBy("doc_id", "_fp", "n_shingles").agg(F.count("*").alias("n")), "kept-ids")
     ids = keep.select(F.col("doc_id").alias("_llm_id"), F.col("_fp").alias("_llm_fp"))

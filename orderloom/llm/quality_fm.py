@@ -37,7 +37,7 @@ STATS = 14
 
 class Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
         return h
@@ -164,9 +164,11 @@ def accepted(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = machine.value, Buckets()
         for b in slices(batches):
-            n = b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else [None] * b.num_rows
-            n = [x if isinstance(x, int) else None for x in n]
-            keep = [m.score(*features(t or "", k, known)) >= threshold for t, k in zip(b.column("text").to_pylist(), n)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return documents.mapInArrow(run, documents.schema)
+            keep = [m.score(*features(t or "", k, known)) >= threshold for t, k in zip(b.column("text").to_pylist(), b.column(length).to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_())).select(names)
+
+    names, length = documents.columns, "_n_chars"  # the length that ``score`` reads, beside the columns
+    while length in names:
+        length += "_"
+    given = documents.withColumn(length, _length("n_chars" in names))
+    return given.mapInArrow(run, documents.schema)

@@ -467,15 +467,12 @@ def test_components_equal_brute_force(spark, docs, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
-def brute_links(rows, n, percent):
-    """Links of every row's n-gram set to other sets."""
-    sets = [frozenset(shingle_set(t, n)) for _, t in rows]
-    each = {s for s in sets if s}
-    return sorted(((d, sum(100 * len(s & o) >= percent * len(s | o) for o in each if o != s) if s else 0) for (d, _), s in zip(rows, sets)), key=str)
-
-
 @pytest.mark.parametrize("n,percent", [(3, 90), (2, 50)])
-def test_links_inside_a_component_are_all_counted(spark, n, percent):
+def test_links_are_real_and_membership_loses_none(spark, n, percent, monkeypatch):
+    """Pairs of representatives are links by brute force, there are no more of them than
+    would connect their components twice over, and every link of brute force is inside one component."""
+    monkeypatch.setattr(ngram_join, "SIDES", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4096)  # many blocks by size
     rng = random.Random(n)
     rows = [(r[0], r[1]) for r in corpus()]
     base = [f"w{k}" for k in range(150)]
@@ -483,9 +480,26 @@ def test_links_inside_a_component_are_all_counted(spark, n, percent):
         words = list(base)
         words[rng.randrange(150)] = f"x{k}"
         rows.append((1000 + k, " ".join(words)))
-    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), ngram_join.Rule(n, percent))
-    want = brute_links(rows, n, percent)
-    assert rows_of(got, "doc_id", "class_links") == want and max(c for _, c in want) >= 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rule = ngram_join.Rule(n, percent)
+    docs, classes, _, table = ngram_join._prepared(df, rule)
+    rep = {r.c: r.rep for r in classes.collect()}
+    text = {(r.doc_id, r._fp): r.text for r in docs.collect()}
+    sets = {c: frozenset(shingle_set(text[r.doc_id, r._fp], n)) for c, r in rep.items()}
+    linked = lambda x, y: 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])
+    found = [(r.a, r.b) for r in ngram_join.connecting_links(docs, classes, table, rule).collect()]
+    assert len(set(found)) == len(found) > 25 and all(x < y and linked(x, y) for x, y in found)
+    root = {c: c for c in sets}
+
+    def top(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    for x, y in found:
+        root[top(x)] = top(y)
+    every = [(x, y) for x, y in itertools.combinations(sorted(sets), 2) if linked(x, y)]
+    assert all(top(x) == top(y) for x, y in every) and (percent == 50 or len(every) > 5 * len(found))
 
 
 def test_one_row_of_each_component_stays(docs, none):
