@@ -12,9 +12,9 @@ piece there whatever stands around it.
 
 Texts of Latin letters go through tiktoken, which has the same vocabulary and
 pieces; any other text, and any that holds a special token's string, through the
-tokenizers library itself.
+tokenizers library itself.  Documents without a shared chunk are encoded whole.
 
-``token_ids`` gives the ids of every document, ``decode`` their text; ``encode``
+Ids travel as 16-bit numbers; ``token_ids`` gives the ids of every document, ``decode`` their text; ``encode``
 adds digests of both to the ids.
 
 Defined cases: null and empty texts have no ids and the digests of empty input;
@@ -25,6 +25,8 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import bitset, fingerprint, in_bitset, slices, stored, text_of
+from .common import bitset, fingerprint, in_bitset, per_worker, slices, stored, text_of
 
 WINDOW = 48
 LEAST, MOST = 256, 8192
@@ -92,37 +94,51 @@ def short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+#: Beyond these letters tiktoken is not asked.
+WIDE = re.compile("[^\x00-\u024f]")
+
+
 class Codec:
     """Ids of UTF-8 text and back, as the tokenizers library gives them."""
 
     def __init__(self, json_path: str, ranks_path: str):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(json_path)
-        self.full.no_padding()
-        self.full.no_truncation()
-        special = {i: t.content.encode() for i, t in self.full.get_added_tokens_decoder().items()}
-        self.special = list(special.values())
-        self.bytes = {**{i: t for t, i in ranks.items()}, **special}
+        with open(json_path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t: i for t, i in special.items() if i not in ranks.values()})
+        self.special = [t.encode() for t in special]
+        self.lengths = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        for t, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.lengths[i] = len(t)
+        self.json_path, self.loaded = json_path, None
+
+    @property
+    def full(self) -> Tokenizer:
+        """The library itself, loaded when a text needs it."""
+        if self.loaded is None:
+            self.loaded = Tokenizer.from_file(self.json_path)
+            self.loaded.no_padding()
+            self.loaded.no_truncation()
+        return self.loaded
 
     def is_special(self, data: bytes) -> bool:
         return any(s in data for s in self.special)
 
     def encode(self, data: bytes) -> list[int]:
         text = data.decode("utf-8")
-        if (text.isascii() or max(text) < "ɐ") and not self.is_special(data):
+        if (text.isascii() or not WIDE.search(text)) and not self.is_special(data):
             return self.fast.encode_ordinary(text)
         return self.full.encode(text, add_special_tokens=False).ids
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return self.fast.decode_bytes(ids)
 
     def offset(self, ids: list[int], at: int) -> int | None:
         """How many ids make the first ``at`` bytes; None if no id ends there."""
         n = i = 0
         while n < at:
-            n += len(self.bytes[ids[i]])
+            n += int(self.lengths[ids[i]])
             i += 1
         return i if n == at else None
 
@@ -131,7 +147,7 @@ class Codec:
         n, i = size, len(ids)
         while n > at:
             i -= 1
-            n -= len(self.bytes[ids[i]])
+            n -= int(self.lengths[ids[i]])
         return i if n == at else None
 
 
@@ -226,80 +242,89 @@ def chunk_keys(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long")
 
 
-def token_ids(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
-    """IDS, one row per document.  Documents without a shared chunk are encoded where they
-    are read; only the others are stored, and wait for the ids of shared chunks."""
-    docs = documents.select("doc_id", text_of().alias("text")).withColumn("_fp", fingerprint("doc_id", "text"))
-    shared = bitset(chunk_keys(docs).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h", SHARED_BITS)
+def _codec(json_path: str, ranks_path: str) -> Codec:
+    return per_worker(("codec", json_path, ranks_path), lambda: Codec(json_path, ranks_path))
 
-    def cut(codec: Codec, text: str) -> tuple[bytes, list[bytes], list[bytes], list[bool]]:
-        """(bytes, chunks, keys, which may be shared); no chunks with a special token's string."""
-        data = text.encode()
-        cs = [] if codec.is_special(data) else chunks(data)
-        keys = [key_of(c) for c in cs]
-        return data, cs, keys, in_bitset(shared, np.array([short(k) for k in keys], np.int64)).tolist() if cs else []
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(json_path, ranks_path)
-        for b in slices(batches, 128):
-            out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                data, cs, _, often = cut(codec, text)
-                if not any(often):
-                    out.append((doc_id, assemble(codec, [(c, codec.encode(c)) for c in cs]) if cs else codec.encode(data) if data else []))
-            yield _id_rows(out)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(json_path, ranks_path)
-        names = ["doc_id", "_fp", "keys", "texts", "own"]
-        types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.binary())]
+def _binary(ids: list[int]) -> bytes:
+    return np.array(ids, DTYPE).tobytes()
+
+
+def binary_ids(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
+    """(doc_id, ids), one row per document, ids as little-endian 16-bit numbers.
+
+    One pass over the texts encodes documents without a shared chunk and cuts the
+    others, which wait for the ids of shared chunks; both are stored."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("_fp", fingerprint("doc_id", "text"))
+    shared = bitset(chunk_keys(docs).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h", SHARED_BITS)
+    names = ["doc_id", "_fp", "ids", "keys", "texts", "own"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.binary())]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(json_path, ranks_path)
         for b in slices(batches, 128):
             out = []
             for doc_id, fp, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "_fp", "text")]):
-                _, cs, keys, often = cut(codec, text)
+                data = text.encode()
+                cs = [] if codec.is_special(data) else chunks(data)
+                keys = [key_of(c) for c in cs]
+                often = in_bitset(shared, np.array([short(k) for k in keys], np.int64)).tolist() if cs else []
                 if any(often):
-                    out.append((doc_id, fp, [k if o else None for k, o in zip(keys, often)], [c.decode() if o else None for c, o in zip(cs, often)],
-                                [None if o else np.array(codec.encode(c), DTYPE).tobytes() for c, o in zip(cs, often)]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)], names)
+                    out.append((doc_id, fp, None, [k if o else None for k, o in zip(keys, often)], [c.decode() if o else None for c, o in zip(cs, often)],
+                                [None if o else _binary(codec.encode(c)) for c, o in zip(cs, often)]))
+                else:
+                    out.append((doc_id, fp, _binary(codec.encode(data)) if data else b"", None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names)
 
-    wait = stored(docs.mapInArrow(own, "doc_id long, _fp long, keys array<binary>, texts array<string>, own array<binary>"), "own-chunks")
+    table = stored(docs.mapInArrow(cut, "doc_id long, _fp long, ids binary, keys array<binary>, texts array<string>, own array<binary>"), "chunks")
+    wait = table.filter("ids IS NULL")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(json_path, ranks_path)
+        codec = _codec(json_path, ranks_path)
         for b in slices(batches):
-            ids = [np.array(codec.encode(t.encode()), DTYPE).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([_binary(codec.encode(t.encode())) for t in b.column("text").to_pylist()], pa.binary())], ["key", "ids"])
 
     each = wait.select(F.explode(F.arrays_zip("keys", "texts")).alias("x")).filter("x.keys IS NOT NULL")
-    table = each.groupBy(F.col("x.keys").alias("key")).agg(F.first("x.texts").alias("text")).mapInArrow(once, "key binary, ids binary")
+    known = each.groupBy(F.col("x.keys").alias("key")).agg(F.first("x.texts").alias("text")).mapInArrow(once, "key binary, ids binary")
     refs = wait.select("doc_id", "_fp", F.posexplode("keys").alias("at", "key")).filter("key IS NOT NULL").distinct()
-    found = refs.join(table, "key").groupBy("doc_id", "_fp").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
+    found = refs.join(known, "key").groupBy("doc_id", "_fp").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
     both = wait.select("doc_id", "_fp", "own").join(
         found.select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"), "got"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(json_path, ranks_path)
+        codec = _codec(json_path, ranks_path)
         for b in slices(batches, 128):
             out = []
-            for doc_id, mine, got in zip(*[b.column(c).to_pylist() for c in ("doc_id", "own", "got")]):
+            for mine, got in zip(*[b.column(c).to_pylist() for c in ("own", "got")]):
                 for g in got:
                     mine[g["at"]] = g["ids"]
                 ids = [np.frombuffer(m, DTYPE).tolist() for m in mine]
-                out.append((doc_id, assemble(codec, [(codec.decode(i), i) for i in ids])))
-            yield _id_rows(out)
+                out.append(_binary(assemble(codec, [(codec.decode(i), i) for i in ids])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(alone, IDS).unionByName(both.select("doc_id", "own", "got").mapInArrow(rest, IDS))
+    return table.filter("ids IS NOT NULL").select("doc_id", "ids").unionByName(both.select("doc_id", "own", "got").mapInArrow(rest, "doc_id long, ids binary"))
 
 
-def _id_rows(rows: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    at = np.cumsum([0, *(len(i) // 2 for i in ids)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(ids), DTYPE).astype(np.int32)))
+
+
+def token_ids(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
+    """IDS, one row per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(b.column("ids").to_pylist())], ["doc_id", "ids"])
+
+    return binary_ids(documents, json_path, ranks_path).mapInArrow(run, IDS)
 
 
 def decode(ids: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
     """doc_id, ids and their text, of a table of ids; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(json_path, ranks_path)
+        codec = _codec(json_path, ranks_path)
         for b in slices(batches, 128):
             text = [codec.decode(i or []).decode("utf-8", "replace") for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
@@ -309,6 +334,16 @@ def decode(ids: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
 
 def encode(documents: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
     """doc_id, ids, n_tokens and digests of the ids and of the text decoded from them, one row per document."""
-    both = decode(token_ids(documents, json_path, ranks_path), json_path, ranks_path)
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                       F.sha2("text", 256).alias("decoded_sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(json_path, ranks_path)
+        for b in slices(batches, 128):
+            data, out = b.column("ids").to_pylist(), []
+            for ids in data:
+                each = np.frombuffer(ids, DTYPE).tolist()
+                text = codec.decode(each).decode("utf-8", "replace")
+                out.append((len(each), hashlib.sha256(",".join(map(str, each)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(data), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))]], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return binary_ids(documents, json_path, ranks_path).mapInArrow(run, IDS + ", n_tokens long, ids_sha256 string, decoded_sha256 string")

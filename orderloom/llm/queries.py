@@ -52,12 +52,6 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(table(spark, sf_dir, "documents"), ngram_join.Rule(width=3, percent=90)).drop("_fp", "first", "class_links")
-
-
-@query
-def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7_ngram_join with the number of links to other texts, which its SQL does not have."""
     return ngram_join.components(table(spark, sf_dir, "documents"), ngram_join.Rule(width=3, percent=90)).drop("_fp", "first")
 
 
@@ -73,7 +67,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_chunks.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe_chunks.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
 
 
 @query
