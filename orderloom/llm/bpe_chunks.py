@@ -276,7 +276,7 @@ def binary_ids(documents: DataFrame, json_path: str, ranks_path: str) -> DataFra
                     out.append((doc_id, fp, _binary(codec.encode(data)) if data else b"", None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names)
 
-    table = stored(docs.mapInArrow(cut, "doc_id long, _fp long, ids binary, keys array<binary>, texts array<string>, own array<binary>"), "chunks")
+    table = stored(docs.mapInArrow(cut, "doc_id long, _fp long, ids binary, keys array<binary>, texts array<string>, own array<binary>"), "chunks", "zstd")
     wait = table.filter("ids IS NULL")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
