@@ -89,3 +89,19 @@ def ladder_breaks(ladder_rows: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy("tick")
     return ladder_rows.withColumn("next_tick", F.lead("tick").over(w)).filter(
         F.col("next_tick") - F.col("tick") != 1).select(*KEY, "tick", "next_tick")
+
+
+def raw_outcome(read: DataFrame, mapped: DataFrame, canonical: DataFrame, session_rows: DataFrame) -> DataFrame:
+    """(outcome, n): what became of the rows read.  Every reason of rejection, snapshot
+    rows that no session admits, rows in a session, and ``lost``: rows read less all of
+    these.  The four tables are counted apart, so a row lost between them shows."""
+    row = F.col("kind") != "Gap"
+    parts = [
+        read.agg(F.count(F.lit(1)).alias("n")).select(F.lit("read").alias("outcome"), "n"),
+        mapped.filter(F.col("reject").isNotNull()).groupBy(F.col("reject").alias("outcome")).agg(F.count(F.lit(1)).alias("n")),
+        canonical.filter(row & F.col("trade_date").isNull()).agg(F.count(F.lit(1)).alias("n")).select(F.lit("unadmitted").alias("outcome"), "n"),
+        session_rows.filter(row).agg(F.count(F.lit(1)).alias("n")).select(F.lit("session").alias("outcome"), "n")]
+    out = reduce(DataFrame.unionByName, parts)  # as many rows as there are reasons
+    sign = F.when(F.col("outcome") == "read", F.col("n")).otherwise(-F.col("n"))
+    one = out.agg(F.collect_list(F.struct("outcome", "n")).alias("x"), F.struct(F.lit("lost").alias("outcome"), F.sum(sign).alias("n")).alias("lost"))
+    return one.select(F.explode(F.concat("x", F.array("lost"))).alias("x")).select("x.*")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.schema import FLOW_BUCKET_NS, FLOW_BUCKETS, KEY, MAX_LONG, SNAPSHOT_CADENCE_NS
-from . import asof
-from .prefix import Scan, prefix_scan
+from . import asof, sweep
+from .prefix import BLOCK_BITS, Scan, prefix_scan
 from .profile import touch_counters
 from .small import clocked, sized
 
+cloudpickle.register_pickle_by_value(sweep)  # workers need not have this package installed
+
 
 def depth(live: DataFrame) -> DataFrame:
     """Total size and order count per level."""
@@ -62,6 +65,44 @@ def bbo_series(intervals: DataFrame, points: DataFrame, cadence_ns: int = SNAPSH
     return points.select(*KEY, "bucket", "clear_no", "cut_ord").join(best, [*KEY, "bucket", "clear_no"], "left").drop("clear_no")
 
 
+def clear_ends(events: DataFrame) -> DataFrame:
+    """(session, clear_no, end_ord): the ordinal of the clear that ends a clear number."""
+    live = events.filter((F.col("kind") == "Clear") & ~F.col("is_snapshot")).select(*KEY, "ordinal")
+    n = prefix_scan(live, KEY, {"clear_no": Scan("sum", F.lit(1).cast("long"))})
+    return n.select(*KEY, "clear_no", F.col("ordinal").alias("end_ord"))
+
+
+def bbo_changes(intervals: DataFrame, events: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """Best bid and ask after every row that changes either (null: no such side).
+
+    Order intervals become counts per level and ordinal.  A block of ordinals is one
+    group; it gets its own counts and, for every level populated at its start, the
+    count carried from earlier blocks, so it knows the best price before its first row
+    and gives exactly its own changes.  Carries are kept per level and block, never per order."""
+    side = [*KEY, "side"]
+    iv = intervals.join(clear_ends(events), [*KEY, "clear_no"], "left")
+    to = F.least(F.col("to_ord"), F.coalesce("end_ord", F.lit(MAX_LONG)))
+    ends = F.array_compact(F.array(F.struct(F.col("from_ord").alias("o"), F.lit(1).alias("d")), F.when(to != MAX_LONG, F.struct(to.alias("o"), F.lit(-1).alias("d")))))
+    delta = iv.select(*side, "tick", F.explode(ends).alias("e")).groupBy(*side, "tick", F.col("e.o").alias("ordinal")).agg(F.sum("e.d").alias("d"))
+    delta = delta.filter("d <> 0").withColumn("blk", F.shiftright("ordinal", block_bits))
+    net = delta.groupBy(*side, "tick", "blk").agg(F.sum("d").alias("d"))
+    by_block = Window.partitionBy(*side, "tick").orderBy("blk")  # a level's blocks
+    last = net.groupBy(*side).agg(F.max("blk").alias("_last"))
+    held = net.withColumns({"n": F.sum("d").over(by_block), "_next": F.lead("blk").over(by_block)}).filter("n > 0").join(last, side)
+    until = F.coalesce("_next", "_last")
+    held = held.filter(F.col("blk") < until).select(*side, "tick", F.explode(F.sequence(F.col("blk") + 1, until)).alias("blk"), F.col("n").alias("d"))
+    held = held.join(net.select(*side, "blk").distinct(), [*side, "blk"], "left_semi")  # a block without counts of its own changes nothing
+    rows = delta.select(*side, "blk", "ordinal", "tick", "d").unionByName(held.select(*side, "blk", F.lit(-1).cast("long").alias("ordinal"), "tick", "d"))
+    one = rows.groupBy(*side, "blk").applyInPandas(sweep.changes, "instrument_id long, trade_date date, side string, ordinal long, best long")
+
+    last_of = lambda s: Scan("max", F.when(F.col("side") == s, F.struct("ordinal", "best")), inclusive=True)
+    # a row may change both sides: one of them comes first, the later one holds both
+    both = one.withColumn("ordinal", 2 * F.col("ordinal") + F.when(F.col("side") == "A", 1).otherwise(0))
+    both = prefix_scan(both, KEY, {"b": last_of("B"), "a": last_of("A")})
+    row = F.shiftright("ordinal", 1)
+    return both.groupBy(*KEY, row.alias("ordinal")).agg(F.max_by("b.best", "ordinal").alias("best_bid"), F.max_by("a.best", "ordinal").alias("best_ask"))
+
+
 def last_print(fill_rows: DataFrame) -> DataFrame:
     """Latest execution."""
     out = fill_rows.groupBy(*KEY).agg(F.max(F.struct("ordinal", "tick", "size", "aggressor")).alias("p"))

@@ -10,22 +10,29 @@ from .prefix import Scan, prefix_scan
 from .small import sized
 
 
+#: Columns without which a row is no event (action and side have reasons of their own).
+REQUIRED = ["channel_id", "flags", "ts_event", "sequence", "instrument_id", "order_id", "price", "size"]
+
+
 def map_rows(raw: DataFrame) -> DataFrame:
     """Action to kind, undefined price/size on Clear to 0, event time from
-    ``ts_event``; ``reject`` names why a row cannot be mapped."""
+    ``ts_event``; ``reject`` names why a row cannot be mapped, be it a code, an
+    undefined value or a null in a required column."""
     kind = F.lit(None).cast("string")
     for action, name in ACTION_TO_KIND.items():
         kind = F.when(F.col("action") == action, name).otherwise(kind)
     is_clear = F.col("kind") == "Clear"
     no_price, no_size = F.col("price") == UNDEF_PRICE, F.col("size") == UNDEF_SIZE
-    reject = (F.when(F.col("kind").isNull(), "unmappable_action").when(~F.col("side").isin(*SIDES), "unmappable_side")
-              .when(no_price & ~is_clear, "undefined_price").when(no_size & ~is_clear, "undefined_size"))
+    reject = F.when(F.col("kind").isNull(), "unmappable_action").when(F.col("side").isNull() | ~F.col("side").isin(*SIDES), "unmappable_side")
+    for name in REQUIRED:
+        reject = reject.when(F.col(name).isNull(), f"missing_{name}")
+    reject = reject.when(no_price & ~is_clear, "undefined_price").when(no_size & ~is_clear, "undefined_size")
     out = raw.withColumn("kind", kind).withColumn("reject", reject)
     return out.withColumns({
         "price": F.when(is_clear & no_price, 0).otherwise(F.col("price")),
         "size": F.when(is_clear & no_size, 0).otherwise(F.col("size")),
         "ts_ns": F.col("ts_event"), "seq": F.col("sequence"),
-        "is_snapshot": F.col("flags").bitwiseAND(F.lit(SNAPSHOT_FLAG)) != 0})
+        "is_snapshot": F.coalesce(F.col("flags").bitwiseAND(F.lit(SNAPSHOT_FLAG)) != 0, F.lit(False))})
 
 
 def quarantine(raw: DataFrame) -> DataFrame:
@@ -41,10 +48,6 @@ def attach_symbol(events: DataFrame, mapping: DataFrame) -> DataFrame:
     return events.join(sized(mapping.select("instrument_id", "symbol")), "instrument_id", "left")
 
 
-def instrument_ids(mapping: DataFrame, symbol: str) -> DataFrame:
-    return mapping.filter(F.col("symbol") == symbol).select("instrument_id")
-
-
 def attach_instrument(events: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events with their instrument's metadata, and the ids that have none
     (metadata is supplied, never invented)."""

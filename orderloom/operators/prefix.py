@@ -28,10 +28,10 @@ class Scan:
     inclusive: bool = False
 
 
-_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
+AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _merge(how: str, a: Column, b: Column) -> Column:
+def merged(how: str, a: Column, b: Column) -> Column:
     if how == "sum":
         return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
     # greatest/least skip nulls
@@ -40,23 +40,27 @@ def _merge(how: str, a: Column, b: Column) -> Column:
 
 def prefix_scan(df: DataFrame, keys: Sequence[str], scans: dict[str, Scan],
                 order: str = "ordinal", block_bits: int = BLOCK_BITS) -> DataFrame:
+    """``df`` with one column per scan.  Keys and order must not be null: such a row
+    belongs nowhere, and stops the job instead of leaving it unseen."""
     keys = list(keys)
     vals = {n: f"_v_{n}" for n in scans}
     base = df.withColumns({vals[n]: s.value for n, s in scans.items()})
     base = base.withColumn("_blk", F.shiftright(F.col(order), block_bits))
 
-    blocks = base.groupBy(*keys, "_blk").agg(*[_AGG[s.how](vals[n]).alias(f"_t_{n}") for n, s in scans.items()])
+    blocks = base.groupBy(*keys, "_blk").agg(*[AGGREGATES[s.how](vals[n]).alias(f"_t_{n}") for n, s in scans.items()])
     earlier_blocks = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select(*keys, "_blk",
-                          *[_AGG[s.how](f"_t_{n}").over(earlier_blocks).alias(f"_c_{n}") for n, s in scans.items()])
+    carry = blocks.select(*keys, "_blk", F.lit(True).alias("_met"),
+                          *[AGGREGATES[s.how](f"_t_{n}").over(earlier_blocks).alias(f"_c_{n}") for n, s in scans.items()])
 
     earlier_rows = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     # window before join: the window's sort order already serves a merge join on (key, block)
-    out = base.withColumns({f"_w_{n}": _AGG[s.how](vals[n]).over(earlier_rows) for n, s in scans.items()})
-    out = out.join(carry, [*keys, "_blk"])
+    out = base.withColumns({f"_w_{n}": AGGREGATES[s.how](vals[n]).over(earlier_rows) for n, s in scans.items()})
+    out = out.join(carry, [*keys, "_blk"], "left").withColumn("_blk", F.when(F.col("_met"), F.col("_blk")).otherwise(
+        F.raise_error(F.lit(f"a row has no {', '.join(keys)} or {order}")).cast("long")))
+    out = out.filter(F.col("_blk").isNotNull())  # so that the check is not pruned away
     result = {}
     for n, s in scans.items():
-        v = _merge(s.how, F.col(f"_c_{n}"), F.col(f"_w_{n}"))
-        result[n] = _merge(s.how, v, F.col(vals[n])) if s.inclusive else v
+        v = merged(s.how, F.col(f"_c_{n}"), F.col(f"_w_{n}"))
+        result[n] = merged(s.how, v, F.col(vals[n])) if s.inclusive else v
     out = out.withColumns(result)
-    return out.drop("_blk", *vals.values(), *[f"_c_{n}" for n in scans], *[f"_w_{n}" for n in scans])
+    return out.drop("_blk", "_met", *vals.values(), *[f"_c_{n}" for n in scans], *[f"_w_{n}" for n in scans])

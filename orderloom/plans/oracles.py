@@ -317,6 +317,18 @@ SELECT c.instrument_id, c.trade_date, c.cut_ord, count(*) FILTER (kind = 'Gap')
        arg_max(seq, ordinal) FILTER (seq > 0) AS seq0
 FROM cut0 c LEFT JOIN ev e ON e.instrument_id = c.instrument_id AND e.trade_date = c.trade_date AND e.ordinal <= c.cut_ord GROUP BY ALL"""
 
+CTES["mpt"] = f"""
+SELECT {K}, session_open_ns + i * 82800000000 AS at_ns FROM (SELECT DISTINCT {K}, session_open_ns FROM ev JOIN cal USING (trade_date)), range(1000) AS r(i)"""
+CTES["mc0"] = f"""
+SELECT {K}, at_ns, coalesce(min(ordinal) FILTER (ts_ns > at_ns) - 1, max(ordinal)) AS cut_ord FROM mpt JOIN ev USING (instrument_id, trade_date) GROUP BY ALL"""
+CTES["mc"] = f"""
+SELECT c.instrument_id, c.trade_date, c.at_ns, c.cut_ord, count(*) FILTER (kind = 'Gap') AS epoch, count(*) FILTER (kind = 'Clear' AND NOT is_snapshot) AS clear_no,
+       count(*) FILTER (kind = 'Clear' AND is_snapshot) AS snapshot_clears, count(e.ordinal) AS events,
+       max(ts_ns) FILTER (NOT is_snapshot) AS now_ns, arg_max(gap_expected, ordinal) FILTER (kind = 'Gap') AS gap_expected,
+       arg_max(gap_observed, ordinal) FILTER (kind = 'Gap') AS gap_observed, coalesce(max(ordinal) FILTER (kind = 'Gap') > coalesce(max(ordinal) FILTER (seq > 0), -1), false) AS gap_pending,
+       arg_max(seq, ordinal) FILTER (seq > 0) AS seq0
+FROM mc0 c LEFT JOIN ev e ON e.instrument_id = c.instrument_id AND e.trade_date = c.trade_date AND e.ordinal <= c.cut_ord GROUP BY ALL"""
+
 CTES["lv"] = f"""
 SELECT l.*, c.epoch AS g_epoch, l.unav OR l.o_epoch < c.epoch AS na FROM lg l JOIN cut c USING (instrument_id, trade_date)
 WHERE l.opens AND l.ordinal <= c.cut_ord AND l.to_ord > c.cut_ord AND l.clear_no = c.clear_no"""
@@ -535,6 +547,15 @@ LEFT JOIN (SELECT {K}, string_agg(concat_ws(':', period, open, high, low, close)
     "e15_depth": f"SELECT {K}, side, tick, total_size, order_count FROM dp",
     "e16_best_first": f"SELECT {K}, side, tick, total_size, order_count, row_number() OVER w AS level FROM dp WINDOW w AS (PARTITION BY {K}, side ORDER BY CASE WHEN side = 'B' THEN -tick ELSE tick END)",
     "e17_bbo": f"SELECT {K}, best_bid, best_ask FROM bb",
+    "e17_bbo_changes": f"""
+WITH ce AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY ordinal) - 1 AS clear_no, ordinal AS end_ord FROM ev WHERE kind = 'Clear' AND NOT is_snapshot),
+oi AS (SELECT l.instrument_id, l.trade_date, l.o_side, l.o_tick, l.ordinal AS a, least(l.to_ord, coalesce(ce.end_ord, 9223372036854775807)) AS z FROM lg l
+  LEFT JOIN ce ON ce.instrument_id = l.instrument_id AND ce.trade_date = l.trade_date AND ce.clear_no = l.clear_no WHERE l.opens),
+po AS (SELECT DISTINCT {K}, unnest([a, z]) AS ordinal FROM oi),
+bp AS (SELECT p.instrument_id, p.trade_date, p.ordinal, max(o_tick) FILTER (o_side = 'B') AS best_bid, min(o_tick) FILTER (o_side = 'A') AS best_ask
+  FROM po p LEFT JOIN oi ON oi.instrument_id = p.instrument_id AND oi.trade_date = p.trade_date AND oi.a <= p.ordinal AND oi.z > p.ordinal WHERE p.ordinal < 9223372036854775807 GROUP BY ALL)
+SELECT {K}, ordinal, best_bid, best_ask FROM (SELECT *, lag(best_bid) OVER w AS b0, lag(best_ask) OVER w AS a0 FROM bp WINDOW w AS (PARTITION BY {K} ORDER BY ordinal))
+WHERE best_bid IS DISTINCT FROM b0 OR best_ask IS DISTINCT FROM a0""",
     "e17_bbo_series": f"""SELECT p.instrument_id, p.trade_date, p.bucket, p.cut_ord, max(o_tick) FILTER (o_side = 'B') AS best_bid, min(o_tick) FILTER (o_side = 'A') AS best_ask
 FROM pt p LEFT JOIN lg l ON l.instrument_id = p.instrument_id AND l.trade_date = p.trade_date AND l.opens AND l.ordinal <= p.cut_ord AND l.to_ord > p.cut_ord AND l.clear_no = p.clear_no GROUP BY ALL""",
     "e18_overlap": f"SELECT {K}, CASE WHEN best_bid = best_ask THEN 'locked' WHEN best_bid > best_ask THEN 'crossed' ELSE 'normal' END AS overlap FROM bb",
@@ -559,6 +580,10 @@ WINDOW w AS (PARTITION BY {K}, clear_no, side, tick ORDER BY bucket RANGE BETWEE
  cl AS (SELECT {K}, count(*) FILTER (NOT na2 AND rel > 0) AS closing_native, count(*) FILTER (na2) AS closing_unavailable FROM eod GROUP BY ALL),
  u AS (SELECT {K}, count(DISTINCT order_id) AS unavailable_ids FROM (SELECT {K}, order_id FROM lg WHERE opens AND kind <> 'Snapshot' AND epoch > 0 AND (unav OR o_epoch < epoch) UNION ALL SELECT {K}, order_id FROM eod WHERE na2 AND ge > 0) GROUP BY ALL)
 SELECT {K}, """ + ", ".join(f"coalesce({x}, 0) AS {x}" for x in ["refreshes", "hidden_volume", "distinct_ids", "max_reloads", "ids_1", "ids_2_4", "ids_5_9", "ids_10_plus", "closing_native", "closing_unavailable", "unavailable_ids"]) + ", true AS totals_agree FROM a FULL JOIN cl USING (instrument_id, trade_date) FULL JOIN u USING (instrument_id, trade_date)",
+    "f01_many_cuts": "SELECT * EXCLUDE (seq0), CASE WHEN NOT gap_pending THEN seq0 END AS last_seq FROM mc",
+    "f01_many_states": f"""SELECT {K}, at_ns, count(*) AS orders, sum(o_size)::BIGINT AS total_size, max(o_tick) FILTER (o_side = 'B') AS best_bid, min(o_tick) FILTER (o_side = 'A') AS best_ask,
+ count(*) FILTER (unav OR o_epoch < epoch) AS unavailable FROM (SELECT l.* EXCLUDE (epoch), c.at_ns, c.epoch FROM lg l JOIN mc c ON c.instrument_id = l.instrument_id AND c.trade_date = l.trade_date
+ AND l.ordinal <= c.cut_ord AND l.to_ord > c.cut_ord AND l.clear_no = c.clear_no WHERE l.opens) GROUP BY ALL""",
     "f01_state_at": f"SELECT {K}, order_id, o_side AS side, o_tick AS tick, o_size AS size, ordinal AS from_ord FROM lv",
     "f02_state_snapshots": "SELECT p.instrument_id, p.trade_date, p.bucket, p.cut_ord, order_id, o_side AS side, o_tick AS tick, o_size AS size FROM pt10 p JOIN lg l ON l.instrument_id = p.instrument_id AND l.trade_date = p.trade_date AND l.opens AND l.ordinal <= p.cut_ord AND l.to_ord > p.cut_ord AND l.clear_no = p.clear_no",
     "f03_nearest_snapshot": f"SELECT {K}, max(bucket) AS bucket, max(p.cut_ord) AS snap_ord FROM pt p JOIN cut0 c USING (instrument_id, trade_date) WHERE p.cut_ord <= c.cut_ord GROUP BY ALL",
@@ -646,14 +671,30 @@ RAW_BODIES = {
 }
 
 
+_NULLED = ["channel_id", "flags", "ts_event", "side", "action", "sequence", "price", "order_id", "instrument_id", "size"]
+_RAW_NULLS = f"""
+SELECT * EXCLUDE (z) REPLACE ({", ".join(f"CASE WHEN z = {i} THEN NULL ELSE {x} END AS {x}" for i, x in enumerate(_NULLED))})
+FROM (SELECT *, CASE WHEN row_index % 509 = 0 THEN (row_index // 509) % 10 ELSE -1 END AS z FROM ({CTES["raw"]}))"""
+_MAPPED_NULLS = CTES["mp"].replace("WHEN side NOT IN ('B', 'A', 'N') THEN", "WHEN side IS NULL OR side NOT IN ('B', 'A', 'N') THEN").replace(
+    "THEN 'unmappable_side'", "THEN 'unmappable_side' " + " ".join(f"WHEN {x} IS NULL THEN 'missing_{x}'" for x in ("channel_id", "flags", "ts_event", "sequence", "instrument_id", "order_id", "price", "size")))
+
+RAW_BODIES["p03_raw_file_outcome"] = """
+SELECT 'read' AS outcome, count(*) AS n FROM raw UNION ALL SELECT reject, count(*) FROM mp WHERE reject IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'unadmitted', count(*) FROM cn WHERE kind <> 'Gap' AND trade_date IS NULL
+UNION ALL SELECT 'session', count(*) FROM cn WHERE kind <> 'Gap' AND trade_date IS NOT NULL UNION ALL SELECT 'lost', 0"""
+#: Tables that a body reads in another form.
+_GIVEN = {"p03_raw_file_outcome": {"raw": _RAW_NULLS, "mp": _MAPPED_NULLS}}
+
+
 def raw_sql(name: str) -> str:
     """The SQL of a body over the raw rows' event table."""
-    given = CTES["ev"]
-    BODIES[name], CTES["ev"] = RAW_BODIES[name], _RAW_EV
+    given = dict(CTES)
+    BODIES[name] = RAW_BODIES[name]
+    CTES.update({"ev": _RAW_EV, **_GIVEN.get(name, {})})
     try:
         return sql(name)
     finally:
-        CTES["ev"] = given
+        CTES.update(given)
         del BODIES[name]
 
 

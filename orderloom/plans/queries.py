@@ -632,6 +632,27 @@ def p02_raw_to_order_log(spark, sf):
         F.sum("traded").alias("traded"), F.count_if("unknown_ref").alias("unknown_ref"), F.count("violation").alias("violations"))
 
 
+NULLED = ["channel_id", "flags", "ts_event", "side", "action", "sequence", "price", "order_id", "instrument_id", "size"]
+
+
+def raw_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw rows as a user has them: a folder per day of files in time order, some rows with a null; read by ``mbo.read_raw``."""
+    raw = feed.raw_rows(spark, sf)
+    bad = F.when(c("row_index") % 509 == 0, F.call_function("div", c("row_index"), F.lit(509)) % len(NULLED))
+    raw = raw.withColumns({x: F.when(bad == i, F.lit(None)).otherwise(c(x)) for i, x in enumerate(NULLED)})
+    path = work_dir(spark, "raw_exports")
+    raw.repartitionByRange("source_file", "row_index").sortWithinPartitions("source_file", "row_index").drop("file_rank", "row_index").write.partitionBy("source_file").parquet(path)
+    return mbo.read_raw(spark, [path])
+
+
+@query
+def p03_raw_file_outcome(spark, sf):
+    """Files with nulls taken to sessions: every row read is in one, or is reported."""
+    raw = mbo.with_ordinal(raw_exports(spark, sf))
+    rows = ingest.canonicalise(ingest.accepted(raw))
+    return audit.raw_outcome(feed.raw_rows(spark, sf), ingest.map_rows(raw), rows, ingest.session_events(rows))
+
+
 # ---- E: order book --------------------------------------------------------
 
 EFFECT = ["instrument_id", "trade_date", "order_id", "ordinal"]
@@ -732,6 +753,12 @@ def e17_bbo(spark, sf):
     return book.bbo(book.depth(live_of(spark, sf))).drop("overlap")
 
 
+@query
+def e17_bbo_changes(spark, sf):
+    """Best prices after every change, not at steps."""
+    return book.bbo_changes(orders.order_intervals(log_of(spark, sf)), ev(spark, sf))
+
+
 @query
 def e17_bbo_series(spark, sf):
     e = ev(spark, sf)
@@ -825,6 +852,34 @@ def f01_state_at(spark, sf):
     return live_of(spark, sf).select(*LIVE)
 
 
+def block_stats_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored block statistics of the event table."""
+    return stored(spark, sf, "block_stats", lambda: asof.block_stats(ev(spark, sf)))
+
+
+def many_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """1,000 times per session, 82.8 s apart from its open."""
+    stats = block_stats_of(spark, sf)
+    sessions = stats.select(*KEY).distinct().withColumn("_open", cal.session_clock(c("trade_date"))["session_open_ns"])
+    points = sessions.select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))).alias("i"), "_open").select(
+        *KEY, (c("_open") + c("i") * 82_800_000_000).alias("at_ns"))
+    return asof.cuts_at(ev(spark, sf), points, stats)
+
+
+@query
+def f01_many_cuts(spark, sf):
+    return many_cuts(spark, sf)
+
+
+@query
+def f01_many_states(spark, sf):
+    """What rests at each of 1,000 times per session."""
+    live = asof.orders_at(orders.order_intervals(log_of(spark, sf)), many_cuts(spark, sf))
+    return live.groupBy(*KEY, "at_ns").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("size").alias("total_size"), F.max(F.when(c("side") == "B", c("tick"))).alias("best_bid"),
+        F.min(F.when(c("side") == "A", c("tick"))).alias("best_ask"), F.count_if(c("refresh_state") == "Unavailable").alias("unavailable"))
+
+
 @query
 def f02_state_snapshots(spark, sf):
     e = ev(spark, sf)

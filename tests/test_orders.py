@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from feed import A, C, Fi, G, M, S, TICK, clear, e, frame
 from naive_book import NaiveBook
+from orderloom.functions import calendar as cal
+from orderloom.functions.schema import KEY
 from orderloom.operators import asof, audit, book, orders
+from orderloom.plans import queries as registry
 
 MS = 1_000_000
 
@@ -204,3 +207,48 @@ def test_asof_any_point_equals_prefix_run(spark):
         cols = ["instrument_id", "order_id", "side", "tick", "size", "prio_ord", "refresh_state", "reloads", "hidden"]
         a, b = ({tuple(r) for r in x.select(*cols).collect()} for x in (whole, again))
         assert a == b and a
+
+
+def test_cuts_at_many_times_equal_one_cut_each(spark):
+    """Small blocks, so that carries, block edges and times outside the session are met."""
+    sf = "/root/testdata/sf0.001"
+    events = registry.ev(spark, sf)
+    opens = F.lit(0).cast("long") + cal.session_clock(F.col("trade_date"))["session_open_ns"]
+    offsets = [-10**15, 0, 7_200_000_000_000, 43_200_000_000_000, 10**15]
+    points = events.select(*KEY).distinct().withColumn("off", F.explode(F.array(*[F.lit(x).cast("long") for x in offsets]))).withColumn("at_ns", opens + F.col("off"))
+    many = asof.cuts_at(events, points, block_bits=9).collect()
+    for off in offsets:
+        want = {(r.instrument_id, r.trade_date): r.asDict() for r in asof.cuts(events, opens + off).collect()}
+        got = {(r.instrument_id, r.trade_date): {k: v for k, v in r.asDict().items() if k != "off"} for r in many if r.off == off}
+        assert got == want
+    intervals = orders.order_intervals(registry.log_of(spark, sf))
+    cut = asof.cuts_at(events, points.drop("off"), block_bits=9)
+    both = [sorted((r.instrument_id, r.trade_date, r.order_id, r.size, r.refresh_state, r.native) for r in x.collect())
+            for x in (asof.orders_at(intervals, cut).filter(F.col("at_ns") == opens + offsets[3]), asof.live_orders(intervals, asof.cuts(events, opens + offsets[3])))]
+    assert both[0] == both[1] and both[0]
+
+
+@pytest.mark.parametrize("bits", [3, 6, 16])
+def test_best_prices_at_every_change(spark, bits):
+    """Against a plain loop over the levels, with blocks of a few rows."""
+    sf = "/root/testdata/sf0.001"
+    iv = orders.order_intervals(registry.log_of(spark, sf))
+    events = registry.ev(spark, sf)
+    got = sorted(map(tuple, book.bbo_changes(iv, events, block_bits=bits).select(*KEY, "ordinal", "best_bid", "best_ask").collect()), key=str)
+    clears = {}
+    for r in events.filter("kind = 'Clear' AND NOT is_snapshot").orderBy("ordinal").collect():
+        clears.setdefault((r.instrument_id, r.trade_date), []).append(r.ordinal)
+    held = {}
+    for r in iv.collect():
+        key = (r.instrument_id, r.trade_date)
+        end = clears.get(key, [])[r.clear_no:r.clear_no + 1]
+        held.setdefault(key, []).append((r.side, r.tick, r.from_ord, min([r.to_ord, *end])))
+    want = []
+    for key, rows in held.items():
+        last = (None, None)
+        for o in sorted({x for r in rows for x in r[2:] if x < 2**62}):
+            now = (max((t for s, t, a, z in rows if s == "B" and a <= o < z), default=None), min((t for s, t, a, z in rows if s == "A" and a <= o < z), default=None))
+            if now != last:
+                want.append((*key, o, *now))
+            last = now
+    assert got == sorted(want, key=str) and len(want) > 200

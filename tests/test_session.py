@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from feed import HALF_HOUR, OPEN, T, TICK, G, frame
 from orderloom.functions import calendar as cal, letters
 from orderloom.functions.schema import tick_value
-from orderloom.operators import ingest, priors, profile, views
+from orderloom.operators import audit, ingest, priors, profile, views
 from orderloom.operators.prefix import Scan, prefix_scan
 from orderloom.sources import mbo
 
@@ -190,6 +190,37 @@ def test_read_raw_keeps_equal_names_apart_and_expands_folders(spark, tmp_path):
         mbo.read_raw(spark, [both[0], both[0]])
 
 
+RAW = ("source_file string, file_rank int, row_index long, ts_event long, ts_recv long, ts_in_delta long, instrument_id long, channel_id int, "
+       "sequence long, action string, side string, price long, size long, order_id long, flags int")
+
+
+def test_no_raw_row_is_lost(spark):
+    """A null in any required column is a reason of its own; what is accepted reaches its session."""
+    good = ["f", 0, 0, OPEN, OPEN, 0, 1, 0, 10, "A", "B", TICK, 1, 1, 0]
+    names = [x.split()[0] for x in RAW.split(", ")]
+    rows = [list(good)]
+    for name in ("channel_id", "flags", "ts_event", "side", "action", "sequence", "price", "order_id", "instrument_id", "size"):
+        rows.append([None if n == name else v for n, v in zip(names, good)])
+    rows.append([None if n in ("ts_recv", "ts_in_delta") else v for n, v in zip(names, good)])
+    for i, r in enumerate(rows):
+        r[2] = i
+    raw = mbo.with_ordinal(spark.createDataFrame([tuple(r) for r in rows], RAW))
+    why = {r.row_index: r.reject for r in ingest.map_rows(raw).collect()}
+    assert why == {0: None, 1: "missing_channel_id", 2: "missing_flags", 3: "missing_ts_event", 4: "unmappable_side", 5: "unmappable_action",
+                   6: "missing_sequence", 7: "missing_price", 8: "missing_order_id", 9: "missing_instrument_id", 10: "missing_size", 11: None}
+    canonical = ingest.canonicalise(ingest.accepted(raw))
+    out = {r.outcome: r.n for r in audit.raw_outcome(raw, ingest.map_rows(raw), canonical, ingest.session_events(canonical)).collect()}
+    assert out.pop("session") == 2 and out.pop("read") == 12 and out.pop("lost") == 0 and out.pop("unadmitted") == 0 and sum(out.values()) == 10
+
+
+def test_a_null_key_stops_a_prefix_scan(spark):
+    rows = spark.createDataFrame([(1, 1), (None, 2), (1, 3)], "k long, ordinal long")
+    with pytest.raises(Exception, match="a row has no k"):
+        prefix_scan(rows, ["k"], {"n": Scan("sum", F.lit(1).cast("long"))}).collect()
+    got = prefix_scan(rows.filter("k = 1"), ["k"], {"n": Scan("sum", F.lit(1).cast("long"))}).orderBy("ordinal").collect()
+    assert [r.n for r in got] == [0, 1]
+
+
 def test_prior_rules(spark):
     d = lambda n: dt.date(2026, 7, n)
     cur = spark.createDataFrame([(1, d(30), "X", 5)], "instrument_id long, trade_date date, symbol string, tick_size long")
