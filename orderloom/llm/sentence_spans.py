@@ -1,14 +1,15 @@
 """Substring duplicates: sliding sentence spans.
 
-Units are pieces of sentences.  A word that ends a sentence ends a unit, and in
-every ``WINDOW`` consecutive words the one of the least hash begins a unit.  So
-cuts depend on the words around them alone: whether a word begins a unit is the
-same in all texts that share the ``WINDOW`` - 1 words on each side of it, and no
-unit is longer than ``WINDOW`` words.  A span starts at every unit and takes the
-fewest consecutive units with ``sentences`` units and ``words`` words.  With 3
-units and 24 words any shared run of 4 * WINDOW + 21 = 49 words holds one,
-wherever it begins.  A span's hash joins globally; every occurrence but the
-first, by (doc_id, fingerprint, unit), loses its units.
+Units are sentences: a word that ends with a mark of ``ENDS`` ends one.  A sentence of
+over ``LONG`` words is cut further, so that a passage shared by two endless ones is
+met as well: in every ``WINDOW`` consecutive words of it the one of the least hash
+begins a unit, which depends on the words around it alone.  A span starts at every
+unit and takes the fewest consecutive units with ``sentences`` units and ``words``
+words.  A span's hash joins globally; every occurrence but the first, by (doc_id,
+fingerprint, unit), loses its units.
+
+Texts are cut once: each document's hashes are stored as one array, counted,
+and filtered from there.  Only documents that lose something are cut again.
 
 Defined cases: null and empty texts have no units; a text shorter than a span
 loses nothing; rows equal in id and text are one document, so that copy removes
@@ -30,7 +31,7 @@ from .common import bitset, fingerprint, in_bitset, slices, stored, text_of
 
 TOKEN = re.compile(r"\S+")
 ENDS = (".", "!", "?")
-WINDOW = 7
+LONG, WINDOW = 16, 7
 SEEN_BITS = 26
 P = 0x9E3779B97F4A7C15
 SPANS = "doc_id long, _fp long, h long, i int, j int"
@@ -41,7 +42,7 @@ class WordHashes(dict):
     """Word to 64-bit hash; emptied when it grows large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
         return h
@@ -56,11 +57,14 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
     n = len(words)
     if not n:
         return []
-    cuts = {0, *(k for k, w in enumerate(words, 1) if w.endswith(ENDS))} - {n}
-    if n >= WINDOW:
-        h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, n)
-        seen = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1].argmin(axis=1)  # the last of equal ones
-        cuts.update((np.arange(seen.size) + WINDOW - 1 - seen).tolist())
+    cuts, lo = {0}, 0
+    for end in [*(k for k, w in enumerate(words[:-1], 1) if w.endswith(ENDS)), n]:
+        if end - lo > LONG:
+            h = np.fromiter(map(HASHES.__getitem__, words[lo:end]), np.uint64, end - lo)
+            seen = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1].argmin(axis=1)  # the last of equal ones
+            cuts.update((np.arange(seen.size) + (lo + WINDOW - 1) - seen).tolist())
+        cuts.add(lo)
+        lo = end
     at = [*sorted(cuts), n]
     place = [0, *(starts[k] for k in at[1:-1]), len(text)]
     return [(place[x], place[x + 1], words[at[x]:at[x + 1]]) for x in range(len(at) - 1)]
@@ -94,48 +98,52 @@ def spans(words: list[list[str]], sentences: int, least: int) -> tuple[np.ndarra
     return x.view(np.int64), i, end - 1
 
 
-def span_hashes(docs: DataFrame, sentences: int, least: int) -> DataFrame:
-    """(h): the hash of every span of every document."""
+def span_arrays(docs: DataFrame, sentences: int, least: int) -> DataFrame:
+    """(doc_id, _fp, n, h, m): units, and the hash and number of units of the span at each unit that has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            h = [spans([w for _, _, w in units(t)], sentences, least)[0] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h))], ["h"])
+            n, at, hs, ms = [], [0], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for text in b.column("text").to_pylist():
+                words = [w for _, _, w in units(text)]
+                h, i, j = spans(words, sentences, least)
+                n.append(len(words))
+                at.append(at[-1] + h.size)
+                hs.append(h)
+                ms.append(j - i + 1)
+            at = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_fp"), pa.array(n, pa.int32()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(hs))),
+                                              pa.ListArray.from_arrays(at, pa.array(np.concatenate(ms).astype(np.int32)))], ["doc_id", "_fp", "n", "h", "m"])
+
+    return docs.select("doc_id", "_fp", "text").mapInArrow(run, "doc_id long, _fp long, n int, h array<long>, m array<int>")
+
+
+def span_table(arrays: DataFrame, seen: np.ndarray) -> DataFrame:
+    """SPANS whose hash the filter ``seen`` may hold."""
 
-    return docs.select("text").mapInArrow(run, "h long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2048):
+            lists = b.column("h")
+            k = np.asarray(lists.value_lengths())
+            h, m = np.asarray(lists.flatten()), np.asarray(b.column("m").flatten())
+            row = np.repeat(np.arange(b.num_rows), k)
+            i = np.arange(h.size) - np.repeat(np.cumsum(k) - k, k)
+            keep = np.flatnonzero(in_bitset(seen, h))
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("_fp").take(row), pa.array(h[keep]), pa.array(i[keep].astype(np.int32)),
+                                              pa.array((i + m - 1)[keep].astype(np.int32))], [x.split()[0] for x in SPANS.split(", ")])
 
+    return arrays.select("doc_id", "_fp", "h", "m").mapInArrow(run, SPANS)
 
-def span_table(docs: DataFrame, sentences: int, least: int, seen: np.ndarray) -> DataFrame:
-    """SPANS whose hash the filter ``seen`` may hold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids, fps, h, i, j = [], [], [], [], []
-            for doc_id, fp, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "_fp", "text")]):
-                got = spans([w for _, _, w in units(text)], sentences, least)
-                may = in_bitset(seen, got[0])
-                got = [x[may] for x in got]
-                n = got[0].size
-                ids += [doc_id] * n
-                fps.append(np.full(n, fp, np.int64))
-                for to, x in zip((h, i, j), got):
-                    to.append(x)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), *[pa.array(np.concatenate(x).astype(t)) for x, t in ((fps, np.int64), (h, np.int64), (i, np.int32), (j, np.int32))]],
-                    [x.split()[0] for x in SPANS.split(", ")])
-
-    return docs.mapInArrow(run, SPANS)
-
-
-def repeated(docs: DataFrame, sentences: int = 3, least: int = 24) -> DataFrame:
+def repeated(arrays: DataFrame) -> DataFrame:
     """(doc_id, _fp, cut): the runs of units that repeat an earlier span.
 
     Hashes are counted first; a filter of fixed size then lets only spans through
     that may occur again.  The first occurrence and the count are combined before
     the shuffle.  The join back is a plain equi-join, whose hot partitions Spark splits."""
-    often = span_hashes(docs, sentences, least).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    table = stored(span_table(docs, sentences, least, bitset(often, "h", SEEN_BITS)), "sentence-spans")
+    often = arrays.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    table = stored(span_table(arrays, bitset(often, "h", SEEN_BITS)), "sentence-spans")
     place = F.struct("doc_id", "_fp", "i")
     first = table.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
     first = stored(first, "first-spans")  # both sides of the join then come from scans
@@ -166,16 +174,19 @@ def _kept(text: str, cut) -> tuple[str, list[tuple[int, int]], int, int, int]:
 
 def deduplicated(documents: DataFrame, sentences: int = 3, least: int = 24) -> DataFrame:
     """RESULT: one row per document; ``removed`` lists start:end in code points, ``kept`` is the text that is left."""
-    docs = documents.select("doc_id", text_of().alias("text")).withColumn("_fp", fingerprint("text"))
-    cuts = repeated(docs, sentences, least).select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"), "cut")
-    both = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")), "left").select("doc_id", "text", "cut")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("_fp", fingerprint("text"))
+    arrays = stored(span_arrays(docs, sentences, least), "span-arrays")
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}._fp") == F.col(f"{b}._fp"))
+    sizes = arrays.groupBy("doc_id", "_fp").agg(F.first("n").alias("n"))
+    found = sizes.alias("s").join(repeated(arrays).alias("r"), same("s", "r"), "left").select("s.doc_id", "s._fp", "n", "cut")
+    both = docs.alias("d").join(found.alias("f"), same("d", "f"), "left").select("d.doc_id", "text", "n", "cut")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         for b in slices(batches):
             out = []
-            for doc_id, text, cut in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "cut")]):
-                left, lost, n, gone, words = _kept(text, cut)
+            for doc_id, text, n, cut in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "n", "cut")]):
+                left, lost, n, gone, words = _kept(text, cut) if cut else (text, [], n, 0, 0)
                 out.append((doc_id, n, gone, words, ",".join(f"{a}:{z}" for a, z in lost), left))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in RESULT.split(", ")])

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from public_tokenizers import path as tokenizer_path
 from tokenizers import Tokenizer
 
@@ -271,6 +272,32 @@ def test_boilerplate_lines_are_taken_out(spark, docs, none):
 # 5 sentence spans
 
 
+def own_units(text):
+    """Sentences, and pieces of those of over 16 words, by loops: (start, end, words)."""
+    words = [(m.start(), m.group().lower()) for m in re.finditer(r"\S+", text)]
+    begins, sentence = set(), []
+    for k, (_, w) in enumerate(words):
+        sentence.append(k)
+        if w[-1] in ".!?" or k == len(words) - 1:
+            begins.add(sentence[0])
+            for lo in range(len(sentence) - 6 if len(sentence) > 16 else 0):
+                window = sentence[lo:lo + 7]
+                begins.add(min(window, key=lambda x: (xxhash.xxh3_64_intdigest(words[x][1].encode(), 7), -x)))
+            sentence = []
+    at = [*sorted(begins), len(words)]
+    ends = [words[k][0] for k in at[1:-1]] + [len(text)]
+    return [(s, e, [w for _, w in words[a:b]]) for s, e, a, b in zip([0, *ends], ends, at, at[1:])] if words else []
+
+
+def test_sentences_stay_whole_unless_they_are_long():
+    whole = "One short sentence stands here. And this one has sixteen words in all so that it just about stays whole here. Done!"
+    assert [len(w) for _, _, w in sentence_spans.units(whole)] == [5, 16, 1]
+    rng = random.Random(2)
+    for _ in range(200):
+        t = "".join(rng.choice(["word ", "a ", "stop. ", "x! ", "\n", " ", "end? ", "é "]) for _ in range(rng.randint(0, 90)))
+        assert sentence_spans.units(t) == own_units(t)
+
+
 def test_sentence_spans_equal_brute_force(docs, none, spark):
     got = rows_of(sentence_spans.report(docs, 3, 12), "doc_id", "n_sentences", "n_removed", "kept_sha256")
     seen, cut = {}, {}
@@ -281,7 +308,7 @@ def test_sentence_spans_equal_brute_force(docs, none, spark):
     fp = {((-1 if r.doc_id is None else r.doc_id), r.t): r.f for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("f", F.xxhash64("t")).collect()}
     distinct = sorted({key((r[0], r[1] or "")) for r in corpus()}, key=lambda k: (k[0], fp[k]))
     for k in distinct:
-        u = [w for _, _, w in sentence_spans.units(k[1])]
+        u = [w for _, _, w in own_units(k[1])]
         gone = set()
         for i in range(len(u)):
             j = i + 3
@@ -295,7 +322,7 @@ def test_sentence_spans_equal_brute_force(docs, none, spark):
     want = []
     for r in corpus():
         k = key((r[0], r[1] or ""))
-        u = sentence_spans.units(k[1])
+        u = own_units(k[1])
         left, at = "", 0
         for x in sorted(cut[k]):
             left, at = left + k[1][at:u[x][0]], u[x][1]
