@@ -261,16 +261,20 @@ def binary_ids(documents: DataFrame, json_path: str, ranks_path: str) -> DataFra
     types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.binary())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(json_path, ranks_path)
+        codec, given = _codec(json_path, ranks_path), set()  # keys whose text this task has sent already
         for b in slices(batches, 128):
             out = []
+            if len(given) > 100_000:
+                given.clear()
             for doc_id, fp, text in zip(*[b.column(c).to_pylist() for c in ("doc_id", "_fp", "text")]):
                 data = text.encode()
                 cs = [] if codec.is_special(data) else chunks(data)
                 keys = [key_of(c) for c in cs]
                 often = in_bitset(shared, np.array([short(k) for k in keys], np.int64)).tolist() if cs else []
                 if any(often):
-                    out.append((doc_id, fp, None, [k if o else None for k, o in zip(keys, often)], [c.decode() if o else None for c, o in zip(cs, often)],
+                    texts = [c.decode() if o and k not in given else None for c, k, o in zip(cs, keys, often)]
+                    given.update(k for k, o in zip(keys, often) if o)
+                    out.append((doc_id, fp, None, [k if o else None for k, o in zip(keys, often)], texts,
                                 [None if o else _binary(codec.encode(c)) for c, o in zip(cs, often)]))
                 else:
                     out.append((doc_id, fp, _binary(codec.encode(data)) if data else b"", None, None, None))
@@ -285,7 +289,7 @@ def binary_ids(documents: DataFrame, json_path: str, ranks_path: str) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([_binary(codec.encode(t.encode())) for t in b.column("text").to_pylist()], pa.binary())], ["key", "ids"])
 
     each = wait.select(F.explode(F.arrays_zip("keys", "texts")).alias("x")).filter("x.keys IS NOT NULL")
-    known = each.groupBy(F.col("x.keys").alias("key")).agg(F.first("x.texts").alias("text")).mapInArrow(once, "key binary, ids binary")
+    known = each.groupBy(F.col("x.keys").alias("key")).agg(F.first("x.texts", ignorenulls=True).alias("text")).mapInArrow(once, "key binary, ids binary")
     refs = wait.select("doc_id", "_fp", F.posexplode("keys").alias("at", "key")).filter("key IS NOT NULL").distinct()
     found = refs.join(known, "key").groupBy("doc_id", "_fp").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
     both = wait.select("doc_id", "_fp", "own").join(
