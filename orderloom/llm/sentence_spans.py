@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bitset, fingerprint, in_bitset, slices, stored, text_of
 
 TOKEN = re.compile(r"\S+")
-ENDS = (".", "!", "?")
+#: Which bytes end a sentence.
+ENDS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 LONG, WINDOW = 16, 7
 SEEN_BITS = 26
 P = 0x9E3779B97F4A7C15
@@ -38,64 +38,76 @@ SPANS = "doc_id long, _fp long, h long, i int, j int"
 RESULT = "doc_id long, n_sentences int, n_removed int, removed_words int, removed string, kept string"
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; emptied when it grows large."""
+def _powers(n: int, cache: list[np.ndarray] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    if not cache or cache[0].size <= n:
+        size = max(1024, 2 * n)
+        with np.errstate(over="ignore"):
+            cache[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, p, np.uint64))]) for p in (P, pow(P, -1, 1 << 64))]
+    return cache[0], cache[1]
+
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
-        return h
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
-HASHES = WordHashes()
+def _polynomial(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of values[lo:hi] for all pairs, equal for equal runs wherever they stand."""
+    up, down = _powers(values.size)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: values.size])])
+        return _mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
+def cut_words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of every unit, hashes of all words)."""
+    data = " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
+    if not data:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    b = np.frombuffer(data, np.uint8)
+    blank = np.flatnonzero(b == 32)
+    lo, hi = np.concatenate([[0], blank + 1]), np.append(blank, b.size)
+    h = _polynomial(b.astype(np.uint64) + np.uint64(1), lo, hi)
+    n = h.size
+    ends = ENDS[b[hi - 1]]
+    ends[-1] = True
+    sentence = np.cumsum(ends) - ends  # number of each word's sentence
+    starts = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
+    long = np.diff(np.append(starts, n)) > LONG
+    if not long.any():
+        return starts, h
+    inside = (sentence[WINDOW - 1:] == sentence[: n - WINDOW + 1]) & long[sentence[: n - WINDOW + 1]]
+    m = n - WINDOW + 1
+    best, place = h[:m].copy(), np.arange(m)
+    for k in range(1, WINDOW):  # of equal ones the last
+        lower = h[k:k + m] <= best
+        np.copyto(best, h[k:k + m], where=lower)
+        place[lower] = np.flatnonzero(lower) + k
+    begins = np.zeros(n, bool)
+    begins[starts] = True
+    begins[place[inside]] = True
+    return np.flatnonzero(begins), h
 
 
 def units(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-case words) of every unit."""
     starts, words = [m.start() for m in TOKEN.finditer(text)], text.lower().split()
-    n = len(words)
-    if not n:
+    if not words:
         return []
-    cuts, lo = {0}, 0
-    for end in [*(k for k, w in enumerate(words[:-1], 1) if w.endswith(ENDS)), n]:
-        if end - lo > LONG:
-            h = np.fromiter(map(HASHES.__getitem__, words[lo:end]), np.uint64, end - lo)
-            seen = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1].argmin(axis=1)  # the last of equal ones
-            cuts.update((np.arange(seen.size) + (lo + WINDOW - 1) - seen).tolist())
-        cuts.add(lo)
-        lo = end
-    at = [*sorted(cuts), n]
+    at = [*cut_words(text)[0].tolist(), len(words)]
     place = [0, *(starts[k] for k in at[1:-1]), len(text)]
     return [(place[x], place[x + 1], words[at[x]:at[x + 1]]) for x in range(len(at) - 1)]
 
 
-def _powers(n: int, cache: list[np.ndarray] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    if not cache or cache[0].size <= n:
-        size = max(1024, 2 * n)
-        with np.errstate(over="ignore"):
-            cache[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, p, np.uint64))]) for p in (P, pow(P, -1, 1 << 64))]
-    return cache[0], cache[1]
-
-
-def spans(words: list[list[str]], sentences: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first unit, last unit) of every span, from prefix sums of a polynomial hash."""
-    n = len(words)
-    counts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    i = np.arange(n)
-    end = np.maximum(i + sentences, np.searchsorted(counts, counts[:-1] + least))
-    i = i[end <= n]
-    end = end[: i.size]
-    if not i.size:
-        return np.empty(0, np.int64), i, i
-    h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in words), np.uint64, n)
-    up, down = _powers(n)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
-        x = (total[end] - total[i]) * down[i] + (end - i).astype(np.uint64)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-    return x.view(np.int64), i, end - 1
+def spans(cuts: np.ndarray, words: np.ndarray, sentences: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of units) of the span at every unit that has one."""
+    at = np.append(cuts, words.size)
+    i = np.arange(cuts.size)
+    end = np.maximum(i + sentences, np.searchsorted(at, cuts + least))
+    end = end[end <= cuts.size]
+    i = i[: end.size]
+    # how the units divide the words is not hashed: the same words are the same passage
+    return _polynomial(words, at[i], at[end]).view(np.int64) if i.size else np.empty(0, np.int64), end - i
 
 
 def span_arrays(docs: DataFrame, sentences: int, least: int) -> DataFrame:
@@ -105,12 +117,12 @@ def span_arrays(docs: DataFrame, sentences: int, least: int) -> DataFrame:
         for b in slices(batches):
             n, at, hs, ms = [], [0], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for text in b.column("text").to_pylist():
-                words = [w for _, _, w in units(text)]
-                h, i, j = spans(words, sentences, least)
-                n.append(len(words))
+                cuts, words = cut_words(text)
+                h, m = spans(cuts, words, sentences, least)
+                n.append(cuts.size)
                 at.append(at[-1] + h.size)
                 hs.append(h)
-                ms.append(j - i + 1)
+                ms.append(m)
             at = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_fp"), pa.array(n, pa.int32()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(hs))),
                                               pa.ListArray.from_arrays(at, pa.array(np.concatenate(ms).astype(np.int32)))], ["doc_id", "_fp", "n", "h", "m"])

@@ -9,7 +9,6 @@ import zlib
 
 import numpy as np
 import pytest
-import xxhash
 from public_tokenizers import path as tokenizer_path
 from tokenizers import Tokenizer
 
@@ -272,6 +271,15 @@ def test_boilerplate_lines_are_taken_out(spark, docs, none):
 # 5 sentence spans
 
 
+def own_hash(word):
+    x, mask = 0, (1 << 64) - 1
+    for i, b in enumerate(word.encode()):
+        x += (b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64)
+    x = (x + len(word.encode())) & mask
+    x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & mask
+    return x ^ (x >> 29)
+
+
 def own_units(text):
     """Sentences, and pieces of those of over 16 words, by loops: (start, end, words)."""
     words = [(m.start(), m.group().lower()) for m in re.finditer(r"\S+", text)]
@@ -282,7 +290,7 @@ def own_units(text):
             begins.add(sentence[0])
             for lo in range(len(sentence) - 6 if len(sentence) > 16 else 0):
                 window = sentence[lo:lo + 7]
-                begins.add(min(window, key=lambda x: (xxhash.xxh3_64_intdigest(words[x][1].encode(), 7), -x)))
+                begins.add(min(window, key=lambda x: (own_hash(words[x][1]), -x)))
             sentence = []
     at = [*sorted(begins), len(words)]
     ends = [words[k][0] for k in at[1:-1]] + [len(text)]
@@ -315,7 +323,7 @@ def test_sentence_spans_equal_brute_force(docs, none, spark):
             while j <= len(u) and sum(map(len, u[i:j])) < 12:
                 j += 1
             if j <= len(u):
-                span = tuple(" ".join(x) for x in u[i:j])
+                span = tuple(w for x in u[i:j] for w in x)
                 if seen.setdefault(span, (k, i)) != (k, i):
                     gone |= set(range(i, j))
         cut[k] = gone
