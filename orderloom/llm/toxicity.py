@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine on a block-max inverted index.
 
-Terms are words and their first three to six letters (inflected words share
-them).  The index holds the vectors of all rows of a bounded labelled sample,
-whatever their label, over all their terms; document frequencies of the terms
-are counted over all documents.  The sample's vectors are cut into blocks; every
-term keeps its greatest weight per block, so a query bounds a whole block and
-opens only blocks that could still change its nearest examples: the cosine is
-exact.  Votes are weighted by distance, and calibrated on a quarter of the
-sample that does not stand in the index.
-
-Terms are 64-bit hashes.  Terms of a text that no example has are left out of
+A term is the first four letters of a word (inflected words share them), its
+weight the frequency in the text times log((2 N + 2) / (2 df + 1)).  The index
+holds the vectors of all rows of a bounded labelled sample, whatever their
+label, over all their terms; N and df are counted over all documents.  The
+sample's vectors are cut into blocks; long lists keep their greatest weight per
+block, short lists are summed, so a query bounds a whole block and opens only
+blocks that could still change its nearest examples: the cosine is exact.  Votes
+are weighted by distance, and calibrated on a quarter of the sample that does
+not stand in the index.
+
+Terms are 63-bit hashes.  Terms of a text that no example has are left out of
 its vector.  Defined cases: null and empty texts, and texts without a known term,
 have no neighbours and get the calibrated score of such examples; ties in cosine
 go to the smaller example number; repeated rows get equal results; without
@@ -31,17 +32,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices, text_of
 from .labelled import held_out, sample
 
-WORD = re.compile(r"[^\W\d_]+")
+#: The first four letters of each word.
+STEM = re.compile(r"([^\W\d_]{1,4})[^\W\d_]*")
 #: Bound of what is learned: labelled rows.
-SAMPLE_ROWS = 12_000
-BLOCK, NEAREST = 64, 15
+SAMPLE_ROWS = 4_000
+BLOCK, NEAREST = 64, 25
+#: A list over a LONG-th of all examples is long; stems a task remembers.
+LONG, MEMO = 8, 200_000
 RESULT = "doc_id long, score double, evidence array<long>"
 
 
-def terms(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in (3, 4, 5, 6) if len(word) > n)]
-
-
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """lo[0], lo[0] + 1, ... (n[0] of them), lo[1], ..."""
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -49,84 +49,85 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 class Vocabulary:
     """Term counts of texts.  With ``keys`` (sorted hashes) terms are numbers of
-    known ones, else hashes; what a word stands for is remembered."""
+    known ones, else hashes; what a stem stands for is remembered (-1: unknown)."""
 
     def __init__(self, keys: np.ndarray | None = None):
-        self.keys, self.known = keys, {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > 200_000:
-            self.known.clear()
-        each = [terms(w) for w in words]
-        h = np.array([xxhash.xxh3_64_intdigest(t) for ts in each for t in ts], np.uint64).view(np.int64)
-        ok = np.ones(h.size, bool)
+        self.keys = keys
+        self.known: dict[str, int] = {}
+
+    def _learn(self, stems: list[str]) -> None:
+        h = np.array([xxhash.xxh3_64_intdigest(s) >> 1 for s in stems], np.int64)
         if self.keys is not None:
-            at = np.searchsorted(self.keys, h)
-            ok = at < self.keys.size
-            ok[ok] = self.keys[at[ok]] == h[ok]
-            h = at
-        lo = 0
-        for w, ts in zip(words, each):
-            self.known[w] = h[lo:lo + len(ts)][ok[lo:lo + len(ts)]]
-            lo += len(ts)
+            at = np.minimum(np.searchsorted(self.keys, h), max(self.keys.size - 1, 0))
+            h = np.where(self.keys[at] == h, at, -1) if self.keys.size else np.full(h.size, -1)
+        self.known.update(zip(stems, h.tolist()))
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each text's terms begin and the last one's end, terms, how often)."""
+        counted = [Counter(STEM.findall(t.lower())) for t in texts]
+        if new := set().union(*counted).difference(self.known):
+            if len(self.known) + len(new) > MEMO:
+                self.known.clear()
+                new = set().union(*counted)
+            self._learn(list(new))
+        known = self.known
+        t = np.array([known[s] for c in counted for s in c], np.int64)
+        n = np.array([n for c in counted for n in c.values()], np.int64)
+        ends = np.concatenate([[0], np.cumsum(t >= 0)])[np.cumsum([0, *map(len, counted)])]
+        return ends, t[t >= 0], n[t >= 0]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms ascending, how often)."""
-        c = Counter(WORD.findall(text.lower()))
-        if not c:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        words = list(c)
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-            if any(w not in self.known for w in words):
-                self._learn(words)
-        got = [self.known[w] for w in words]
-        t, inverse = np.unique(np.concatenate(got), return_inverse=True)
-        return t, np.bincount(inverse, np.repeat(list(c.values()), [x.size for x in got]), t.size).astype(np.int64)
+        """(terms, how often)."""
+        return self.batch([text])[1:]
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, cut at every BLOCK examples, with block maxima."""
+    """Unit vectors of examples by term, cut at every BLOCK examples.
+
+    Lists that hold a LONG-th of all examples are stored as whole columns, with
+    their greatest weight in every block; the others are postings.  A query sums
+    its short lists, which with the block maxima of its long lists bounds every
+    block; long lists are read in blocks that can still change the result alone."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n = len(vectors)
-        self.blocks = -(-self.n // BLOCK)
-        rows = np.repeat(np.arange(self.n, dtype=np.int32), [t.size for t, _ in vectors])
+        self.blocks = -(-len(vectors) // BLOCK)
+        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [t.size for t, _ in vectors])
         t = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         w = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        long = np.bincount(t, minlength=n_terms) * LONG >= max(len(vectors), 1)
+        self.column = np.where(long, np.cumsum(long) - 1, -1)
+        mine = long[t]
+        self.long = np.zeros((self.blocks, BLOCK, int(long.sum())))
+        self.long[rows[mine] // BLOCK, rows[mine] % BLOCK, self.column[t[mine]]] = w[mine]
+        self.most = self.long.max(axis=1, initial=0.0)
+        t, rows, w = t[~mine], rows[~mine], w[~mine]
         order = np.argsort(t, kind="stable")
-        t, self.row, self.weight = t[order], rows[order], w[order]
-        block = self.row // BLOCK
-        start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (block[1:] != block[:-1])])) if t.size else np.zeros(0, np.int64)
-        #: One entry for each term and block that meet: the block, its greatest weight, its first posting.
-        self.block, self.at = block[start], np.append(start, t.size)
-        self.most = np.maximum.reduceat(self.weight, start) if t.size else np.zeros(0)
-        self.entry = np.searchsorted(t[start], np.arange(n_terms + 1))
+        self.row, self.weight = rows[order], w[order]
+        self.at = np.searchsorted(t[order], np.arange(n_terms + 1))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, examples) of the k nearest with a positive cosine."""
-        n = self.entry[t + 1] - self.entry[t]
-        e, w = _ranges(self.entry[t], n), np.repeat(w, n)
-        block = self.block[e]
-        bound = np.bincount(block, w * self.most[e], self.blocks)
+        column = self.column[t]
+        long = column >= 0
+        q = np.zeros(self.most.shape[1])
+        q[column[long]] = w[long]
+        lo = self.at[t[~long]]
+        n = self.at[t[~long] + 1] - lo
+        p = _ranges(lo, n)
+        short = np.bincount(self.row[p], np.repeat(w[~long], n) * self.weight[p], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bound = short.max(axis=1, initial=0.0) + self.most @ q
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best_s, best_i, at, size = np.zeros(0), np.zeros(0, np.int64), 0, 4
         while at < order.size:  # a few blocks first, then ever more of those that may still matter
-            opened = np.zeros(self.blocks, bool)
             some = order[at:at + size]
             if best_s.size == k:
                 some = some[bound[some] >= best_s[-1] - 1e-11]
                 if not some.size:
                     break
-            opened[some] = True
-            mine = opened[block]
-            lo = self.at[e[mine]]
-            m = self.at[e[mine] + 1] - lo
-            p = _ranges(lo, m)
-            score = np.bincount(self.row[p], np.repeat(w[mine], m) * self.weight[p], self.n)
-            hit = np.flatnonzero(score > 0)
-            s, i = np.concatenate([best_s, score[hit]]), np.concatenate([best_i, hit])
+            score = np.concatenate([short[b] + self.long[b] @ q for b in some])
+            where = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            s, i = np.concatenate([best_s, score[score > 0]]), np.concatenate([best_i, where[score > 0]])
             if s.size > 4 * k:
                 some = s >= np.partition(s, s.size - k)[s.size - k] - 1e-11
                 s, i = s[some], i[some]
@@ -142,7 +143,7 @@ class Model:
 
     def __init__(self, keys: np.ndarray, df: np.ndarray, n_docs: int, rows: list[tuple[int, tuple, int]], apart: list[tuple[int, tuple, int]], default: float):
         self.keys = keys
-        self.idf = np.log((1 + n_docs) / (1 + df)) + 1
+        self.idf = np.log((2 * n_docs + 2) / (2 * df + 1))
         self.default, self.fit = default, None
         # Rows of one language share their commonest term, and so come to stand in the same blocks.
         kept = sorted(((int(c[0][np.argmax(c[1])]), c[0].size, doc, y, c) for doc, c, y in rows if c[0].size), key=lambda r: r[:4])
@@ -156,7 +157,7 @@ class Model:
             self.fit = _platt(np.array([v for v, _ in known]), np.array([y for _, y in known], float))
 
     def vector(self, c: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(c[1])) * self.idf[c[0]]
+        w = c[1] * self.idf[c[0]]
         return c[0], w / np.linalg.norm(w)
 
     def vote(self, t: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -220,8 +221,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1,
         known, n = Vocabulary(shared.value), np.zeros(shared.value.size + 1, np.int64)
         for b in slices(batches):
             n[-1] += b.num_rows
-            for t in b.column("text").to_pylist():
-                n[known.counts(t)[0]] += 1
+            n[:-1] += np.bincount(known.batch(b.column("text").to_pylist())[1], minlength=n.size - 1)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["t", "n"])
 
@@ -241,7 +241,8 @@ def score(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1
         m = model.value
         known = Vocabulary(m.keys)
         for b in slices(batches):
-            got = [m.score(known.counts(t)) for t in b.column("text").to_pylist()]
+            ends, t, n = known.batch(b.column("text").to_pylist())
+            got = [m.score((t[lo:hi], n[lo:hi])) for lo, hi in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     out = documents.select("doc_id", text_of().alias("text")).mapInArrow(run, RESULT)
