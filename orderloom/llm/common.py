@@ -52,6 +52,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or ``name`` and as many underscores as make it differ from every column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fingerprint(*names: str) -> Column:
     """64-bit hash that tells apart rows which share an id.  Rows equal in id and
     fingerprint get equal results, so they may share one."""

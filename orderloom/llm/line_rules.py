@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, fingerprint, text_of
+from .common import SPACES, fingerprint, text_of, unused
 
 WINDOW = 8
 
@@ -89,27 +89,29 @@ def boilerplate(lines: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
     ).select("host", "line", "n_docs")
 
 
-def _cleaned(documents: DataFrame, limits: Limits) -> DataFrame:
-    """Every column of ``documents``, and _left (the text without boilerplate lines; null
-    counts as empty) and _removed (how many distinct lines went).
+def _cleaned(documents: DataFrame, limits: Limits, left: str = "_left", removed: str = "_removed") -> DataFrame:
+    """Every column of ``documents``, and ``left`` (the text without boilerplate lines; null
+    counts as empty) and ``removed`` (how many distinct lines went).
 
     The join of lines with the boilerplate list is a plain equi-join, whose hot
     partitions Spark splits; a document then meets the hashes of its own lines."""
     docs = documents.select("doc_id", text_of().alias("text"), F.coalesce("source", F.lit("")).alias("_host"), fingerprint("source", "text").alias("_fp"))
     lines = host_lines(docs)
     cut = lines.join(boilerplate(lines, docs, limits), ["host", "line"]).groupBy("doc_id", "_fp").agg(F.collect_list("line").alias("_cut"))
-    c = cut.select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"), "_cut")
-    d = documents.withColumn("_of", fingerprint("source", "text"))
-    out = d.join(c, d["doc_id"].eqNullSafe(c["_id"]) & (d["_of"] == c["_f"]), "left")
-    left = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x: ~F.array_contains("_cut", F.xxhash64(normal_line(x)))), "\n")
-    return out.select(*[d[n] for n in documents.columns], F.when(F.col("_cut").isNull(), text_of()).otherwise(left).alias("_left"), F.coalesce(F.size("_cut"), F.lit(0)).alias("_n")).withColumn(
-        "_removed", F.greatest(F.col("_n"), F.lit(0)).cast("long")).drop("_n")
+    of, gone = unused(documents, "_of"), unused(documents, "_cut")
+    c = cut.select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"), F.col("_cut").alias(gone))
+    d = documents.withColumn(of, fingerprint("source", "text"))
+    out = d.join(c, d["doc_id"].eqNullSafe(c["_id"]) & (d[of] == c["_f"]), "left")
+    rest = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normal_line(x)))), "\n")
+    n = F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(*[d[c] for c in documents.columns], F.when(F.col(gone).isNull(), text_of()).otherwise(rest).alias(left), n.alias(removed))
 
 
 def without_boilerplate(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The same rows and columns; boilerplate lines are taken out of ``text``.  A null text stays null."""
-    out = _cleaned(documents, limits)
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_left"))).select(*documents.columns)
+    left, removed = unused(documents, "_left"), unused(documents, "_removed")
+    out = _cleaned(documents, limits, left, removed)
+    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(left))).select(*documents.columns)
 
 
 def apply(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import text_of
+from .common import text_of, unused
 
 BLOCK = 256
 CHUNK = 4096
@@ -126,10 +126,11 @@ def _listing(spans: Column) -> Column:
 def find(documents: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """Every column of ``documents`` and ``out``: array of start, ord (place in KINDS),
     end, score, by start and kind."""
-    d = documents.withColumn("_pii_text", text_of(text))
-    d = d.withColumns({f"_pii_{k.name}": _proposals(k, F.col("_pii_text")) for k in KINDS})
-    d = d.withColumn(out, F.array_sort(F.concat(*[_spans(i, F.col(f"_pii_{k.name}")) for i, k in enumerate(KINDS)])))
-    return d.drop("_pii_text", *[f"_pii_{k.name}" for k in KINDS])
+    whole, found = unused(documents, "_pii_text"), [unused(documents, f"_pii_{k.name}") for k in KINDS]
+    d = documents.withColumn(whole, text_of(text))
+    d = d.withColumns({n: _proposals(k, F.col(whole)) for n, k in zip(found, KINDS)})
+    d = d.withColumn(out, F.array_sort(F.concat(*[_spans(i, F.col(n)) for i, n in enumerate(found)])))
+    return d.drop(whole, *found)
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -148,8 +149,9 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     Overlapping spans become one mark.  A text with spans is cut into chunks and
     rebuilt chunk by chunk, so no substring walks the whole text.  A null text
     stays null."""
+    spans, cut = unused(documents, "_pii_spans"), unused(documents, "_pii_cut")
     merged = F.aggregate(
-        "_pii_spans", F.array().cast("array<struct<start:int,ord:int,end:int>>"),
+        spans, F.array().cast("array<struct<start:int,ord:int,end:int>>"),
         lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.get(a, F.size(a) - 1)["end"]),
                             F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
                                 F.get(a, F.size(a) - 1)["start"].alias("start"), F.get(a, F.size(a) - 1)["ord"].alias("ord"),
@@ -159,7 +161,7 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
 
     def rebuilt(chunk: Column, i: Column) -> Column:
         lo = i * CHUNK
-        inside = F.filter("_pii_cut", lambda s: (s["start"] < lo + CHUNK) & (s["end"] > lo))
+        inside = F.filter(cut, lambda s: (s["start"] < lo + CHUNK) & (s["end"] > lo))
         done = F.aggregate(
             inside, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
             lambda a, s: F.struct(
@@ -168,7 +170,7 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
                          F.when(s["start"] >= lo, F.get(names, s["ord"])).otherwise("")).alias("out")))
         return F.concat(done["out"], F.substr(chunk, done["at"] + 1, F.lit(CHUNK)))
 
-    d = find(documents, text, "_pii_spans").withColumn("_pii_cut", merged)
+    d = find(documents, text, spans).withColumn(cut, merged)
     whole = F.concat_ws("", F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), rebuilt))
-    d = d.withColumn(text, F.when(F.size("_pii_cut") > 0, whole).otherwise(F.col(text)))
+    d = d.withColumn(text, F.when(F.size(cut) > 0, whole).otherwise(F.col(text)))
     return d.select(*documents.columns)

@@ -365,6 +365,19 @@ def test_kept_text_is_returned(docs):
     assert all((r.n_removed > 0) != ((r.doc_id, r.kept) in texts) for r in got.collect())
 
 
+# clashing names of the native operators
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_left", "_cut", "_n", "_of", "_Removed", "_pii_text", "_pii_email", "_pii_cut", "_PII_spans"]
+    text = "mail a.b@c.org now\n" + "\n".join(f"line {i} of the page stands here" for i in range(3))
+    rows = [(i, "h", text if i < 40 else None, *[f"{n}{i}" for n in names]) for i in range(42)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{n} string" for n in names))
+    for got, want in ((line_rules.without_boilerplate(d), ""), (pii.redact(d), text.replace("a.b@c.org", "[EMAIL]"))):
+        assert got.columns == d.columns
+        assert sorted(map(tuple, got.collect())) == [(*r[:2], want if r[2] else None, *r[3:]) for r in rows]
+
+
 # 6 toxicity
 
 
