@@ -290,10 +290,10 @@ def binary_ids(documents: DataFrame, json_path: str, ranks_path: str) -> DataFra
 
     each = wait.select(F.explode(F.arrays_zip("keys", "texts")).alias("x")).filter("x.keys IS NOT NULL")
     known = each.groupBy(F.col("x.keys").alias("key")).agg(F.first("x.texts", ignorenulls=True).alias("text")).mapInArrow(once, "key binary, ids binary")
-    refs = wait.select("doc_id", "_fp", F.posexplode("keys").alias("at", "key")).filter("key IS NOT NULL").distinct()
-    found = refs.join(known, "key").groupBy("doc_id", "_fp").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
-    both = wait.select("doc_id", "_fp", "own").join(
-        found.select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f"), "got"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")))
+    row = F.coalesce("doc_id", F.lit(0).cast("long")).alias("_row")  # never null, so grouping and join share one exchange; _fp tells a null id from 0
+    refs = wait.select(row, "_fp", F.posexplode("keys").alias("at", "key")).filter("key IS NOT NULL").distinct()
+    found = refs.join(known, "key").groupBy("_row", "_fp").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
+    both = wait.select("doc_id", row, "_fp", "own").join(found, ["_row", "_fp"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(json_path, ranks_path)
