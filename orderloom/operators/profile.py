@@ -56,11 +56,20 @@ def with_period(events: DataFrame) -> DataFrame:
     session = session_events(events, calendar)
     ev = session.join(sized(period_starts(session)), KEY, "left")
     dev = developing_period(F.col("starts"), F.col("later_ord"), F.col("eth_period"), F.col("ordinal"))
+    return _half_hours(ev, dev).drop("starts", "later_ord")
+
+
+def _half_hours(ev: DataFrame, dev: Column) -> DataFrame:
     ev = ev.withColumn("dev_period", F.when(F.col("in_lettering"), dev))
     r = F.col("dev_period") - F.col("rth_offset")
     return ev.withColumns({
         "rth_period": F.when((r >= 0) & (r < RTH_PERIODS), r),
-        "backward": F.coalesce(F.col("eth_period") < F.col("dev_period"), F.lit(False))}).drop("starts", "later_ord")
+        "backward": F.coalesce(F.col("eth_period") < F.col("dev_period"), F.lit(False))})
+
+
+def continue_period(periods: DataFrame, carried: Column) -> DataFrame:
+    """``with_period`` of later rows, given the highest half-hour of the rows before them (null: none)."""
+    return _half_hours(periods, F.greatest("dev_period", carried))
 
 
 def trades(events: DataFrame, ticks: DataFrame | int) -> DataFrame:
@@ -99,6 +108,43 @@ def profile_rows(tr: DataFrame) -> DataFrame:
     return out.withColumns({"tpo_count": n, "single_print": n == 1})
 
 
+PARTIALS = ("instrument_id bigint, trade_date date, tick bigint, in_lettering boolean, dev_period int, rth_period int, "
+            "volume bigint, buy_volume bigint, sell_volume bigint, first_ord bigint, last_ord bigint")
+
+
+def partials(periods: DataFrame, ticks: DataFrame | int) -> DataFrame:
+    """Trades of ``with_period`` or ``continue_period`` as one row per price and half-hour: what ``merge_partials`` adds up."""
+    return _trades(periods, ticks).groupBy(*KEY, "tick", "in_lettering", F.col("dev_period").cast("int").alias("dev_period"),
+                                           F.col("rth_period").cast("int").alias("rth_period")).agg(
+        F.sum("size").alias("volume"), _vol(F.col("side") == "B").alias("buy_volume"), _vol(F.col("side") == "A").alias("sell_volume"),
+        F.min("ordinal").alias("first_ord"), F.max("ordinal").alias("last_ord"))
+
+
+def merge_partials(parts: DataFrame) -> DataFrame:
+    sums = [F.sum(n).alias(n) for n in ("volume", "buy_volume", "sell_volume")]
+    return parts.groupBy(*KEY, "tick", "in_lettering", "dev_period", "rth_period").agg(
+        *sums, F.min("first_ord").alias("first_ord"), F.max("last_ord").alias("last_ord"))
+
+
+def rows_of_partials(parts: DataFrame, current: DataFrame) -> DataFrame:
+    """``profile_rows`` from partials and the ``current_period`` of their sessions."""
+    lettered = F.col("in_lettering")
+
+    def vol(name: str, cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col(name))), F.lit(0))
+
+    out = parts.join(current, KEY).groupBy(*KEY, "tick").agg(
+        F.sum("volume").alias("volume"), F.sum("buy_volume").alias("buy_volume"), F.sum("sell_volume").alias("sell_volume"),
+        vol("volume", lettered & (F.col("dev_period") == F.col("current_period"))).alias("period_volume"),
+        F.coalesce(F.bit_or(F.when(lettered, _bit(F.col("dev_period")))), F.lit(0)).alias("eth_bits"),
+        F.coalesce(F.bit_or(F.when(F.col("rth_period").isNotNull(), _bit(F.col("rth_period")))), F.lit(0)).alias("rth_bits"),
+        F.min("first_ord").alias("first_ord"), F.max("last_ord").alias("last_ord"),
+        (vol("buy_volume", lettered) - vol("sell_volume", lettered)).alias("delta"),
+        F.coalesce(F.max(F.col("rth_period").isin(0, 1)), F.lit(False)).alias("in_ib"))
+    n = F.bit_count("eth_bits").cast("int")
+    return out.withColumns({"tpo_count": n, "single_print": n == 1})
+
+
 def period_matrix(tr: DataFrame) -> DataFrame:
     """Volume by price and half-hour."""
     return tr.filter("in_lettering").groupBy(*KEY, "tick", F.col("dev_period").alias("period")).agg(

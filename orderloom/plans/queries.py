@@ -1086,10 +1086,11 @@ def h06_stateful_orders(spark, sf):
 
 @query
 def h07_profile_publication(spark, sf):
-    table, out = work_dir(spark, "table"), work_dir(spark, "profile")
-    q = (_stream(spark, sf).writeStream.foreachBatch(streaming.publish_profiles(table, out, TICK)).trigger(availableNow=True)
-         .option("checkpointLocation", work_dir(spark, "ckpt")).start())
-    q.awaitTermination()
+    """Four micro-batches, each published from its own rows and the sessions' partials."""
+    out, ckpt = work_dir(spark, "profile"), work_dir(spark, "ckpt")
+    publish = streaming.publish_profiles(work_dir(spark, "partials"), out, TICK)
+    _arrivals(spark, sf, 4, lambda s: s.writeStream.foreachBatch(publish).trigger(availableNow=True)
+              .option("checkpointLocation", ckpt).start().awaitTermination())
     return spark.read.parquet(out).select(c("instrument_id").cast("long"), c("trade_date").cast("date"), "tick", "volume", "eth_bits", "period_volume")
 
 

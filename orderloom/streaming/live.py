@@ -63,7 +63,8 @@ class ScalarStage:
     The carried table has one row per session.  Rows and carry of batch N are
     overwritten under N, so a retried batch leaves the same result.  Batches must
     continue the arrival order of a session: a row at or below an ordinal of an
-    earlier batch stops the stream."""
+    earlier batch stops the stream.  The carry, which finds that out, is written
+    first, so readers of the rows never see a refused batch."""
 
     COLUMNS = [f.name for f in EVENT_SCHEMA.fields] + ["epoch", "clear_no", "now_before"]
 
@@ -83,7 +84,6 @@ class ScalarStage:
         rows = rows.withColumns({
             "epoch": F.col("epoch") + F.coalesce("c_epoch", zero), "clear_no": F.col("clear_no") + F.coalesce("c_clear", zero),
             "now_before": F.greatest("now_before", "c_now")})
-        rows.select(*self.COLUMNS).write.mode("overwrite").parquet(f"{self.out_path}/batch={batch_id}")
         here = batch.groupBy(*KEY).agg(
             F.count_if(F.col("kind") == "Gap").alias("n_epoch"), F.count_if((F.col("kind") == "Clear") & live).alias("n_clear"),
             F.max(F.when(live, F.col("ts_ns"))).alias("n_now"), F.min("ordinal").alias("n_first"), F.max("ordinal").alias("n_ord"))
@@ -94,6 +94,7 @@ class ScalarStage:
             F.when(F.col("n_first") <= F.col("c_ord"), F.raise_error(F.lit("a batch goes back in the arrival order")).cast("long"))
             .otherwise(F.greatest("c_ord", "n_ord")).alias("c_ord"))
         new.write.mode("overwrite").parquet(f"{self.carry_path}/{batch_id}")
+        rows.select(*self.COLUMNS).write.mode("overwrite").parquet(f"{self.out_path}/batch={batch_id}")
 
 
 SCALED_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_SCHEMA.fields) + \
@@ -164,18 +165,40 @@ def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WI
 
 # ---- publication ----------------------------------------------------------
 
-def publish_profiles(table_path: str, out_path: str, ticks: int) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: append the batch to the event table (under its
-    batch id, so a retry replaces it) and rewrite the profile partitions of the
-    sessions it touched."""
+HEADS = "instrument_id bigint, trade_date date, c_period int, at bigint"
+
+
+def publish_profiles(state_path: str, out_path: str, ticks: int) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of the profiles of the sessions a batch touches.
+
+    A batch reads its own rows, the highest half-hour each session had reached
+    (``heads``) and the sessions' partials, one row per price and half-hour; never
+    earlier events.  Heads and partials of batch N lie under N; a head names the
+    batch that holds the newest partials of its session.  So batch N changes nothing
+    that it reads, and a retry leaves the same result.  Batches must continue the
+    arrival order (``ScalarStage`` stops one that does not)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        batch.write.mode("overwrite").partitionBy("trade_date", "instrument_id").parquet(f"{table_path}/batch={batch_id}")
-        touched = spark.read.parquet(f"{table_path}/batch={batch_id}").select(*KEY).distinct()
-        seen = spark.read.option("basePath", table_path).parquet(
-            *[f"{table_path}/batch={i}" for i in range(batch_id + 1)])
-        rows = profile.profile_rows(profile.trades(seen.join(touched, KEY, "left_semi"), ticks))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        old = spark.read.schema(HEADS).parquet(f"{state_path}/heads/{batch_id - 1}") if batch_id > 0 else spark.createDataFrame([], HEADS)
+        rows = profile.with_period(batch)
+        here = rows.groupBy(*KEY).agg(F.max("current_period").cast("int").alias("n_period"), F.lit(batch_id).cast("long").alias("n_at"))
+        old.join(here, KEY, "full").select(
+            *KEY, F.greatest("c_period", "n_period").alias("c_period"), F.coalesce("n_at", "at").alias("at")).write.mode(
+            "overwrite").parquet(f"{state_path}/heads/{batch_id}")
+        touched = spark.read.schema(HEADS).parquet(f"{state_path}/heads/{batch_id}").filter(F.col("at") == batch_id).select(
+            *KEY, F.col("c_period").alias("current_period"))
+        before = old.join(touched, KEY, "left_semi")
+        parts = profile.partials(profile.continue_period(rows.join(before.drop("at"), KEY, "left"), F.col("c_period")), ticks)
+        held = [r.at for r in before.select("at").distinct().collect()]  # batch numbers, not rows
+        if held:
+            saved = spark.read.schema(profile.PARTIALS + ", batch bigint").option("basePath", f"{state_path}/partials").parquet(
+                *[f"{state_path}/partials/batch={i}" for i in held])
+            saved = saved.join(before.select(*KEY, F.col("at").alias("batch")), [*KEY, "batch"], "left_semi").drop("batch")
+            parts = profile.merge_partials(parts.unionByName(saved))
+        path = f"{state_path}/partials/batch={batch_id}"
+        parts.write.mode("overwrite").parquet(path)
+        out = profile.rows_of_partials(spark.read.schema(profile.PARTIALS).parquet(path), touched)
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("trade_date", "instrument_id").parquet(out_path))
     return run
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from feed import A, C, Fi, TICK, T, frame
@@ -68,6 +69,38 @@ def test_published_profile_equals_batch(spark, tmp_path):
     assert got == want
 
 
+PROFILE = ["instrument_id", "tick", "volume", "buy_volume", "sell_volume", "period_volume", "eth_bits", "rth_bits", "first_ord", "last_ord",
+           "delta", "in_ib", "tpo_count", "single_print"]
+
+
+def test_published_profile_carries_the_half_hour_and_survives_retries(spark, tmp_path):
+    rng = random.Random(11)
+    # steps of up to ten minutes, forwards and backwards, so that half-hours of earlier batches are met again
+    ev = frame(spark, [[T(rng.randint(95, 99), rng.randint(0, 4), rng.choice("BAN"), dt_ns=rng.randint(-4, 6) * 10**11) for _ in range(120)]
+                       for _ in range(3)])
+    publish = live.publish_profiles(str(tmp_path / "state"), str(tmp_path / "out"), TICK)
+    edges = [0, 40, 41, 41, 90, 120]  # one batch is empty
+    want = lambda upto: {tuple(r) for r in profile.profile_rows(profile.trades(ev.filter(F.col("ordinal") < upto), TICK)).select(*PROFILE).collect()}
+    got = lambda: {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*PROFILE).collect()}
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        part = ev.filter((F.col("ordinal") >= a) & (F.col("ordinal") < b))
+        publish(part, i)
+        if i in (0, 3):  # the batch failed before it was committed
+            publish(part, i)
+        assert got() == want(b) and got()
+
+
+def test_a_refused_batch_is_not_published(spark, tmp_path):
+    ev = frame(spark, [[A(i + 1, 9) for i in range(20)]])
+    stage = live.ScalarStage(str(tmp_path / "rows"), str(tmp_path / "carry"))
+    stage(ev.filter("ordinal < 10"), 0)
+    with pytest.raises(Exception, match="goes back in the arrival order"):
+        stage(ev.filter("ordinal >= 5"), 1)
+    assert not (tmp_path / "rows" / "batch=1").exists()
+    stage(ev.filter("ordinal >= 10"), 1)
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 20
+
+
 def test_window_streams_match_batch(spark, tmp_path):
     ev = frame(spark, [[A(1, 9), Fi(1, 2, dt_ns=100_000_000), Fi(1, 3, dt_ns=700_000_000), T(100, 4, dt_ns=2 * 10**12), C(1, 9)]])
     src = str(tmp_path / "src")
