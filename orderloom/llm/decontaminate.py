@@ -10,9 +10,12 @@ Normalisation: words are runs of letters and digits, joined by one blank, in
 lower case.  Items come in blocks of bounded size; the driver holds one block
 at a time, and every document meets every block.
 
-Defined cases: null and empty texts match nothing; items shorter than
-``min_chars`` normalised characters (null and empty ones too) are no test
-passages and match nothing; repeated documents are each reported; repeated item
+An item shorter than ``min_chars`` normalised characters would, with edits, be
+met in passages that have nothing to do with it; it is looked for as it is, from
+word bound to word bound.
+
+Defined cases: null and empty texts match nothing; items without a letter or
+digit (null and empty ones too) match nothing; repeated documents are each reported; repeated item
 rows give one row each per item_id; an empty table on either side gives an
 empty table; other columns are ignored.
 """
@@ -76,15 +79,16 @@ def myers(eq: dict[str, int], m: int, text: str, anchored: bool = False) -> tupl
 class Items:
     """One block of test items, ready for matching."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
         self.items = []
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            k = int(rate * len(text))
+            whole = len(text) < min_chars
+            k = 0 if whole else int(rate * len(text))
             for lo, hi in pieces(len(text), k):
                 found.setdefault(text[lo:hi], []).append((len(self.items), lo))
             grams = {text[i:i + Q] for i in range(len(text) - Q + 1)}
-            self.items.append((item_id, text, k, masks(text), masks(text[::-1]), grams))
+            self.items.append((item_id, text, k, masks(text), masks(text[::-1]), grams, whole))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -97,8 +101,13 @@ class Items:
             for at, lo in where:
                 places.setdefault(at, []).append(end - size + 1 - lo)
         for at, diagonals in places.items():
-            item_id, item, k, eq, back, grams = self.items[at]
+            item_id, item, k, eq, back, grams, whole = self.items[at]
             m, best = len(item), None
+            if whole:  # its one piece is the item, so each place is an exact hit
+                alone = [d for d in diagonals if text[d - 1:d] in ("", " ") and text[d + m:d + m + 1] in ("", " ")]
+                if alone:
+                    yield item_id, m, k, 0, min(alone), min(alone) + m
+                continue
             for lo, hi in _windows(sorted(diagonals), m, k):
                 part = text[max(0, lo):hi]
                 exact = part.find(item)
@@ -147,12 +156,12 @@ def _place(text: str, start: int, end: int) -> tuple[int, int]:
     return first or 0, last
 
 
-def blocks(benchmark: DataFrame, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in bounded blocks, streamed to the driver."""
     held, chars = [], 0
     for row in benchmark.select("item_id", "text").distinct().toLocalIterator():
         text = normal(row.text or "")
-        if len(text) < min_chars:
+        if not text:
             continue
         held.append((row.item_id, text))
         chars += len(text)
@@ -167,15 +176,15 @@ def matches(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_
     """HITS: one row per document and item met within the budget, at its best place (code points of the text)."""
     docs = documents.select("doc_id", fingerprint("text").alias("_fp"), text_of().alias("text"))
     found = None
-    for block in blocks(benchmark, min_chars):
-        part = docs.mapInArrow(_matcher(block, rate), HITS)
+    for block in blocks(benchmark):
+        part = docs.mapInArrow(_matcher(block, rate, min_chars), HITS)
         found = part if found is None else found.unionByName(part)
     return documents.sparkSession.createDataFrame([], HITS) if found is None else found
 
 
-def _matcher(block: list[tuple[int, str]], rate: float):
+def _matcher(block: list[tuple[int, str]], rate: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(block, rate)
+        items = Items(block, rate, min_chars)
         names = [x.split()[0] for x in HITS.split(", ")]
         types = [pa.int64()] * 3 + [pa.int32()] * 5
         for b in slices(batches):
@@ -195,12 +204,12 @@ def clean(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_ch
 
     def without(block: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(block, rate)
+            items = Items(block, rate, min_chars)
             for b in slices(batches):
                 yield b.filter(pa.array([next(items.match(normal(t or "")), None) is None for t in b.column("text").to_pylist()], pa.bool_()))
 
         return run
 
-    for block in blocks(benchmark, min_chars):
+    for block in blocks(benchmark):
         documents = documents.mapInArrow(without(block), documents.schema)
     return documents
