@@ -47,7 +47,7 @@ IP = Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"
 CARD = Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", 0.7, "card|visa|master|credit|payment|karte|carte|tarjeta")
 PHONE = Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax|telefon")
 IBAN = Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|konto|compte|cuenta", 0.7)
-SECRET = Kind("secret", r"\bAKIA[0-9A-Z]{16}\b|(?i:password|passwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}\"?[A-Za-z0-9/+_.-]{8,200}",
+SECRET = Kind("secret", r"\bAKIA[0-9A-Z]{16}\b|(?i:password|passwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}\"?[A-Za-z0-9/+_.-]{8,}",
               "AKIA|[=:]", 0.6, "key|access|login|user|auth", 0.6,
               whole=r"\bAKIA[0-9A-Z]{16}\b|(?i:password|passwd|token|secret|api[_-]?key)\x20{0,2}[=:]\x20{0,2}\"?[A-Za-z0-9/+_.-]{8,}+")
 BASE = (EMAIL, IP, CARD, PHONE)
