@@ -153,7 +153,11 @@ def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vendor-style rows, one per event; a projection without any shuffle."""
+    """Vendor-style rows, one per event; a projection without any shuffle.
+
+    The columns come out of ``inline``, past which Spark moves no filter: a condition on
+    them would otherwise be rewritten in terms of ``events``, with the JSON field parsed
+    anew at each of the many places where it names ``k``."""
     c = F.col
     base = _base(spark, sf_dir)
     e = c("event_id")
@@ -167,7 +171,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     day_us = 86_400_000_000
     file_no = F.call_function("div", c("us"), F.lit(day_us))
     undef = (e % 223 == 0) | (action == "R")
-    rows = base.select(
+    row = F.struct(
         F.concat(F.lit("utc-"), F.date_format(F.date_from_unix_date(file_no.cast("int")), "yyyyMMdd")).alias("source_file"),
         (file_no - 19000).cast("int").alias("file_rank"), e.alias("row_index"),
         F.when(snap, c("us") * 1000 - 86_400_000_000_000).otherwise(c("us") * 1000).alias("ts_event"),
@@ -182,7 +186,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
          .cast("long").alias("size"),
         (F.when(action == "R", 0).otherwise(1 + F.call_function("div", e, F.lit(4)))).cast("long").alias("order_id"),
         F.when(snap, 32).otherwise(0).cast("int").alias("flags"))
-    return rows.select(*[f.name for f in RAW_SCHEMA.fields])
+    return base.select(F.inline(F.array(row))).select(*[f.name for f in RAW_SCHEMA.fields])
 
 
 def instruments(events: DataFrame) -> DataFrame:

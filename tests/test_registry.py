@@ -33,3 +33,10 @@ def test_query_equals_sql(spark, name):
     a = sorted(zip(*[got.column(c).to_pylist() for c in cols]), key=key)
     b = sorted(rel.project(", ".join(f'"{c}"' for c in cols)).fetchall(), key=key)
     assert a == b
+
+
+def test_filters_do_not_parse_json_again(spark):
+    """The conditions of the raw-row queries are not rewritten in terms of the JSON field."""
+    for name in ("a04_event_time", "b11_off_grid"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("get_json_object") == 1, name
