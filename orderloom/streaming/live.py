@@ -99,14 +99,57 @@ class ScalarStage:
 
 SCALED_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_SCHEMA.fields) + \
     ", epoch bigint, clear_no bigint, now_before bigint"
-_STATE = [*fold.STATE_FIELDS, "open_ord"]
+_STATE = ["order_id", *fold.STATE_FIELDS, "open_ord", "seen_ms"]
+#: Groups an instrument-day's orders are dealt into; a group's state is one row.
+STATE_PARTS = 32
 _FX = ["old_side", "old_tick", "cancelled", "fx_side", "fx_tick", "added", "traded", "refreshed", "flags", "violation"]
 _REST = ["side_no", "tick", "size", "prio_origin", "prio_ord", "order_epoch", "reloads", "hidden", "unavailable"]
 _OUT = ["instrument_id", "day", "order_id", "ordinal", "ts_ns", "code", "epoch", "clear_no", *_FX, "opens", *_REST, "closes_ord"]
 
 
-def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WINDOW_NS, hold_ms: int | None = None) -> DataFrame:
-    """Second stage: the batch fold's step, keyed by order, across micro-batches.
+def _fold_part(rows, states, day: tuple, now_ms: int, window_ns: int):
+    """Events of one group in arrival order over its orders' saved states, one row of ``_STATE``
+    each: effect columns, and the states after them.  Only orders that have events are unpacked."""
+    from array import array
+
+    import numpy as np
+
+    names = ["order_id", "ordinal", "ts_ns", "code", "side_no", "tick", "size", "epoch", "clear_no", "now_before"]
+    rows = np.stack([np.concatenate([f[n].to_numpy() for f in rows]) for n in names])
+    rows = rows[:, np.argsort(rows[1], kind="stable")]
+    ids = rows[0]
+    touched = np.isin(states[:, 0], ids)
+    orders_now: dict[int, list] = {}
+    for oid, *saved, open_ord, _ in states[touched].tolist():
+        o = fold.Order()
+        for name, value in zip(fold.STATE_FIELDS, saved):
+            setattr(o, name, value)
+        orders_now[oid] = [o, open_ord]
+    out = array("q")
+    for oid, ordinal, ts, code, side, tick, size, epoch, clear_no, before in rows.T.tolist():
+        kept = orders_now.get(oid)
+        if kept is None:
+            kept = orders_now[oid] = [fold.Order(clear_no), -1]
+        o, open_ord = kept
+        changed, *fx = fold.step(o, code, ordinal, ts, side, tick, size, epoch, clear_no, before, window_ns)
+        if changed:
+            kept[1] = ordinal if o.live else -1
+        out.extend((*day, oid, ordinal, ts, code, epoch, clear_no))
+        out.extend(fx)
+        out.extend((1, o.side, o.tick, o.size, o.origin, o.prio, o.epoch, o.reloads, o.hidden, o.unavail) if changed and o.live else (0,) * 10)
+        out.append(open_ord if changed else -1)
+    after = [(oid, *[int(getattr(o, n)) for n in fold.STATE_FIELDS], open_ord, now_ms) for oid, (o, open_ord) in orders_now.items() if o.live or o.t_ts >= 0]
+    states = np.concatenate([states[~touched], np.array(after, np.int64).reshape(-1, len(_STATE))])
+    return np.frombuffer(out, np.int64).reshape(-1, len(_OUT)), states
+
+
+def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WINDOW_NS, hold_ms: int | None = None,
+                  parts: int = STATE_PARTS) -> DataFrame:
+    """Second stage: the batch fold's step, per order, across micro-batches.
+
+    An instrument-day's orders are dealt by hash into ``parts`` groups, and Spark keeps
+    one state per group: the states of its orders.  So a micro-batch calls Python once
+    per group it touches, not once per order.
 
     ``closes_ord`` names the interval an event ended.  There is no watermark, so
     rows of any age are applied.  State of an order that is neither resting nor
@@ -123,44 +166,34 @@ def order_effects(scaled: DataFrame, tick_size: int, window_ns: int = REFRESH_WI
             .when(F.col("kind") == "Modify", fold.MODIFY).when(F.col("kind") == "Fill", fold.FILL)).cast("long")
     e = orders.with_ticks(e.withColumn("code", code).filter(F.col("code").isNotNull()), tick_size)
     e = e.filter(F.col("tick").isNotNull()).select(
-        "instrument_id", F.unix_date("trade_date").cast("long").alias("day"), "order_id", "ordinal", "ts_ns", "code",
-        orders.side_no(F.col("side")).alias("side_no"), "tick", "size", "epoch", "clear_no",
+        "instrument_id", F.unix_date("trade_date").cast("long").alias("day"), F.pmod(F.xxhash64("order_id"), F.lit(parts)).alias("part"),
+        "order_id", "ordinal", "ts_ns", "code", orders.side_no(F.col("side")).alias("side_no"), "tick", "size", "epoch", "clear_no",
         F.coalesce("now_before", F.lit(-1).cast("long")).alias("now_before"))
 
     def run(key, frames, state):
+        import numpy as np
         import pandas as pd
-        if state.hasTimedOut:
-            state.remove()
-            return
-        o, open_ord = fold.Order(), -1
-        if state.exists:
-            *saved, open_ord = state.get
-            for name, value in zip(fold.STATE_FIELDS, saved):
-                setattr(o, name, int(value))
-        fresh = not state.exists
-        rows = []
-        events = pd.concat(list(frames)).sort_values("ordinal")
-        for r in events.itertuples(index=False):
-            if fresh:
-                o.clear_no, fresh = int(r.clear_no), False
-            changed, *fx = fold.step(o, r.code, r.ordinal, r.ts_ns, r.side_no, r.tick, r.size, r.epoch, r.clear_no, r.now_before, window_ns)
-            closes = open_ord if changed else -1
-            if changed:
-                open_ord = r.ordinal if o.live else -1
-            opens = 1 if changed and o.live else 0
-            rest = (o.side, o.tick, o.size, o.origin, o.prio, o.epoch, o.reloads, o.hidden, o.unavail) if opens else (0,) * 9
-            rows.append((*key, r.ordinal, r.ts_ns, r.code, r.epoch, r.clear_no, *fx, opens, *rest, closes))
-        if o.live or o.t_ts >= 0:
-            state.update(tuple(int(getattr(o, n)) for n in fold.STATE_FIELDS) + (int(open_ord),))
-            if hold_ms is not None and not o.live:
-                state.setTimeoutDuration(hold_ms)
+        states = np.frombuffer(state.get[0] if state.exists else b"", np.int64).reshape(-1, len(_STATE))
+        now_ms = state.getCurrentProcessingTimeMs() if hold_ms is not None else 0
+        rows = None
+        if not state.hasTimedOut:
+            rows, states = _fold_part(list(frames), states, key[:2], now_ms, window_ns)
+        pending = states[:, 1] == 0
+        if hold_ms is not None:
+            states = states[~pending | (states[:, -1] + hold_ms > now_ms)]
+            pending = states[:, 1] == 0
+        if len(states):
+            state.update((states.tobytes(),))
+            if hold_ms is not None and pending.any():
+                state.setTimeoutDuration(int(max(1, states[pending, -1].min() + hold_ms - now_ms)))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(rows, columns=_OUT)
+        if rows is not None:
+            yield pd.DataFrame(rows, columns=_OUT)
 
-    long = lambda names: ", ".join(f"{n} long" for n in names)
-    return e.groupBy("instrument_id", "day", "order_id").applyInPandasWithState(
-        run, long(_OUT), long(_STATE), "append", GroupStateTimeout.NoTimeout if hold_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return e.groupBy("instrument_id", "day", "part").applyInPandasWithState(
+        run, ", ".join(f"{n} long" for n in _OUT), "orders binary", "append",
+        GroupStateTimeout.NoTimeout if hold_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 # ---- publication ----------------------------------------------------------

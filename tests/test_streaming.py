@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from feed import A, C, Fi, TICK, T, frame
 from orderloom.functions.schema import EVENT_SCHEMA
-from orderloom.operators import orders, profile
+from orderloom.operators import fold, orders, profile
 from orderloom.streaming import live
 from test_orders import random_stream
 
@@ -117,3 +117,28 @@ def test_window_streams_match_batch(spark, tmp_path):
         assert got == want and got
     lag = live.head_lag(ev, F.lit(0)).first()
     assert lag.lag_ns == -lag.head_ns
+
+
+def test_state_is_kept_per_group_of_orders(spark, tmp_path):
+    """Python is called, and state kept, once per group of an instrument-day, not once per order."""
+    ev = frame(spark, [[A(i + 1, 9) for i in range(300)]])
+    live.ScalarStage(str(tmp_path / "rows"), str(tmp_path / "carry"))(ev, 0)
+    s = spark.readStream.schema(live.SCALED_SCHEMA).parquet(f"{tmp_path}/rows/*")
+    q = live.append_rows(live.order_effects(s, TICK), str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).filter("opens = 1").count() == 300
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= live.STATE_PARTS
+
+
+def test_pending_refreshes_are_freed_and_resting_orders_kept():
+    row = [{"order_id": o, "ordinal": n, "ts_ns": n, "code": code, "side_no": 1, "tick": 100, "size": 9, "epoch": 0, "clear_no": 0, "now_before": n - 1}
+           for n, (o, code) in enumerate([(1, fold.ADD), (2, fold.ADD), (1, fold.FILL), (1, fold.CANCEL)])]
+    import numpy as np
+    import pandas as pd
+    none = np.empty((0, len(live._STATE)), np.int64)
+    rows, states = live._fold_part([pd.DataFrame(row[3:]), pd.DataFrame(row[:3])], none, (7, 19000), 50, 1000)
+    assert [tuple(r[2:4]) for r in rows.tolist()] == [(1, 0), (2, 1), (1, 2), (1, 3)]
+    assert {(r[0], r[1], r[-1]) for r in states.tolist()} == {(1, 0, 50), (2, 1, 50)}  # one pending, one resting
+    again, later = live._fold_part([pd.DataFrame([{**row[0], "ordinal": 9, "ts_ns": 9, "now_before": 3}])], states, (7, 19000), 60, 1000)
+    assert again[0, live._OUT.index("refreshed")] == 9
+    assert {(r[0], r[1], r[-1]) for r in later.tolist()} == {(1, 1, 60), (2, 1, 50)}
