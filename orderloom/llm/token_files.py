@@ -6,9 +6,12 @@ vocabulary allows; one aggregation over all of them gives the shared table
 code blocks, and Spark's own writer writes them.
 
 White space ends a word for this tokenizer (it is only removed), so a word's
-ids do not depend on its neighbours: the library encodes a word once per task
-run and its ids are reused.  Texts for which that does not hold (file separators
-that Python counts as white space, special tokens written out) are encoded whole.
+ids do not depend on its neighbours: it is encoded once per task run and its ids
+are reused.  Words of Latin-1 letters are cut into pre-tokens with a mark after
+each, and tiktoken merges them with the same vocabulary, in which the mark stands
+for the end of a pre-token; other words go to the library.  Texts for which that
+does not hold (file separators that Python counts as white space, special tokens
+written out) are encoded whole.
 
 Defined cases: null and empty texts have the end id only; null doc_ids come
 first; rows equal in doc_id are each written, in no fixed order between them;
@@ -17,12 +20,14 @@ an empty table gives no blocks and an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
@@ -36,6 +41,23 @@ MEMO = 600_000
 BREAKS = re.compile("[\x1c-\x1f]")
 #: A pre-token of the tokenizer, for words of Latin-1 letters only.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9²³¹¼½¾A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
+#: Ends a pre-token, and stands between words.  A word that holds one of them, or a longer one, is left to the library.
+MARK, BETWEEN, LONGEST = "\0", "\1", 400
+IN_LIST = re.compile(PRETOKEN.pattern.replace("[^0-9", f"[^{BETWEEN}0-9") + f"|{BETWEEN}")
+
+
+def merger(tokenizer: Tokenizer) -> tiktoken.Encoding | None:
+    """The tokenizer's merges over bytes, ``MARK`` for the end of a word; none if ids do not follow the
+    order of merges, or two tokens are the same bytes."""
+    model = json.loads(tokenizer.to_str())["model"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level names show as they are
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    end, mark = model["end_of_word_suffix"], MARK.encode()
+    merged = [model["vocab"]["".join(pair)] for pair in model["merges"]]
+    ranks = {bytes(byte[c] for c in t.removesuffix(end)) + (mark if t.endswith(end) else b""): i for t, i in model["vocab"].items()}
+    if merged != list(range(512, len(ranks))) or len(ranks) != len(model["vocab"]):
+        return None
+    return tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
 
 
 def _latin(text: str) -> bool:
@@ -60,6 +82,8 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.fast = merger(self.tokenizer)
+        self.between = self.fast.encode_single_token(BETWEEN + MARK) if self.fast else -1
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -78,6 +102,17 @@ class WordEncoder:
         else:
             self.pieces.update((p, self._whole(p)) for p in new)
 
+    def _merged(self, new: list[str]) -> None:
+        """Latin-1 words in one call; what stands between them is one token."""
+        letters = [w for w in new if w.isalpha()]
+        other = [w for w in new if not w.isalpha()]
+        new = letters + other
+        text = (MARK + BETWEEN + MARK).join([*letters, ""]).lower() + MARK.join([*IN_LIST.findall(BETWEEN.join([*other, ""]).lower()), ""])
+        ids = np.array(self.fast.encode_ordinary(text), self.dtype)
+        ends = np.flatnonzero(ids == self.between)
+        data, size = ids.tobytes(), ids.itemsize
+        self.words.update((w, data[a:b]) for w, a, b in zip(new, [0, *((ends + 1) * size).tolist()], (ends * size).tolist()))
+
     def learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > MEMO:
             self.old, self.words = self.words, {}
@@ -86,6 +121,11 @@ class WordEncoder:
         back = self.old
         self.words.update((w, back[w]) for w in words if w in back)
         new = [w for w in words if w not in back]
+        if self.fast:
+            fast = [w for w in new if len(w) <= LONGEST and MARK not in w and BETWEEN not in w and _latin(w)]
+            if fast:
+                self._merged(fast)
+            new = [w for w in new if w not in self.words]
         plain = {w: PRETOKEN.findall(w.lower()) for w in new if _latin(w)}
         known = self.pieces
         fresh = list({p for ps in plain.values() for p in ps if p not in known})
@@ -103,17 +143,14 @@ class WordEncoder:
                 split.append(None)
             else:
                 split.append((t.lower() if _latin(t) else t).split())
-        found = [None if ws is None else list(map(self.words.get, ws)) for ws in split]
-        missing = {w for ws, f in zip(split, found) if f and None in f for w, x in zip(ws, f) if x is None}
+        missing = set().union(*[ws for ws in split if ws]).difference(self.words)
+        rest = self.words
         if missing:
-            before = self.words
             self.learn(missing)
-            rest = self.words if before is self.words else {**before, **self.words}
-        for t, ws, f in zip(texts, split, found):
-            if ws is None:
-                yield self._whole(t)
-            else:
-                yield b"".join([rest[w] for w in ws] if None in f else f)
+            if rest is not self.words:
+                rest = {**rest, **self.words}
+        for t, ws in zip(texts, split):
+            yield self._whole(t) if ws is None else b"".join(map(rest.__getitem__, ws))
 
 
 def tokenise(documents: DataFrame, path: str, end_id: int) -> DataFrame:

@@ -656,3 +656,13 @@ def test_joins_of_small_chunks_are_repaired(monkeypatch):
         ids = bpe_chunks.assemble(codec, [(c, codec.encode(c)) for c in cs]) if cs else []
         assert ids == codec.full.encode(t, add_special_tokens=False).ids and codec.decode(ids) == data
     assert cut > 800
+
+
+def test_word_encoder_merges_like_the_library():
+    """Latin-1 words are merged by tiktoken, in one call, and get the library's ids."""
+    encoder = token_files.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    assert encoder.fast is not None
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu'smEÉéßÿµ.,-0½²!?#<|") for _ in range(rng.randrange(1, 30))) for _ in range(40)) for _ in range(50)]
+    texts += ["a" * 399, "b" * 5000, "a\0b c", "a\1b c", "", " \n", "x\x1cy", "DON'T ж", "haanth reoush"]
+    assert list(encoder.encode(texts)) == [encoder._whole(t) for t in texts]
