@@ -562,6 +562,34 @@ def test_links_are_real_and_membership_loses_none(spark, n, percent, monkeypatch
     assert all(top(x) == top(y) for x, y in every) and (percent == 50 or len(every) > 5 * len(found))
 
 
+def test_large_groups_and_long_texts_leave_few_candidates(spark, monkeypatch):
+    """What a large group shares comes last in its members' prefixes, long unrelated texts that share
+    a passage are not fetched, and the components are those of brute force."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(160):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 2, 12])):
+            words[at] = f"w{rng.randrange(200)}"
+        rows.append((k, " ".join(words)))
+    passage = [f"v{k}" for k in range(12)]
+    rows += [(500 + k, " ".join(passage + [f"u{rng.randrange(400)}" for _ in range(3000)])) for k in range(8)]
+    rows += [(600 + k, rows[160 + k][1].replace(" ", " new ", 1)) for k in range(2)]
+    rule, made = ngram_join.Rule(5, 80), {}
+    stored = ngram_join.stored
+
+    def counted(df, name, *more):
+        out = stored(df, name, *more)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert rows_of(ngram_join.components(d, rule), "doc_id", "n_shingles", "component_id") == brute_components(rows, 5, 80)
+    assert made["shared-postings"] < 7000 and made["star-pairs"] + made["other-pairs"] == made["verified"], made
+
+
 def test_one_row_of_each_component_stays(docs, none):
     out = ngram_join.one_per_component(docs, ngram_join.Rule(5, 80))
     rows = [(r[0], r[1]) for r in corpus()]
