@@ -590,6 +590,60 @@ def test_large_groups_and_long_texts_leave_few_candidates(spark, monkeypatch):
     assert made["shared-postings"] < 7000 and made["star-pairs"] + made["other-pairs"] == made["verified"], made
 
 
+def crowd_rows(rng):
+    """Texts around shared passages of rare words, each with near copies of its own."""
+    rows = []
+    for group in range(3):
+        passage = [f"p{group}x{k}" for k in range(40)]
+        for k in range(12):
+            words = passage + [f"w{rng.randrange(50)}" for _ in range(60)]
+            rows.append((len(rows), " ".join(words)))
+            if k % 3 == 0:
+                words[rng.randrange(100)] = "new"
+                rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_a_shared_passage_is_one_posting_of_each_text(spark, monkeypatch):
+    """Not one for each of its n-grams, and crowded n-grams are counted again without losing a component."""
+    from pyspark.sql import functions as F
+
+    rows, rule, made = crowd_rows(random.Random(5)), ngram_join.Rule(5, 80), {}
+    stored = ngram_join.stored
+
+    def counted(df, name, *more):
+        out = stored(df, name, *more)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    monkeypatch.setattr(ngram_join, "CROWD", 2)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    parts = brute_components(rows, 5, 80)
+    assert rows_of(ngram_join.components(d, rule), "doc_id", "n_shingles", "component_id") == parts and len({c for _, _, c in parts}) == 36
+    assert made["shared-postings"] < 15 * len(rows) and made["met-postings"] <= made["rooted-postings"] <= made["shared-postings"], made
+    monkeypatch.setattr(ngram_join, "_may_link", lambda rule, parts=None: F.lit(True))
+    assert rows_of(ngram_join.components(d, rule), "doc_id", "n_shingles", "component_id") == parts
+    assert made["recounted"] > 0, made
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (2, 50)])
+def test_recounted_prefixes_lose_no_link(spark, n, percent):
+    """With every class a component of its own, all pairs that link meet at a recounted n-gram."""
+    from pyspark.sql import functions as F
+
+    rows, rule = crowd_rows(random.Random(n)) + [(1000 + r[0], r[1]) for r in corpus() if r[0] is not None], ngram_join.Rule(n, percent)
+    docs, classes, _, _ = ngram_join._prepared(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rule)
+    rep = {r.c: r.rep for r in classes.collect()}
+    text = {(r.doc_id, r._fp): r.text for r in docs.collect()}
+    sets = {c: frozenset(shingle_set(text[r.doc_id, r._fp], n)) for c, r in rep.items()}
+    again = ngram_join._recounted(classes.select("c", F.col("c").alias("root")), docs, classes, rule)
+    assert all(p.pos < rule.prefix(p.size) and p.size == len(sets[p.c]) for p in again.collect())
+    met = {(r.a, r.b) for r in ngram_join._meet(again, rule).collect()}
+    every = {(x, y) for x, y in itertools.combinations(sorted(sets), 2) if 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])}
+    assert len(every) > 5 and every <= met
+
+
 def test_one_row_of_each_component_stays(docs, none):
     out = ngram_join.one_per_component(docs, ngram_join.Rule(5, 80))
     rows = [(r[0], r[1]) for r in corpus()]
